@@ -15,7 +15,7 @@ HOLIDAY_WINDOW_DAYS = 1
 
 def cyclic(ts: Column) -> dict[str, Column]:
     """Sine and cosine of hour, weekday (Monday 0), day of year and month."""
-    parts = {"hour": (F.hour(ts), 24), "dow": (F.weekday(ts), 7), "doy": (F.dayofyear(ts), 365),
+    parts = {"hour": (F.hour(ts), 24), "dow": (F.weekday(ts), 7), "doy": (F.dayofyear(ts), 365.25),
              "month": (F.month(ts), 12)}
     out = {}
     for name, (value, period) in parts.items():

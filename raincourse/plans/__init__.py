@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["floods", "climate"]
+MODULES = ["floods", "climate", "models"]
 
 
 def load_all() -> None:

@@ -395,7 +395,7 @@ def j24(v):
 
 # Calendar features.
 @query("d01_cyclic_time", """SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, round(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) AS dow_sin,
-    round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) AS dow_cos, round(sin(2 * pi() * dayofyear(ts) / 365), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(ts) / 365), 6) AS doy_cos,
+    round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) AS dow_cos, round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) AS doy_cos,
     round(sin(2 * pi() * month(ts) / 12), 6) AS month_sin, round(cos(2 * pi() * month(ts) / 12), 6) AS month_cos, month(ts) IN (10, 11, 12, 1, 2, 3) AS wet FROM events""")
 def d01(v):
     return v.obs.select("event_id", *[F.round(e, 6).alias(n) for n, e in calendar.cyclic(c("ts")).items()],

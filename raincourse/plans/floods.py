@@ -331,10 +331,10 @@ def y04(v):
 
 
 @query("m40_predicted_flood_risk", """SELECT river_id, round(avg(CASE WHEN discharge_cms > 300 THEN 1.0 ELSE 0.0 END), 6) AS exceed_share, max(discharge_cms) AS max_cms,
-    CASE WHEN max(discharge_cms) > 450 THEN 'HIGH' WHEN max(discharge_cms) > 300 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM flow GROUP BY 1""")
+    CASE WHEN max(discharge_cms) > 300 THEN 'RED' WHEN max(discharge_cms) > 225 THEN 'ORANGE' ELSE 'GREEN' END AS level FROM flow GROUP BY 1""")
 def m40(v):
     q = F.col("discharge_cms")
     top = F.max(q)
     return v.flow.groupBy("river_id").agg(
         F.round(F.avg((q > 300).cast("double")), 6).alias("exceed_share"), top.alias("max_cms"),
-        F.when(top > 450, "HIGH").when(top > 300, "MODERATE").otherwise("LOW").alias("risk"))
+        F.when(top > 300, "RED").when(top > 225, "ORANGE").otherwise("GREEN").alias("level"))
