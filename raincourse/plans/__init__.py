@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["floods", "climate", "models"]
+MODULES = ["floods", "climate", "models", "water"]
 
 
 def load_all() -> None:
