@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["floods", "climate", "models", "water"]
+MODULES = ["floods", "climate", "models", "water", "alerts"]
 
 
 def load_all() -> None:

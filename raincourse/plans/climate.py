@@ -429,3 +429,9 @@ def d05(v):
     return (v.flow.join(days, "day", "left")
             .select("flow_id", c("holiday").isNotNull().alias("is_holiday"), F.coalesce("holiday", F.lit("")).alias("holiday"),
                     F.coalesce("offset", F.lit(0)).alias("days_after")))
+
+
+def forecast_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast rows of each cell as one time-sorted array, bounded by the lead time; read back as totals."""
+    a = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "precip_mm"))).alias("h"))
+    return a.select(*keys, F.size("h").cast("long").alias("n"), F.round(F.aggregate("h", F.lit(0.0), lambda s, x: s + x.precip_mm), 6).alias("rain"))
