@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["floods", "climate", "models", "water", "alerts"]
+MODULES = ["floods", "climate", "models", "water", "alerts", "features", "spatial"]
 
 
 def load_all() -> None:
