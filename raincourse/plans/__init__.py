@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["floods", "climate", "models", "water", "alerts", "features", "spatial"]
+MODULES = ["floods", "climate", "models", "water", "alerts", "features", "spatial", "sources", "streams", "learn"]
 
 
 def load_all() -> None:

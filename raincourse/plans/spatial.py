@@ -194,9 +194,9 @@ def idw_field(v: Views) -> DataFrame:
     return fusion.idw_bias(satellite(v), g, "day")
 
 
-@query("g03_idw_bias_field", "SELECT strftime(day, '%Y-%m-%d') AS day, cell_id, round(bias, 6) AS bias, round(background * bias, 5) AS corrected FROM bias")
+@query("g03_idw_bias_field", "SELECT strftime(day, '%Y-%m-%d') AS day, cell_id, round(bias, 6) AS bias, round(background * bias, 7) AS corrected FROM bias")
 def g03(v):
-    return idw_field(v).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "cell_id", F.round("bias", 6).alias("bias"), F.round(c("background") * c("bias"), 5).alias("corrected"))
+    return idw_field(v).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "cell_id", F.round("bias", 6).alias("bias"), F.round(c("background") * c("bias"), 7).alias("corrected"))
 
 
 @query("a18_bias_quantiles", "SELECT strftime(day, '%Y-%m-%d') AS day, round(avg(bias), 6) AS mean_bias, round(quantile_cont(bias, 0.1), 5) AS p10, round(quantile_cont(bias, 0.9), 5) AS p90 FROM bias WHERE bias > 0 GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,8 @@ def cut_lineage(df):
     """Write ``df`` to the shared checkpoint folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no earlier run has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
