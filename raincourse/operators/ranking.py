@@ -21,15 +21,11 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, weights: dict
     """
     weights = weights or {"n": F.lit(1).cast("long")}
     df = df.filter(F.col(value).isNotNull())
-    const = not keys
-    if const:
-        keys = ["_all"]
-        df = df.withColumn("_all", F.lit(0))
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*keys).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_e"))
     counts = df.groupBy(*keys, value).agg(*[F.sum(c).alias(w) for w, c in weights.items()])
-    placed = (counts.join(edges, keys)
-              .withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e"))
+    split = counts.join(edges, keys) if keys else counts.withColumn("_e", edges.scalar())
+    placed = split.withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     totals = placed.groupBy(*keys, "_b").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
@@ -43,8 +39,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, weights: dict
     for w in weights:
         out = out.withColumn(f"{w}_before",
                              F.col(f"_{w}_offset") + F.coalesce(F.sum(w).over(inside), F.lit(0)))
-    out = out.drop("_b", *[f"_{w}_offset" for w in weights])
-    return out.drop("_all") if const else out
+    return out.drop("_b", *[f"_{w}_offset" for w in weights])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
