@@ -97,12 +97,13 @@ def partial_dependence(df: DataFrame, row: str, feature: str, value: str, weight
                        features: list, grid: int) -> DataFrame:
     """Partial dependence of a linear score for some features on an even grid."""
     score = df.groupBy(row).agg(F.sum(F.col(value) * weight).alias("_score"))
-    span = df.filter(F.col(feature).isin(features)).groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = df.filter(F.col(feature).isin(features)).join(score, row).join(span, feature)
-    x = x.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    x = df.filter(F.col(feature).isin(features)).join(score, row)
+    # the score is linear: the mean without the feature is taken once, the grid is added to one row per feature
+    rest = x.groupBy(feature).agg(F.avg(F.col("_score") - weight * F.col(value)).alias("_rest"),
+                                  F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    g = rest.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     at = F.col("_lo") + F.col("grid") * (F.col("_hi") - F.col("_lo")) / (grid - 1)
-    return x.groupBy(feature, "grid").agg(
-        F.round(F.avg(F.col("_score") - weight * F.col(value) + weight * at), 8).alias("mean_prediction"))
+    return g.select(feature, "grid", F.round(F.col("_rest") + weight * at, 8).alias("mean_prediction"))
 
 
 # --- ensembles and intervals -----------------------------------------------

@@ -131,8 +131,7 @@ def w10(v):
         "watershed_id", F.date_format("month", "yyyy-MM").alias("month"), "regime", c("months_active").cast("long").alias("months_active"))
 
 
-FACTORS = {"EL_NINO": (0.72, 0.4), "LA_NINA": (1.35, -0.2), "NEUTRAL": (1.00, 0.0), "POSITIVE_IOD": (0.85, 0.1), "NEGATIVE_IOD": (1.20, -0.1), "SEVERE_DRY": (0.55, 0.6), "SEVERE_WET": (1.60, -0.3)}
-SQL_FACTORS = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in FACTORS.items())
+SQL_FACTORS = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in series.REGIME_FACTORS.items())
 
 
 @query("m39_regime_bias_factors", f"SELECT r.watershed_id, strftime(r.month, '%Y-%m') AS month, regime, round(p_mm * f.rain, 5) AS rain_mm, round(26 + theta + f.temp, 6) AS temp_c FROM regime r JOIN monthly m ON r.watershed_id = m.watershed_id AND r.month = m.month JOIN (VALUES {SQL_FACTORS}) f(name, rain, temp) ON f.name = regime")
