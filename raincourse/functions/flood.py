@@ -22,7 +22,7 @@ def guidance_3h_mm(soil_moisture: Column, porosity: Column, slope_deg: Column,
     free = 1 - F.least(soil_moisture / porosity, F.lit(1.0))
     room = soil_depth_mm * (porosity - wilting_point) * free * terrain * 0.30
     return (F.when(soil_moisture > 0.85 * porosity, F.lit(5.0))
-            .otherwise(F.greatest(F.round(room, 2), F.lit(5.0))))
+            .otherwise(F.greatest(F.round(F.round(room, 9), 2), F.lit(5.0))))
 
 
 def flash_index(rain_3h_mm: Column, guidance_mm: Column) -> Column:

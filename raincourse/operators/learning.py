@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from raincourse.operators.ranking import cumulative_counts, quantiles
 from raincourse.operators.rollup import clip
 from raincourse.operators.statistics import bin_of, coverage, width_edges
+from raincourse.session import sized
 
 COVERAGE_TARGET, COVERAGE_FLOOR = 0.90, 0.89
 
@@ -32,14 +33,14 @@ def column_kinds(df: DataFrame, limit: int = 20) -> DataFrame:
 
 def standardise(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.greatest(F.stddev_samp(value), F.lit(1e-8)).alias("_s"))
-    return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    return df.join(sized(stats, "stats"), keys).withColumn(out, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def robust_scale(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """(x - median) / interquartile range."""
     q = quantiles(df, keys, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     scaled = (F.col(value) - F.col("_q2")) / F.nullif(F.col("_q3") - F.col("_q1"), F.lit(0.0))
-    return df.join(q, keys).withColumn(out, scaled).drop("_q1", "_q2", "_q3")
+    return df.join(sized(q, "quartiles"), keys).withColumn(out, scaled).drop("_q1", "_q2", "_q3")
 
 
 def frequency_encoding(df: DataFrame, category: str, ts: str, days: int) -> DataFrame:
@@ -66,7 +67,7 @@ def binned_mutual_information(df: DataFrame, keys: list[str], value: str, target
 
     The rows are counted once by (key, bin, target); all else runs on the counts.
     """
-    placed = df.join(width_edges(df, keys, value, bins), keys).withColumn("_b", bin_of(F.col(value), F.col("edges")))
+    placed = df.join(sized(width_edges(df, keys, value, bins), "edges"), keys).withColumn("_b", bin_of(F.col(value), F.col("edges")))
     n = placed.groupBy(*keys, "_b", target).agg(F.count("*").cast("double").alias("_n"))
     total = [F.sum("_n").over(Window.partitionBy(*keys, *extra)) for extra in (["_b"], [target], [])]
     x = n.withColumns({"_nx": total[0], "_ny": total[1], "_t": total[2]})
@@ -138,7 +139,7 @@ def interval_scale(df: DataFrame, keys: list[str]) -> DataFrame:
     p = df.groupBy(*keys).agg(coverage(F.col("y_true"), F.col("q_lo"), F.col("q_hi")).alias("_p"))
     factor = (F.when(F.col("_p") < COVERAGE_FLOOR, COVERAGE_TARGET / F.greatest("_p", F.lit(0.01)))
               .otherwise(COVERAGE_TARGET / F.greatest("_p", F.lit(COVERAGE_TARGET))))
-    return p.select(*keys, clip(factor, 0.5, 3.0).alias("scale"))
+    return sized(p.select(*keys, clip(factor, 0.5, 3.0).alias("scale")), "scale")
 
 
 def apply_interval_scale(df: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def fit_temperature(df: DataFrame, keys: list[str], positive: Column, logit: Col
         return a.select(*keys, F.array_min(F.array(*[F.col(f"_{i}") for i in range(len(points))])).alias("_b"))
 
     coarse = best(df, [F.lit(0.1) + k * ((10.0 - 0.1) / 33) for k in range(34)])
-    around = df.join(coarse.select(*keys, F.col("_b.t").alias("_t0")), keys)
+    around = df.join(sized(coarse.select(*keys, F.col("_b.t").alias("_t0")), "coarse"), keys)
     fine = best(around, [F.greatest(F.col("_t0") - 0.3 + k * 0.02, F.lit(0.1)) for k in range(31)])
     return fine.select(*keys, F.col("_b.t").alias("temperature"), F.col("_b.nll").alias("nll"))
 

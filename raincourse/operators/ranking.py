@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raincourse.session import sized
+
 
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, weights: dict | None = None,
                       buckets: int = 128) -> DataFrame:
@@ -24,7 +26,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, weights: dict
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*keys).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_e"))
     counts = df.groupBy(*keys, value).agg(*[F.sum(c).alias(w) for w, c in weights.items()])
-    split = counts.join(edges, keys) if keys else counts.withColumn("_e", edges.scalar())
+    split = counts.join(sized(edges, "edges"), keys) if keys else counts.withColumn("_e", edges.scalar())
     placed = split.withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

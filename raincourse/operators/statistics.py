@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from raincourse.session import sized
 from raincourse.operators.ranking import cumulative_counts, midranks, quantiles
 
 
@@ -106,7 +107,7 @@ def bin_of(x: Column, edges: Column, open_ends: bool = False, closed_top: bool =
 def two_histograms(df: DataFrame, keys: list[str], value: str, is_ref: Column, edges: DataFrame,
                    bins: int = 10, open_ends: bool = False) -> DataFrame:
     """Bin counts of reference and current rows as arrays, in one aggregation."""
-    placed = (df.filter(F.col(value).isNotNull()).join(edges, keys)
+    placed = (df.filter(F.col(value).isNotNull()).join(sized(edges, "edges"), keys)
               .withColumn("_b", bin_of(F.col(value), F.col("edges"), open_ends)).withColumn("_r", is_ref))
     sums = [F.count_if((F.col("_b") == i) & F.col("_r") if side else (F.col("_b") == i) & ~F.col("_r"))
             for side in (True, False) for i in range(1, bins + 1)]
@@ -213,7 +214,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, is_a: Column) -> Da
 def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """Means of truth and prediction per equal-width prediction bin; the top edge is open."""
     edges = width_edges(df, keys, "y_pred", bins)
-    placed = df.join(edges, keys).withColumn("bin", bin_of(F.col("y_pred"), F.col("edges"), closed_top=False))
+    placed = df.join(sized(edges, "edges"), keys).withColumn("bin", bin_of(F.col("y_pred"), F.col("edges"), closed_top=False))
     mid = (F.element_at("edges", F.col("bin")) + F.element_at("edges", F.col("bin") + 1)) / 2
     return (placed.filter(F.col("bin").isNotNull()).withColumn("midpoint", mid).groupBy(*keys, "bin")
             .agg(F.min("midpoint").alias("midpoint"), F.avg("y_true").alias("truth"),

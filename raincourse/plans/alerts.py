@@ -158,7 +158,7 @@ def f18(v):
     return Q.dense_columns(o, 0.7)
 
 
-@query("f19_current_conditions", """SELECT n_nationkey AS district_id, round(m.temp, 4) AS temp_c, round(q.wqi, 4) AS river_cms, r.value AS storm FROM nation LEFT JOIN (SELECT station_id % 25 AS d, arg_max(value, (ts, event_id)) AS temp FROM obs GROUP BY 1) m ON m.d = n_nationkey
+@query("f19_current_conditions", """SELECT n_nationkey AS district_id, round(m.temp, 6) AS temp_c, round(q.wqi, 6) AS river_cms, r.value AS storm FROM nation LEFT JOIN (SELECT station_id % 25 AS d, arg_max(value, (ts, event_id)) AS temp FROM obs GROUP BY 1) m ON m.d = n_nationkey
     LEFT JOIN (SELECT river_id AS d, arg_max(discharge_cms, (day, flow_id)) AS wqi FROM flow GROUP BY 1) q ON q.d = n_nationkey LEFT JOIN (SELECT province_id AS d, arg_max(value, (issued_at, alert_id)) AS value FROM alert WHERE severity = 'critical' GROUP BY 1) r ON r.d = n_nationkey""")
 def f19(v):
     """Newest value of each source per district, by map-side combined max_by."""
@@ -168,7 +168,7 @@ def f19(v):
     out = base.join(newest(v.obs, c("station_id") % 25, c("value"), ["ts", "event_id"], "t"), "district_id", "left")
     out = out.join(newest(v.flow, c("river_id"), c("discharge_cms"), ["day", "flow_id"], "q"), "district_id", "left")
     out = out.join(newest(v.alert.filter("severity = 'critical'"), c("province_id"), c("value"), ["issued_at", "alert_id"], "storm"), "district_id", "left")
-    return out.select("district_id", F.round("t", 4).alias("temp_c"), F.round("q", 4).alias("river_cms"), "storm")
+    return out.select("district_id", F.round("t", 6).alias("temp_c"), F.round("q", 6).alias("river_cms"), "storm")
 
 
 @query("f20_forecast_near_point", """SELECT CAST(round((lat + 11) / 2) AS INTEGER) AS lat_idx, CAST(round((lon - 95) / 2) AS INTEGER) AS lon_idx, count(*) AS n, round(sum(precip_mm), 6) AS rain FROM hourly JOIN station USING (station_id) WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1, 2 HAVING lat_idx = 3 AND lon_idx BETWEEN 0 AND 12""")

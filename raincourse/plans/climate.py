@@ -127,7 +127,7 @@ def w18(v):
                           climate.calendar_stage(c("crop"), c("days")).alias("calendar_stage"))
 
 
-@query("w19_stage_calendar", """SELECT station_id, stage, strftime(day0 + CAST(d0 AS INTEGER), '%Y-%m-%d') AS start_date, strftime(day0 + CAST(d0 + len AS INTEGER), '%Y-%m-%d') AS end_date, round(need * len, 1) AS need_mm, round(sum(round(need * len, 6)) OVER (PARTITION BY station_id), 4) AS total_mm FROM (
+@query("w19_stage_calendar", """SELECT station_id, stage, strftime(day0 + CAST(d0 AS INTEGER), '%Y-%m-%d') AS start_date, strftime(day0 + CAST(d0 + len AS INTEGER), '%Y-%m-%d') AS end_date, round(need * len, 1) AS need_mm, round(sum(round(need * len, 6)) OVER (PARTITION BY station_id), 6) AS total_mm FROM (
     SELECT *, coalesce(sum(len) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d0 FROM (
     SELECT station_id, day0, need, unnest(['ini','dev','mid','late']) AS stage, unnest([1,2,3,4]) AS pos, unnest(CASE crop WHEN 'rice' THEN [30,40,60,30] WHEN 'corn' THEN [25,35,45,25] WHEN 'sugarcane' THEN [50,70,220,60] WHEN 'soybean' THEN [20,30,45,25] ELSE [25,35,55,25] END) AS len
     FROM (SELECT station_id, crop, min(day) AS day0, round(avg(need), 6) AS need FROM need GROUP BY 1, 2)))""")
@@ -144,7 +144,7 @@ def w19(v):
     return d.select("station_id", "stage", F.date_format(F.date_add("day0", c("d0")), "yyyy-MM-dd").alias("start_date"),
                     F.date_format(F.date_add("day0", c("d0") + c("len")), "yyyy-MM-dd").alias("end_date"),
                     F.round(c("need") * c("len"), 1).alias("need_mm"),
-                    F.round(F.sum(F.round(c("need") * c("len"), 6)).over(Window.partitionBy("station_id")), 4).alias("total_mm"))
+                    F.round(F.sum(F.round(c("need") * c("len"), 6)).over(Window.partitionBy("station_id")), 6).alias("total_mm"))
 
 
 @query("a08_national_et", """SELECT strftime(day, '%Y-%m-%d') AS day, round(avg(et0), 6) AS mean_et, round(max(et0), 6) AS max_et, round(min(et0), 6) AS min_et, count(*) FILTER (WHERE et0 > 5) AS high_et FROM pm GROUP BY 1""")

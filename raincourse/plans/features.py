@@ -75,15 +75,15 @@ def series_features(hourly: DataFrame) -> DataFrame:
     return hourly.select("station_id", ts_text(), *cols, *[F.round(e, 6).alias(n) for n, e in sums.items()])
 
 
-@query("w04_flow_antecedents", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) OVER r3 = 3 THEN round(sum(n * 1.5) OVER r3, 6) END AS rain_3d, CASE WHEN count(*) OVER r7 = 7 THEN round(sum(n * 1.5) OVER r7, 6) END AS rain_7d, round(lag(discharge_cms, 1) OVER w, 6) AS q_1, round(lag(discharge_cms, 3) OVER w, 6) AS q_3, round(lag(discharge_cms, 7) OVER w, 6) AS q_7, round(discharge_cms - lag(discharge_cms) OVER w, 6) AS rate
+@query("w04_flow_antecedents", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) OVER r3 = 3 THEN round(sum(n * 1.5) OVER r3, 9) END AS rain_3d, CASE WHEN count(*) OVER r7 = 7 THEN round(sum(n * 1.5) OVER r7, 9) END AS rain_7d, round(lag(discharge_cms, 1) OVER w, 9) AS q_1, round(lag(discharge_cms, 3) OVER w, 9) AS q_3, round(lag(discharge_cms, 7) OVER w, 9) AS q_7, round(discharge_cms - lag(discharge_cms) OVER w, 9) AS rate
     FROM daily_flow WINDOW w AS (PARTITION BY river_id ORDER BY day), r3 AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), r7 AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def w04(v):
     w = Window.partitionBy("river_id").orderBy("day")
     rain = c("n") * 1.5
     full = {n: F.when(F.count("*").over(w.rowsBetween(1 - n, 0)) == n, F.sum(rain).over(w.rowsBetween(1 - n, 0))) for n in (3, 7)}
     q = c("discharge_cms")
-    return v.daily_flow.select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(e, 6).alias(f"rain_{n}d") for n, e in full.items()],
-                               *[F.round(F.lag(q, n).over(w), 6).alias(f"q_{n}") for n in (1, 3, 7)], F.round(q - F.lag(q).over(w), 6).alias("rate"))
+    return v.daily_flow.select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(e, 9).alias(f"rain_{n}d") for n, e in full.items()],
+                               *[F.round(F.lag(q, n).over(w), 9).alias(f"q_{n}") for n in (1, 3, 7)], F.round(q - F.lag(q).over(w), 9).alias("rate"))
 
 
 AMI = [0.4, 0.25, 0.15, 0.1, 0.1]
@@ -173,12 +173,12 @@ def w14b(v):
     return x.groupBy("station_id").agg(F.count_if(train).alias("train"), F.count_if(~train).alias("val"))
 
 
-@query("w15_sliding_sequences", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, round(sum(discharge_cms) OVER w, 7) AS sequence_sum, round(first_value(discharge_cms) OVER w, 6) AS oldest, round(discharge_cms, 6) AS target FROM daily_flow WINDOW w AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = 30""")
+@query("w15_sliding_sequences", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, round(sum(discharge_cms) OVER w, 9) AS sequence_sum, round(first_value(discharge_cms) OVER w, 9) AS oldest, round(discharge_cms, 9) AS target FROM daily_flow WINDOW w AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = 30""")
 def w15(v):
     """The 30 rows before each row as an array, with the row itself as target; only full arrays."""
     s = series.sequences(v.daily_flow, ["river_id"], "day", "discharge_cms", 30)
-    return s.select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 7).alias("sequence_sum"),
-                    F.round(F.element_at("sequence", 1), 6).alias("oldest"), F.round("discharge_cms", 6).alias("target"))
+    return s.select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 9).alias("sequence_sum"),
+                    F.round(F.element_at("sequence", 1), 9).alias("oldest"), F.round("discharge_cms", 9).alias("target"))
 
 
 @query("w21_keep_last_n", "SELECT gauge_id, flow_id FROM flow QUALIFY row_number() OVER (PARTITION BY gauge_id ORDER BY day DESC, flow_id DESC) <= 3")

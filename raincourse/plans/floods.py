@@ -16,8 +16,8 @@ DAY = 86400
 SQL_VIEWS["rain3h"] = """SELECT station_id, slot, sum(precip_mm) OVER (PARTITION BY station_id ORDER BY slot
     RANGE BETWEEN INTERVAL 150 MINUTES PRECEDING AND CURRENT ROW) AS rain_3h FROM half_hour"""
 SQL_VIEWS["guidance"] = """SELECT *, CASE WHEN soil_moisture > 0.85 * porosity THEN 5.0 ELSE
-    greatest(round(250.0 * (porosity - 0.10) * (1 - least(soil_moisture / porosity, 1.0))
-      * CASE WHEN slope_deg > 15 THEN 0.55 WHEN slope_deg > 5 THEN 0.80 ELSE 1.0 END * 0.30, 2), 5.0) END AS ffg
+    greatest(round(round(250.0 * (porosity - 0.10) * (1 - least(soil_moisture / porosity, 1.0))
+      * CASE WHEN slope_deg > 15 THEN 0.55 WHEN slope_deg > 5 THEN 0.80 ELSE 1.0 END * 0.30, 9), 2), 5.0) END AS ffg
     FROM station"""
 SQL_VIEWS["flash0"] = """SELECT r.station_id, r.slot, g.nation_id, round(r.rain_3h, 6) AS rain_3h, g.ffg, g.area_km2, g.slope_deg,
     round(round(r.rain_3h, 6) / g.ffg, 4) AS ffi FROM rain3h r JOIN guidance g USING (station_id)"""

@@ -41,9 +41,9 @@ def res_now(v: Views) -> DataFrame:
                           "release": water.gate_release(c("frac"), c("capacity_m3"), c("normal_release_cms"), c("max_release_cms"))})
 
 
-@query("m26_reservoir_inflow", "SELECT reservoir_id, strftime(day, '%Y-%m-%d') AS day, round(inflow_cms, 8) AS inflow_cms FROM inflow")
+@query("m26_reservoir_inflow", "SELECT reservoir_id, strftime(day, '%Y-%m-%d') AS day, round(inflow_cms, 10) AS inflow_cms FROM inflow")
 def m26(v):
-    return inflow(v).select("reservoir_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("inflow_cms", 8).alias("inflow_cms"))
+    return inflow(v).select("reservoir_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("inflow_cms", 10).alias("inflow_cms"))
 
 
 @query("m23_storage_update", "SELECT reservoir_id, round(s, 1) AS storage_m3, round(frac, 6) AS fraction, round(least(fsl_m - 10 + frac / 0.9 * 10, mwl_m), 4) AS level_m, gate, frac <= 0.05 AS supply_risk FROM gate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -54,3 +54,14 @@ def cut_lineage(df):
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """A small derived table, written and read back so that the planner knows its size.
+
+    A join with it is then broadcast when, and only when, the size allows. Without
+    that the large side is shuffled by key first and a hot key ends in one task.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
