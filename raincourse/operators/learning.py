@@ -95,10 +95,10 @@ def pair_interactions(contributions: DataFrame, row: str, feature: str, value: s
 
 
 def partial_dependence(df: DataFrame, row: str, feature: str, value: str, weight: Column,
-                       features: list, grid: int) -> DataFrame:
-    """Partial dependence of a linear score for some features on an even grid."""
+                       grid: int) -> DataFrame:
+    """Partial dependence of a linear score on an even grid of each feature."""
     score = df.groupBy(row).agg(F.sum(F.col(value) * weight).alias("_score"))
-    x = df.filter(F.col(feature).isin(features)).join(score, row)
+    x = df.join(score, row)
     # the score is linear: the mean without the feature is taken once, the grid is added to one row per feature
     rest = x.groupBy(feature).agg(F.avg(F.col("_score") - weight * F.col(value)).alias("_rest"),
                                   F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -179,7 +179,7 @@ def f20(v):
     return forecast_rows(v.hourly.filter(c("ts") < F.lit("2024-01-04").cast("timestamp")).join(near, "station_id"), ["lat_idx", "lon_idx"])
 
 
-@query("f21_station_view", """SELECT d.river_id, strftime(max(d.day), '%Y-%m-%d') AS day, round(arg_max(discharge_cms, d.day), 6) AS latest_cms, count(*) FILTER (WHERE d.day > m.last - 90) AS history, round(max(discharge_cms) FILTER (WHERE d.day > m.last - 90), 6) AS peak_cms, any_value(t.threshold_cms) AS threshold_cms, arg_max(discharge_cms, d.day) > any_value(t.threshold_cms) AS alert
+@query("f21_station_view", """SELECT d.river_id, strftime(max(d.day), '%Y-%m-%d') AS day, round(arg_max(discharge_cms, d.day), 6) AS latest_cms, count(*) FILTER (WHERE d.day > m.last - 90) AS history, round(max(discharge_cms) FILTER (WHERE d.day > m.last - 90), 6) AS peak_cms, CAST(any_value(t.threshold_cms) AS DOUBLE) AS threshold_cms, arg_max(discharge_cms, d.day) > any_value(t.threshold_cms) AS alert
     FROM daily_flow d JOIN (SELECT river_id, max(day) AS last FROM daily_flow GROUP BY 1) m USING (river_id) JOIN (SELECT watershed_id AS river_id, threshold_cms FROM watershed) t USING (river_id) GROUP BY 1""")
 def f21(v):
     d = v.daily_flow

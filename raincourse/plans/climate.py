@@ -193,7 +193,7 @@ def m06(v):
 
 
 @query("a05_national_drought", """SELECT strftime(month, '%Y-%m') AS month, lv[max(r) + 1] AS worst, count(*) FILTER (WHERE r >= 1) AS at_least_mild, count(*) FILTER (WHERE r >= 3) AS at_least_severe,
-    round(sum(CASE WHEN r >= 1 THEN area_km2 * s[r + 1] ELSE 0 END), 4) AS affected_km2 FROM (
+    CAST(round(sum(CASE WHEN r >= 1 THEN area_km2 * s[r + 1] ELSE 0 END), 4) AS DOUBLE) AS affected_km2 FROM (
     SELECT month, area_km2, list_position(['NORMAL','MILD_DROUGHT','MODERATE_DROUGHT','SEVERE_DROUGHT','EXTREME_DROUGHT'], class) - 1 AS r, ['NORMAL','MILD_DROUGHT','MODERATE_DROUGHT','SEVERE_DROUGHT','EXTREME_DROUGHT'] AS lv, [0.0, 0.15, 0.35, 0.60, 0.85] AS s
     FROM drought JOIN watershed USING (watershed_id)) GROUP BY month, lv""")
 def a05(v):

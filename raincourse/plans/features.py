@@ -75,7 +75,7 @@ def series_features(hourly: DataFrame) -> DataFrame:
     return hourly.select("station_id", ts_text(), *cols, *[F.round(e, 6).alias(n) for n, e in sums.items()])
 
 
-@query("w04_flow_antecedents", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) OVER r3 = 3 THEN round(sum(n * 1.5) OVER r3, 9) END AS rain_3d, CASE WHEN count(*) OVER r7 = 7 THEN round(sum(n * 1.5) OVER r7, 9) END AS rain_7d, round(lag(discharge_cms, 1) OVER w, 9) AS q_1, round(lag(discharge_cms, 3) OVER w, 9) AS q_3, round(lag(discharge_cms, 7) OVER w, 9) AS q_7, round(discharge_cms - lag(discharge_cms) OVER w, 9) AS rate
+@query("w04_flow_antecedents", """SELECT river_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) OVER r3 = 3 THEN CAST(round(sum(n * 1.5) OVER r3, 9) AS DOUBLE) END AS rain_3d, CASE WHEN count(*) OVER r7 = 7 THEN CAST(round(sum(n * 1.5) OVER r7, 9) AS DOUBLE) END AS rain_7d, round(lag(discharge_cms, 1) OVER w, 9) AS q_1, round(lag(discharge_cms, 3) OVER w, 9) AS q_3, round(lag(discharge_cms, 7) OVER w, 9) AS q_7, round(discharge_cms - lag(discharge_cms) OVER w, 9) AS rate
     FROM daily_flow WINDOW w AS (PARTITION BY river_id ORDER BY day), r3 AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), r7 AS (PARTITION BY river_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def w04(v):
     w = Window.partitionBy("river_id").orderBy("day")

@@ -110,8 +110,8 @@ def forecast(v: Views) -> DataFrame:
 
 
 @query("m17_streamflow_forecast", """SELECT river_id, lead_hr, round(q0, 4) AS q0, round(forecast_cms, 2) AS forecast_cms,
-    round(greatest(least(greatest(90.0 - 24 * 1.1, 50.0) - CASE WHEN rain_mm > 20 THEN 10.0 ELSE 0.0 END
-      - CASE WHEN theta > 0.35 THEN 5.0 ELSE 0.0 END, 95.0), 40.0), 1) AS confidence FROM forecast""")
+    CAST(round(greatest(least(greatest(90.0 - 24 * 1.1, 50.0) - CASE WHEN rain_mm > 20 THEN 10.0 ELSE 0.0 END
+      - CASE WHEN theta > 0.35 THEN 5.0 ELSE 0.0 END, 95.0), 40.0), 1) AS DOUBLE) AS confidence FROM forecast""")
 def m17(v):
     return forecast(v).select("river_id", "lead_hr", F.round("q0", 4).alias("q0"),
                               F.round("forecast_cms", 2).alias("forecast_cms"),
@@ -151,7 +151,7 @@ def a01(v):
                           worst(F.col("level"), flood.RIVER_LEVELS).alias("worst_level"))
 
 
-@query("j14_threshold_join", """SELECT f.flow_id, coalesce(arg_max(l.stage, l.cms), 'NONE') AS stage, max(l.cms) AS breached
+@query("j14_threshold_join", """SELECT f.flow_id, coalesce(arg_max(l.stage, l.cms), 'NONE') AS stage, CAST(max(l.cms) AS DOUBLE) AS breached
     FROM flow f LEFT JOIN (SELECT n_nationkey AS river_id, unnest(['WATCH','WARNING','EMERGENCY']) AS stage,
       unnest([100.0 + n_nationkey, 250.0 + n_nationkey, 400.0 + n_nationkey]) AS cms FROM nation) l
     ON f.river_id = l.river_id AND f.discharge_cms >= l.cms GROUP BY 1""")
@@ -311,7 +311,7 @@ def x01(v):
                                     F.round("q_12h").cast("long")).alias("description"))
 
 
-@query("y01_horizon_arrays", "SELECT river_id, count(*) AS leads, sum(lead_hr) AS lead_sum, round(max(forecast_cms), 2) AS peak, round(sum(forecast_cms), 2) AS total FROM forecast GROUP BY 1")
+@query("y01_horizon_arrays", "SELECT river_id, count(*) AS leads, sum(lead_hr)::BIGINT AS lead_sum, round(max(forecast_cms), 2) AS peak, round(sum(forecast_cms), 2) AS total FROM forecast GROUP BY 1")
 def y01(v):
     """Forecasts per lead as an array of structs, read back with array functions."""
     a = forecast(v).groupBy("river_id").agg(F.array_sort(F.collect_list(F.struct("lead_hr", "forecast_cms"))).alias("h"))

@@ -81,20 +81,21 @@ def a35(v):
     return S.js_divergence(cats(v), ["feature"], "ref", "cur").select("feature", F.round("js", 8).alias("js"))
 
 
-@query("j20_category_outer_merge", f"""SELECT coalesce(r.aux, u.aux) AS category, coalesce(r.n, 0) AS ref, coalesce(u.n, 0) AS cur FROM (SELECT aux, count(*) AS n FROM obs WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1) r
-    FULL OUTER JOIN (SELECT aux, count(*) AS n FROM obs WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY 1) u ON r.aux = u.aux""")
+@query("j20_category_outer_merge", f"""SELECT coalesce(r.k, u.k) AS category, coalesce(r.n, 0) AS ref, coalesce(u.n, 0) AS cur FROM (SELECT variable || '_' || station_id AS k, count(*) AS n FROM obs WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1) r
+    FULL OUTER JOIN (SELECT variable || '_' || station_id AS k, count(*) AS n FROM obs WHERE ts >= TIMESTAMP '{CUT}' GROUP BY 1) u ON r.k = u.k""")
 def j20(v):
-    r = v.obs.filter("ts < timestamp'2024-01-02'").groupBy("aux").agg(F.count("*").alias("ref"))
-    u = v.obs.filter("ts >= timestamp'2024-01-30'").groupBy("aux").agg(F.count("*").alias("cur"))
-    return r.join(u, "aux", "full_outer").select(
-        c("aux").alias("category"), F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("cur", F.lit(0)).alias("cur"))
+    """Counts of both windows by category; a category missing on one side counts zero."""
+    name = F.concat_ws("_", "variable", "station_id").alias("category")
+    r = v.obs.filter(c("ts") < F.lit(CUT).cast("timestamp")).groupBy(name).agg(F.count("*").alias("ref"))
+    u = v.obs.filter(c("ts") >= F.lit(CUT).cast("timestamp")).groupBy(name).agg(F.count("*").alias("cur"))
+    return r.join(u, "category", "full_outer").select("category", F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("cur", F.lit(0)).alias("cur"))
 
 
-@query("u04_category_union", """SELECT aux AS category FROM obs WHERE ts < TIMESTAMP '2024-01-02' UNION SELECT aux FROM obs WHERE ts >= TIMESTAMP '2024-01-30'""")
+@query("u04_category_union", f"""SELECT variable || '_' || station_id AS category FROM obs WHERE ts < TIMESTAMP '{CUT}' UNION SELECT variable || '_' || station_id FROM obs WHERE ts >= TIMESTAMP '{CUT}'""")
 def u04(v):
-    return (v.obs.filter("ts < timestamp'2024-01-02'").select("aux")
-            .union(v.obs.filter("ts >= timestamp'2024-01-30'").select("aux")).distinct()
-            .withColumnRenamed("aux", "category"))
+    o = v.obs.select("ts", F.concat_ws("_", "variable", "station_id").alias("category"))
+    return (o.filter(c("ts") < F.lit(CUT).cast("timestamp")).select("category")
+            .union(o.filter(c("ts") >= F.lit(CUT).cast("timestamp")).select("category")).distinct())
 
 
 SQL_VIEWS["drift"] = """SELECT idx, psi, p, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.2 OR p < 0.05 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT idx, round(psi, 6) AS psi, round(p, 6) AS p FROM psi_d JOIN ks USING (idx))"""
@@ -590,10 +591,10 @@ def a60(v):
     return L.pair_interactions(contrib(v), "vec_id", "idx", "contribution", 10)
 
 
-@query("a61_partial_dependence", """SELECT idx, k AS grid, round(avg(score - w * x + w * (lo + k * (hi - lo) / 9)), 8) AS mean_prediction FROM (SELECT f.*, (idx % 7 - 3) AS w, sum(x * (idx % 7 - 3)) OVER (PARTITION BY vec_id) AS score, min(x) OVER (PARTITION BY idx) AS lo, max(x) OVER (PARTITION BY idx) AS hi FROM feature f) CROSS JOIN range(10) r(k) WHERE idx IN (0, 1, 5) GROUP BY 1, 2""")
+@query("a61_partial_dependence", """SELECT idx, k AS grid, round(avg(score - w * x + w * (lo + k * (hi - lo) / 9)), 8) AS mean_prediction FROM (SELECT f.*, (idx % 7 - 3) AS w, sum(x * (idx % 7 - 3)) OVER (PARTITION BY vec_id) AS score, min(x) OVER (PARTITION BY idx) AS lo, max(x) OVER (PARTITION BY idx) AS hi FROM feature f) CROSS JOIN range(10) r(k) GROUP BY 1, 2""")
 def a61(v):
     """Mean prediction when one feature of a linear score is set to each grid value."""
-    return L.partial_dependence(v.feature, "vec_id", "idx", "x", F.col("idx") % 7 - 3, [0, 1, 5], 10)
+    return L.partial_dependence(v.feature, "vec_id", "idx", "x", F.col("idx") % 7 - 3, 10)
 
 
 @query("a23_trend", """SELECT watershed_id, count(*) AS n, round(regr_slope(v, t), 6) AS slope_per_year, round(regr_r2(v, t), 8) AS r2, round(regr_r2(v, t) / (1 - regr_r2(v, t)) * (count(*) - 2), 5) AS f_stat FROM (

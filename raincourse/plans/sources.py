@@ -101,21 +101,21 @@ def s07(v):
 
 @query("s08_station_feed", "SELECT CAST(station_id AS VARCHAR) AS station_id, count(*) FILTER (WHERE n_obs % 7 <> 0) AS good, round(sum(precip_mm) FILTER (WHERE n_obs % 7 <> 0), 5) AS rainfall_mm FROM daily GROUP BY 1 HAVING count(*) FILTER (WHERE n_obs % 7 <> 0) > 0")
 def s08(v):
-    """One feed document per day with an array of stations; items with a broken number are rejected."""
+    """Feed documents of a day and up to a hundred stations; items with a broken number are rejected."""
     item = F.struct(c("station_id").cast("string").alias("station_id"), F.when(c("n_obs") % 7 == 0, "bad").otherwise("1.5").alias("lat"), F.lit("100").alias("lon"), c("precip_mm").cast("string").alias("rainfall"))
-    docs = v.daily.groupBy("day").agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("doc"))
+    docs = v.daily.groupBy("day", F.floor(c("station_id") / 100)).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("doc"))
     good, _ = scans.station_feed(docs, "doc")
     return good.groupBy("station_id").agg(F.count("*").alias("good"), F.round(F.sum("rainfall_mm"), 5).alias("rainfall_mm"))
 
 
 @query("s09_granule_catalogue", "SELECT 'g' || o_orderkey AS id, round(o_totalprice / 7, 2) AS size_mb, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'https://data/' || o_orderkey END AS url FROM orders WHERE (o_orderkey * 7) % 100 < 20 AND o_orderdate >= TIMESTAMP '1997-01-01'")
 def s09(v):
-    """Nested catalogue entries; the first link whose relation is data; filters on time and cloud."""
+    """Nested catalogue pages of at most a thousand entries; the first link whose relation is data; filters on time and cloud."""
     k = c("o_orderkey")
     data = F.struct(F.when(k % 3 == 0, "browse").otherwise(scans.DATA_LINK).alias("rel"), F.concat(F.lit("https://data/"), k.cast("string")).alias("href"))
     entry = F.struct(F.concat(F.lit("g"), k.cast("string")).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time_start"), (c("o_totalprice") / 7).alias("granule_size"),
                      ((k * 7) % 100).cast("double").alias("cloud_cover"), F.array(F.struct(F.lit("metadata").alias("rel"), F.lit("https://meta").alias("href")), data).alias("links"))
-    docs = v.table("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entry")).alias("feed"))).alias("doc"))
+    docs = v.table("orders").groupBy(F.floor(k / 1000).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entry")).alias("feed"))).alias("doc"))
     g = scans.granule_feed(docs, "doc")
     return g.filter((c("cloud_cover") < 20) & (c("time_start") >= F.lit("1997-01-01").cast("timestamp"))).select("id", "size_mb", "url")
 
@@ -198,8 +198,8 @@ def s18(v):
     return v.spark.read.parquet(path).agg(F.lit("daily").alias("dataset"), F.lit(n).cast("long").alias("records"), status.alias("status"))
 
 
-@query("s19_newest_file", "SELECT river_id, strftime(day, '%Y-%m-%d') AS day, round(discharge_cms, 6) AS discharge_cms FROM daily_flow WHERE day = (SELECT max(day) FROM daily_flow d WHERE d.river_id = daily_flow.river_id AND d.day < DATE '1995-03-01') ")
+@query("s19_newest_file", "SELECT river_id, strftime(day, '%Y-%m-%d') AS day, round(discharge_cms, 6) AS discharge_cms FROM daily_flow QUALIFY row_number() OVER (PARTITION BY river_id ORDER BY daily_flow.day DESC) = 1")
 def s19(v):
     """Rows carry the name of their file; the newest file of each entity is kept."""
-    d = v.daily_flow.filter("day < date'1995-03-01'").withColumn("file", F.format_string("out/forecast_%d_%s.json", "river_id", F.date_format("day", "yyyyMMdd")))
+    d = v.daily_flow.withColumn("file", F.format_string("out/forecast_%d_%s.json", "river_id", F.date_format("day", "yyyyMMdd")))
     return scans.newest_file(d, ["river_id"], c("file"), r"_(\d{8})\.json$").select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("discharge_cms", 6).alias("discharge_cms"))

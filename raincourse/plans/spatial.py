@@ -104,10 +104,11 @@ def j08(v):
     return out.select("event_id", F.round("precip_mm", 6).alias("precip_mm"), F.round("temp_c", 6).alias("temp_c"))
 
 
-@query("j09_latest_features", "SELECT station_id, round(arg_max(precip_mm, ts), 6) AS precip_mm, arg_max(humidity, ts) AS humidity FROM hourly WHERE station_id IN (SELECT station_id FROM station WHERE station_id % 3 = 0) GROUP BY 1")
+@query("j09_latest_features", "SELECT station_id, round(arg_max(precip_mm, ts), 6) AS precip_mm, arg_max(humidity, ts) AS humidity FROM hourly WHERE station_id IN (SELECT entity_id FROM alert WHERE severity = 'critical') GROUP BY 1")
 def j09(v):
-    keys = v.station.filter("station_id % 3 = 0").select("station_id")
-    return latest_per_key(v.hourly, ["station_id"], ["ts"]).join(keys, "station_id").select("station_id", F.round("precip_mm", 6).alias("precip_mm"), "humidity")
+    """Newest features of the entities asked for (here those with a critical alert)."""
+    keys = v.alert.filter("severity = 'critical'").select(c("entity_id").alias("station_id"))
+    return latest_per_key(v.hourly, ["station_id"], ["ts"]).join(keys, "station_id", "left_semi").select("station_id", F.round("precip_mm", 6).alias("precip_mm"), "humidity")
 
 
 @query("j11_prefix_match", """SELECT p_partkey, coalesce((SELECT arg_min(r, k) FROM (VALUES (1, 'Brand#1', 'java'), (2, 'Brand#2', 'sumatra'), (3, 'Brand#3', 'kalimantan')) t(k, p, r) WHERE starts_with(p_brand, p)), ['java','sumatra','kalimantan','sulawesi','maluku_papua'][CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 5 + 1]) AS region FROM part""")
@@ -150,7 +151,7 @@ def j19(v):
     return v.station.select("station_id", F.explode(days).alias("d")).select("station_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
-@query("j23_overlay_defaults", "SELECT n_nationkey AS river_id, coalesce(f.w, 30.0 + n_nationkey * 4) AS width_m, coalesce(f.b, 2.5) AS bank_m FROM nation LEFT JOIN (SELECT river_id, round(avg(discharge_cms) / 5, 4) AS w, CASE WHEN river_id % 2 = 0 THEN 3.5 END AS b FROM flow WHERE river_id % 3 = 0 GROUP BY 1) f ON f.river_id = n_nationkey")
+@query("j23_overlay_defaults", "SELECT n_nationkey AS river_id, coalesce(f.w, 30.0 + n_nationkey * 4) AS width_m, CAST(coalesce(f.b, 2.5) AS DOUBLE) AS bank_m FROM nation LEFT JOIN (SELECT river_id, round(avg(discharge_cms) / 5, 4) AS w, CASE WHEN river_id % 2 = 0 THEN 3.5 END AS b FROM flow WHERE river_id % 3 = 0 GROUP BY 1) f ON f.river_id = n_nationkey")
 def j23(v):
     base = v.table("nation").select(c("n_nationkey").alias("river_id"), (30.0 + c("n_nationkey") * 4).alias("width_m"), F.lit(2.5).alias("bank_m"))
     feats = v.flow.filter("river_id % 3 = 0").groupBy("river_id").agg(F.round(F.avg("discharge_cms") / 5, 4).alias("width_m")).withColumn("bank_m", F.when(c("river_id") % 2 == 0, 3.5))

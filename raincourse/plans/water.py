@@ -393,7 +393,7 @@ def m30(v):
                              F.format_string("WAI=%d/100. %s", F.floor("wai"), F.replace(c("advice"), F.lit("_"), F.lit(" "))).alias("text"))
 
 
-@query("m31_outlook_months", """SELECT watershed_id, strftime(month, '%Y-%m') AS month, strftime(month + INTERVAL 1 MONTH, '%Y-%m') || ',' || strftime(month + INTERVAL 2 MONTH, '%Y-%m') || ',' || strftime(month + INTERVAL 3 MONTH, '%Y-%m') AS months, round(p_mm * f * 3, 4) AS rain_3m, round((f - 1) * 100, 4) AS anomaly_pct, round(greatest(17 * 30 - p_mm * f * 3 * 0.7 * 0.3, 0) * 10, 3) AS deficit_m3ha, conf AS confidence
+@query("m31_outlook_months", """SELECT watershed_id, strftime(month, '%Y-%m') AS month, strftime(month + INTERVAL 1 MONTH, '%Y-%m') || ',' || strftime(month + INTERVAL 2 MONTH, '%Y-%m') || ',' || strftime(month + INTERVAL 3 MONTH, '%Y-%m') AS months, round(p_mm * f * 3, 4) AS rain_3m, CAST(round((f - 1) * 100, 4) AS DOUBLE) AS anomaly_pct, round(greatest(17 * 30 - p_mm * f * 3 * 0.7 * 0.3, 0) * 10, 3) AS deficit_m3ha, CAST(conf AS DOUBLE) AS confidence
     FROM (SELECT *, [1.30, 1.12, 1.00, 0.82, 0.65][watershed_id % 5 + 1] AS f, [65.0, 75.0, 82.0, 72.0, 60.0][watershed_id % 5 + 1] AS conf FROM monthly)""")
 def m31(v):
     """Phase factor applied to the next three months; crop need 17 mm/day over 30 days, 70 % of rain effective."""
