@@ -116,14 +116,18 @@ def inverse_error_weights(errors: DataFrame) -> DataFrame:
     return errors.select("model_id", (inv / (total + 1e-12)).alias("weight"))
 
 
-def ensemble(members: DataFrame, keys: list[str], x: Column, w: Column) -> DataFrame:
-    """Weighted mean, spread and 90 % bounds; members of one target are few."""
-    s = members.filter(x.isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(w.alias("w"), x.alias("x"))).alias("m"))
+def ensemble(members: DataFrame, keys: list[str], x: Column, w: Column, scores: Column | None = None) -> DataFrame:
+    """Weighted mean, spread and 90 % bounds; members of one target are few.
+
+    ``scores`` is a nonconformity quantile of the group, when known; else the bounds are normal.
+    """
+    known = F.lit(None).cast("double") if scores is None else F.max(scores)
+    s = members.filter(x.isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(w.alias("w"), x.alias("x"))).alias("m"), known.alias("_q"))
     sw = F.aggregate("m", F.lit(0.0), lambda a, e: a + e.w)
     s = s.withColumn("mean", F.aggregate("m", F.lit(0.0), lambda a, e: a + e.w * e.x) / sw)
     var = F.aggregate("m", F.lit(0.0), lambda a, e: a + e.w * F.pow(e.x - F.col("mean"), 2)) / sw
     s = s.withColumn("std", F.sqrt(var))
-    margin = 1.645 * F.greatest("std", F.lit(1e-6))
+    margin = F.coalesce("_q", 1.645 * F.greatest("std", F.lit(1e-6)))
     return s.select(*keys, "mean", "std", (F.col("mean") - margin).alias("lower"), (F.col("mean") + margin).alias("upper"))
 
 
@@ -134,12 +138,17 @@ def split_conformal(df: DataFrame, keys: list[str], score: str, level: float) ->
     return c.filter(F.col("n_before") < k).groupBy(*keys).agg(F.max(score).alias("split_conformal"))
 
 
-def interval_scale(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Factor that moves interval coverage to the target (0.5 to 3)."""
+def interval_scale(df: DataFrame, keys: list[str], method: str = "isotonic") -> DataFrame:
+    """Factor that moves interval coverage to the target: ``isotonic`` never shrinks below it
+    (0.5 to 3), ``platt`` is the plain ratio (0.5 to 2)."""
     p = df.groupBy(*keys).agg(coverage(F.col("y_true"), F.col("q_lo"), F.col("q_hi")).alias("_p"))
     factor = (F.when(F.col("_p") < COVERAGE_FLOOR, COVERAGE_TARGET / F.greatest("_p", F.lit(0.01)))
               .otherwise(COVERAGE_TARGET / F.greatest("_p", F.lit(COVERAGE_TARGET))))
-    return sized(p.select(*keys, clip(factor, 0.5, 3.0).alias("scale")), "scale")
+    if method == "platt":
+        scale = clip(COVERAGE_TARGET / F.greatest("_p", F.lit(0.01)), 0.5, 2.0)
+    else:
+        scale = clip(factor, 0.5, 3.0)
+    return sized(p.select(*keys, scale.alias("scale")), "scale")
 
 
 def apply_interval_scale(df: DataFrame) -> DataFrame:

@@ -71,11 +71,11 @@ def s04(v):
 
 @query("s05_grid_table", "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS cells, round(sum(precip_mm), 4) AS total FROM daily WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1")
 def s05(v):
-    """Grid rows partitioned by date; the scan lists three dates only."""
+    """Grid rows partitioned by date, a date spread over several files; the scan lists three dates only."""
     path = new_path(v.spark, "grid")
     s = c("station_id")
     g = v.daily.select(c("day").alias("date"), ((s * 37) % 1700).cast("int").alias("lat_idx"), ((s * 61) % 4600).cast("int").alias("lon_idx"), c("precip_mm").alias("value"))
-    g.repartition("date").write.partitionBy("date").parquet(path)
+    g.repartition("date", c("lat_idx") % 8).write.partitionBy("date").parquet(path)
     r = scans.grid_table(v.spark, path, "2024-01-10", "2024-01-12")
     return r.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("cells"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -160,7 +160,7 @@ def s14(v):
     """Rows of a date are replaced, others appended; only touched partitions are rewritten."""
     path = new_path(v.spark, "upsert")
     d = v.daily.select("station_id", "day", "precip_mm", F.lit(1).alias("version"), F.weekofyear("day").alias("week"))
-    d.filter("day < date'2024-01-25'").repartition("week").write.partitionBy("week").parquet(path)
+    d.filter("day < date'2024-01-25'").repartition("week", c("station_id") % 8).write.partitionBy("week").parquet(path)
     new = d.filter("day >= date'2024-01-20'").withColumns({"precip_mm": c("precip_mm") + 1, "version": F.lit(2)})
     sinks.upsert_partitions(v.spark, path, new, "week", ["station_id", "day"], "version")
     return v.spark.read.parquet(path).select("station_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("precip_mm", 6).alias("precip_mm"))

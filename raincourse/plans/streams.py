@@ -77,12 +77,17 @@ def t03s(v):
     return P.run_to_table(P.suppress_stream(a, "entity_id", "ts", "alert_id", TTL), "sent")
 
 
-SQL_LIFE = """SELECT entity_id, alert_id, severity AS level, CASE WHEN severity = 'low' THEN 'resolve' ELSE 'create' END AS action FROM (SELECT *, lag(severity, 1, 'low') OVER (PARTITION BY entity_id ORDER BY issued_at, alert_id) AS prev FROM alert) WHERE severity <> prev"""
+SQL_LIFE = """SELECT entity_id, alert_id, state AS level, CASE WHEN state = 'low' THEN 'resolve' ELSE 'create' END AS action FROM (SELECT *, lag(state, 1, 'low') OVER (PARTITION BY entity_id ORDER BY issued_at, alert_id) AS prev FROM (SELECT *, CASE WHEN severity = 'low' THEN 'low' ELSE strftime(issued_at, '%Y%m%d') || '-' || severity END AS state FROM alert)) WHERE state <> prev"""
+
+
+def alert_state(level: F.Column, ts: str) -> F.Column:
+    """Identity of an alert: day and level, so that a level that holds is issued anew each day."""
+    return F.when(level == "low", "low").otherwise(F.concat_ws("-", F.date_format(ts, "yyyyMMdd"), level))
 
 
 @query("t04_alert_lifecycle_batch", SQL_LIFE)
 def t04(v):
-    return ST.level_changes(v.alert, "entity_id", "issued_at", "alert_id", c("severity"), "low")
+    return ST.level_changes(v.alert, "entity_id", "issued_at", "alert_id", alert_state(c("severity"), "issued_at"), "low")
 
 
 @query("t04_alert_lifecycle_stream", SQL_LIFE)
@@ -90,7 +95,7 @@ def t04s(v):
     x = c("value")
     level = F.when(x >= 150, "critical").when(x >= 100, "high").when(x >= 50, "medium").otherwise("low")
     a = stream(v).select(c("user_id").alias("entity_id"), c("event_id").alias("alert_id"), "ts", "value")
-    return P.run_to_table(P.lifecycle_stream(a, "entity_id", "ts", "alert_id", level, "low"), "lifecycle")
+    return P.run_to_table(P.lifecycle_stream(a, "entity_id", "ts", "alert_id", alert_state(level, "ts"), "low"), "lifecycle")
 
 
 @query("t07_late_rows", "SELECT station_id, count(*) FILTER (WHERE d <= 35) AS in_time, count(*) FILTER (WHERE d > 35) AS late FROM (SELECT station_id, (event_id * 37) % 100 AS d FROM obs) GROUP BY 1")

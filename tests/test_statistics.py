@@ -67,3 +67,16 @@ def test_split_conformal_level(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(1, 11)], "k int, s double")
     assert L.split_conformal(df, ["k"], "s", 0.80).first().split_conformal == 9.0  # ceil(11 * 0.8) = 9th
     assert L.split_conformal(df, ["k"], "s", 0.99).first().split_conformal == 10.0  # capped at the largest
+
+
+def test_ensemble_bounds(spark):
+    m = spark.createDataFrame([(1, 10.0, 1.0, 3.0), (1, 20.0, 1.0, 3.0), (1, None, 5.0, 3.0)], "k int, x double, w double, q double")
+    r = L.ensemble(m, ["k"], F.col("x"), F.col("w")).first()
+    assert (r["mean"], r["std"]) == (15.0, 5.0) and r.upper == pytest.approx(15 + 1.645 * 5)
+    assert L.ensemble(m, ["k"], F.col("x"), F.col("w"), F.col("q")).first().lower == 12.0
+
+
+def test_interval_scale(spark):
+    df = spark.createDataFrame([(1, float(i), 0.0, 4.0) for i in range(10)] + [(2, 1.0, 0.0, 4.0)] * 10, "k int, y_true double, q_lo double, q_hi double")
+    assert {r.k: r.scale for r in L.interval_scale(df, ["k"]).collect()} == pytest.approx({1: 1.8, 2: 0.9})
+    assert {r.k: r.scale for r in L.interval_scale(df, ["k"], "platt").collect()} == pytest.approx({1: 1.8, 2: 0.9})
