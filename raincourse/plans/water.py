@@ -11,7 +11,7 @@ from raincourse.operators import learning as L
 from raincourse.operators.rollup import clip, latest_per_key, level_of, rank_of, worst
 from raincourse.operators.spatial import box_join
 from raincourse.registry import query
-from raincourse.streaming.state import fold_storage
+from raincourse.streaming.state import fold_storage, series_of
 from raincourse.views import SQL_VIEWS, Views
 
 c = F.col
@@ -24,17 +24,21 @@ SQL_VIEWS["gate"] = """SELECT *, CASE WHEN frac >= 1.0 THEN 'EMERGENCY' WHEN fra
     least(CASE WHEN frac < 0.6 THEN normal_release_cms * 0.5 WHEN frac < 0.9 THEN normal_release_cms * (1 + (frac - 0.6) / (0.9 - 0.6)) WHEN frac < 1.0 THEN normal_release_cms + capacity_m3 * 0.10 / 21600.0 ELSE max_release_cms END, max_release_cms) AS release FROM res_now"""
 
 
-def inflow(v: Views) -> DataFrame:
-    """Reservoir inflow: river flow times a cascade factor, with a rain supplement on some rivers."""
+def reservoir_inflow(river_cms: F.Column) -> F.Column:
+    """River flow times a cascade factor, with a rain supplement on some rivers."""
     r = c("reservoir_id") % 3
     factor = F.when(r == 0, 0.85).when(r == 1, 0.95).otherwise(1.0)
-    rain = F.when(c("river_id") < 10, 4500 * 1.5 * 0.6 / 3600.0).otherwise(0.0)
+    return factor * (river_cms + F.when(c("river_id") < 10, 4500 * 1.5 * 0.6 / 3600.0).otherwise(0.0))
+
+
+def inflow(v: Views) -> DataFrame:
     return v.reservoir.join(v.daily_flow.select("river_id", "day", "discharge_cms"), "river_id").withColumn(
-        "inflow_cms", factor * (c("discharge_cms") + rain)).drop("discharge_cms")
+        "inflow_cms", reservoir_inflow(c("discharge_cms"))).drop("discharge_cms")
 
 
 def res_now(v: Views) -> DataFrame:
-    n = latest_per_key(inflow(v), ["reservoir_id"], ["day"])
+    newest = latest_per_key(v.daily_flow, ["river_id"], ["day"])
+    n = v.reservoir.join(newest, "river_id").withColumn("inflow_cms", reservoir_inflow(c("discharge_cms")))
     s = water.next_storage(c("capacity_m3") * (0.3 + (c("reservoir_id") % 8) / 10.0), c("inflow_cms"), F.lit(50.0), c("capacity_m3"), c("dead_m3"), 24)
     n = n.withColumn("s", s).withColumn("frac", (c("s") - c("dead_m3")) / F.greatest("capacity_m3", F.lit(1.0)))
     return n.withColumns({"gate": water.gate_state(c("frac")),
@@ -83,8 +87,10 @@ def j21(v):
       UNION ALL SELECT d.reservoir_id, d.i, greatest(least(r.s + (d.inflow_cms - 240.0) * 24.0 * 3600.0, d.capacity_m3 + d.dead_m3), d.dead_m3) FROM r JOIN d ON d.reservoir_id = r.reservoir_id AND d.i = r.i + 1)
     SELECT reservoir_id, max(i)::BIGINT AS steps, round(arg_max(s, i), 0) AS last_m3, round(min(s), 0) AS low_m3, round(max(s), 0) AS high_m3 FROM r GROUP BY 1""")
 def t05(v):
-    """Storage carried from day to day with clamps; one row per day bounds the series of a reservoir."""
-    f = fold_storage(inflow(v), ["reservoir_id", "capacity_m3", "dead_m3"], "day", "inflow_cms", F.lit(240.0), 24.0, 0.65)
+    """Storage carried from day to day with clamps. The series of a river is built once (one
+    value per day) and joined to its reservoirs."""
+    r = v.reservoir.join(series_of(v.daily_flow, ["river_id"], "day", "discharge_cms"), "river_id")
+    f = fold_storage(r, c("capacity_m3"), c("dead_m3"), lambda x: reservoir_inflow(x.discharge_cms), F.lit(240.0), 24.0, 0.65)
     return f.select("reservoir_id", "steps", *[F.round(x, 0).alias(x) for x in ("last_m3", "low_m3", "high_m3")])
 
 

@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 from raincourse.operators.ordered import drop_halo, rolling_rows, running_total, time_blocks
 
 
-def fold_storage(df: DataFrame, keys: list[str], order: str, inflow: str, outflow: Column, hours: float,
+def series_of(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """One row per key with its ordered series as ``series`` (one value per time step)."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("series"))
+
+
+def fold_storage(df: DataFrame, capacity: Column, dead: Column, inflow, outflow: Column, hours: float,
                  start_fraction: float) -> DataFrame:
-    """Storage carried through an ordered series with clamps at each step.
+    """Storage carried through ``series`` with clamps at each step: steps, last, lowest, highest.
 
-    ``keys`` are (id, capacity, dead storage). A series has one value per time
-    step, so its array is bounded by the calendar, not by the row count.
+    ``inflow`` maps an element of the series to m3/s. A series has one value per
+    time step, so its length is bounded by the calendar, not by the row count.
     """
-    cap, dead = F.col(keys[1]), F.col(keys[2])
-    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, (F.col(inflow) - outflow).alias("net")))).alias("_s"))
-    start = F.struct((cap * start_fraction).alias("v"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
+    start = F.struct((capacity * start_fraction).alias("v"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
 
     def step(a: Column, x: Column) -> Column:
-        new = F.greatest(F.least(a.v + x.net * hours * 3600.0, cap + dead), dead)
+        new = F.greatest(F.least(a.v + (inflow(x) - outflow) * hours * 3600.0, capacity + dead), dead)
         return F.struct(new.alias("v"), F.least(a.lo, new).alias("lo"), F.greatest(a.hi, new).alias("hi"))
 
-    return (s.withColumn("_r", F.aggregate("_s", start, step))
-            .select(*keys, F.size("_s").cast("long").alias("steps"), F.col("_r.v").alias("last_m3"),
-                    F.col("_r.lo").alias("low_m3"), F.col("_r.hi").alias("high_m3")))
+    return (df.withColumn("_r", F.aggregate("series", start, step))
+            .withColumns({"steps": F.size("series").cast("long"), "last_m3": F.col("_r.v"),
+                          "low_m3": F.col("_r.lo"), "high_m3": F.col("_r.hi")}).drop("_r", "series"))
 
 
 def suppress_repeats(alerts: DataFrame, key: str, ts: str, id_column: str, ttl_s: int, width_s: int = 86_400) -> DataFrame:

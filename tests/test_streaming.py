@@ -89,5 +89,5 @@ def test_test_extension(spark):
 
 def test_storage_stays_in_its_bounds(spark):
     d = spark.createDataFrame([(1, 1e6, 5e4, i, 4000.0 if i % 3 else 0.0) for i in range(60)], "r long, cap double, dead double, day int, q double")
-    f = ST.fold_storage(d, ["r", "cap", "dead"], "day", "q", F.lit(900.0), 24.0, 0.65).first()
+    f = ST.fold_storage(ST.series_of(d, ["r", "cap", "dead"], "day", "q"), F.col("cap"), F.col("dead"), lambda x: x.q, F.lit(900.0), 24.0, 0.65).first()
     assert f.steps == 60 and f.low_m3 >= 5e4 and f.high_m3 <= 1.05e6
