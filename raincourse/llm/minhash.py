@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     first = sized(first.union(star).distinct(), "pairs")
     # Every class with a likely partner is in a spanning forest, so these texts serve the second check as well.
     needed = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct().join(classes.select("cls", "least"), "cls")
-    texts = texts_of(docs, words).join(sized(needed, "needed"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    # Merged at every size: a broadcast here would hold a class per likely copy of the corpus.
+    texts = texts_of(docs, words).join(sized(needed, "needed").hint("merge"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
     texts = sized(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")
     links = sized(linked_pairs(first, texts, percent, words), "links")
     roots = components(links)
