@@ -156,7 +156,7 @@ def _split_crowded(leaves: DataFrame, classes: DataFrame, leaf: int) -> DataFram
         crowded = sized(sizes.where(F.col("m") > leaf), "crowded")
         if crowded.isEmpty():
             break
-        rest = leaves.join(crowded, "code", "left_anti")
+        rest = leaves.join(crowded, "code", "left_anti").select("cid", "code")
         kept = sized(rest if kept is None else kept.union(rest), "leaves")
         rows = leaves.join(crowded, "code").join(classes.select("cid", "embedding", "dims"), "cid")
 
