@@ -116,29 +116,56 @@ def _prefix(depth: int):
 def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFrame]:
     """Regions as rows (key, cls), each of 2 to ``limit`` classes, and pairs (a, b) to check besides.
 
-    A region still larger than ``limit`` when all values of the signature agree is dealt to blocks,
-    and each of its classes is paired with its least one.
+    Where a region is crowded at the first depth, each of its classes is also paired with the centre:
+    the class that stays in crowd the deepest, whose signature most others follow the longest. So
+    members of a dense group that the deeper cuts part still meet what the group is made of. A
+    region still larger than ``limit`` when all values of the signature agree is dealt to blocks.
     """
-    rows = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
-    ready, star = [], []
+    rows = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), F.lit(None).cast("long").alias("home"))
+    ready, deep = [], []
     for depth in DEPTHS:
-        keyed = rows.select("cls", "t", _prefix(depth).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("hub")).where("n > 1")
+        keyed = rows.select("cls", "t", "home", _prefix(depth).alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         level = sized(keyed.join(sizes, "key"), "level")
         ready.append(level.where(F.col("n") <= limit).select("key", "cls"))
-        crowded = level.where(F.col("n") > limit)
+        crowded = level.where(F.col("n") > limit).select("cls", "t", F.coalesce("home", "key").alias("home"), "key", "n")
         if crowded.isEmpty():
             break
+        deep.append(crowded.select("home", "cls", F.struct(F.lit(depth).alias("depth"), "n", "cls").alias("rank")))
         if depth == VALUES:
             block = F.pmod(F.xxhash64("cls"), F.ceil(2 * F.col("n") / limit))
             ready.append(crowded.select(F.xxhash64("key", block).alias("key"), "cls"))
-            star.append(crowded.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-        rows = crowded.select("cls", "t").join(classes, "cls").select("cls", "sig", "t")
+        rows = crowded.select("cls", "t", "home").join(classes, "cls").select("cls", "sig", "t", "home")
     found = ready[0]
     for more in ready[1:]:
         found = found.union(more)
-    pairs = star[0].distinct() if star else rows.sparkSession.createDataFrame([], "a binary, b binary")
-    return found, pairs
+    if not deep:
+        return found, rows.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
+    ranks = deep[0]
+    for more in deep[1:]:
+        ranks = ranks.union(more)
+    centres = sized(ranks.groupBy("home").agg(F.max("rank").alias("rank")).select("home", F.col("rank.cls").alias("hub")), "centres")
+    pairs = deep[0].join(centres, "home").where("cls != hub")
+    return found, pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough."""
+    least = least_share(threshold)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(batch), -1) for c in (batch.column(2), batch.column(3)))
+            keep = (x == y).mean(axis=1) >= least
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    a, b = (sigs.select(F.col("cls").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+
+
+def least_share(threshold: float) -> float:
+    """Share of equal signature values four standard deviations below the threshold."""
+    return threshold - 4 * (threshold * (1 - threshold) / VALUES) ** 0.5
 
 
 def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFrame:
@@ -148,7 +175,7 @@ def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFr
     threshold or above. ``spanning``: only a spanning forest of the likeliest pairs of each region;
     otherwise all likely pairs with different roots.
     """
-    least = threshold - 4 * (threshold * (1 - threshold) / VALUES) ** 0.5
+    least = least_share(threshold)
 
     def pairs_of(names, sigs, groups):
         m = len(names)
@@ -231,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     members = sized(members.distinct(), "regions")
     gather = F.collect_list(F.struct("cls", "sig", "root")).alias("members")
     first = likely_pairs(members.join(sigs, "cls").withColumn("root", F.lit(None).cast("binary")).groupBy("key").agg(gather), percent / 100, True)
-    first = sized(first.union(star).distinct(), "pairs")
+    first = sized(first.union(likely(star, sigs, percent / 100)).distinct(), "pairs")
     # Every class with a likely partner is in a spanning forest, so these texts serve the second check as well.
     needed = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct().join(classes.select("cls", "least"), "cls")
     # Merged at every size: a broadcast here would hold a class per likely copy of the corpus.
@@ -239,8 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     texts = sized(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")
     links = sized(linked_pairs(first, texts, percent, words), "links")
     roots = components(links)
-    likely = needed.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    apart = members.join(sized(likely, "roots"), "cls")
+    placed = needed.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    apart = members.join(sized(placed, "roots"), "cls")
     open_keys = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     grouped = apart.join(sized(open_keys, "open"), "key").join(sigs, "cls").groupBy("key").agg(gather)
     second = likely_pairs(grouped, percent / 100, False).join(first, ["a", "b"], "left_anti")
