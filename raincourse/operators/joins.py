@@ -50,12 +50,14 @@ def as_of(rows: DataFrame, features: DataFrame, keys: list[str], ts: str, values
     return carried.filter("_side = 1").select(*rows.columns, *[F.col(f"_known.{n}").alias(n) for n in values])
 
 
-def substring_join(rows: DataFrame, text: str, dim: DataFrame, key: str, lengths: tuple[int, int]) -> DataFrame:
-    """Rows whose text contains ``key`` of the dimension (key length within ``lengths``).
+def substring_join(rows: DataFrame, text: str, dim: DataFrame, key: str) -> DataFrame:
+    """Rows whose text contains ``key`` of the dimension, keys of any length from 1.
 
-    Each text is cut into its distinct substrings of those lengths, so the match is an equi-join.
+    Each text is cut into its distinct substrings of the lengths between the shortest and the
+    longest key, read from the dimension first, so the match is an equi-join.
     """
-    low, high = lengths
+    low, high = dim.where(F.length(key) > 0).agg(F.min(F.length(key)), F.max(F.length(key))).first()
+    low, high = low or 1, high or 1
     cuts = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(low), F.lit(high)),
         lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),

@@ -30,10 +30,12 @@ def point(v: Views) -> DataFrame:
     return v.obs.withColumns({"lat": -11 + ((s * 37) % 1700) / 100.0, "lon": 95 + ((s * 61) % 4600) / 100.0, "province_id": (s % 25).cast("int")})
 
 
-@query("f01_active_alerts", f"SELECT alert_id, severity, strftime(issued_at, '%Y-%m-%d %H:%M:%S') AS issued_at FROM alert WHERE is_active AND alert_type = 'click' AND {SQL_RANK} >= 2 AND province_id IN (3, 4) ORDER BY alert.issued_at DESC, alert_id LIMIT 50")
-def f01(v):
+@query("f01_active_alerts", f"SELECT alert_id, severity, strftime(issued_at, '%Y-%m-%d %H:%M:%S') AS issued_at FROM alert WHERE is_active AND alert_type = 'click' AND {SQL_RANK} >= 2 AND province_id IN (3, 4)")
+def f01(v, limit: int | None = None):
+    """Active alerts of a type, least severity and provinces; with ``limit`` the newest of them."""
     a = v.alert.filter(c("is_active") & (c("alert_type") == "click") & (rank_of(c("severity"), SEVERITY) >= 1) & c("province_id").isin(3, 4))
-    return a.orderBy(c("issued_at").desc(), "alert_id").limit(50).select("alert_id", "severity", iso("issued_at"))
+    a = a if limit is None else a.orderBy(c("issued_at").desc(), "alert_id").limit(limit)
+    return a.select("alert_id", "severity", iso("issued_at"))
 
 
 @query("f02_alert_history", "SELECT alert_id, severity FROM alert WHERE alert_type = 'view' AND issued_at >= (SELECT max(issued_at) FROM alert) - INTERVAL 10 DAY")
@@ -59,9 +61,12 @@ def f04(v):
             .agg(F.round(F.sum("precip_mm"), 6).alias("precip_mm"), F.count("*").alias("n")))
 
 
-@query("f05_air_quality_rows", "SELECT event_id, province_id, value FROM point WHERE province_id = 6 ORDER BY value DESC, event_id LIMIT 25")
-def f05(v):
-    return point(v).filter("province_id = 6").orderBy(c("value").desc(), "event_id").limit(25).select("event_id", "province_id", "value")
+@query("f05_air_quality_rows", "SELECT event_id, province_id, value FROM point WHERE province_id = 6")
+def f05(v, limit: int | None = None):
+    """Air quality rows of a province; with ``limit`` the highest of them."""
+    rows = point(v).filter("province_id = 6")
+    rows = rows if limit is None else rows.orderBy(c("value").desc(), "event_id").limit(limit)
+    return rows.select("event_id", "province_id", "value")
 
 
 @query("f06_deforestation_events", """SELECT o_orderkey AS event_id, round(o_totalprice / 5000, 6) AS area_ha FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND -11 + ((o_orderkey * 37) % 1700) / 100.0 BETWEEN -9 AND 4 AND 95 + ((o_orderkey * 61) % 4600) / 100.0 BETWEEN 98 AND 139

@@ -239,11 +239,13 @@ def u03(v):
     return v.events.select("event_id", F.array_join(missing, ",").alias("missing"))
 
 
-@query("u05_recent_cells", "SELECT DISTINCT station_id FROM obs WHERE ts >= (SELECT max(ts) FROM obs) - INTERVAL 7 DAY ORDER BY station_id LIMIT 200")
-def u05(v):
+@query("u05_recent_cells", "SELECT DISTINCT station_id FROM obs WHERE ts >= (SELECT max(ts) FROM obs) - INTERVAL 7 DAY")
+def u05(v, limit: int | None = None):
+    """Cells seen in the last seven days; with ``limit`` the first of them by id."""
     o = v.obs
     last = o.agg(F.max("ts")).scalar()
-    return o.filter(c("ts") >= last - F.expr("interval 7 days")).select("station_id").dropDuplicates().orderBy("station_id").limit(200)
+    cells = o.filter(c("ts") >= last - F.expr("interval 7 days")).select("station_id").dropDuplicates()
+    return cells if limit is None else cells.orderBy("station_id").limit(limit)
 
 
 @query("x02_name_matching", "SELECT p_partkey, replace(lower(p_name), ' ', '_') AS key, contains(lower(p_name), 'ring') AS is_ring, regexp_matches(lower(p_type), 'eco|std') AS is_cheap FROM part")

@@ -127,7 +127,7 @@ def j11(v):
 def j12(v):
     """First registry code that occurs in a name."""
     dim = v.table("nation").select((c("n_nationkey") + 10).cast("string").alias("code"))
-    hit = J.substring_join(v.table("customer").select("c_custkey", "c_name"), "c_name", dim, "code", (2, 2))
+    hit = J.substring_join(v.table("customer").select("c_custkey", "c_name"), "c_name", dim, "code")
     return hit.groupBy("c_custkey").agg(F.min("code").alias("code"))
 
 

@@ -22,11 +22,23 @@ def parse_bus(messages: DataFrame, schema: str) -> DataFrame:
     return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of one table in a folder as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path in any store that Spark reads is a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream: all files below ``{folder}/{name}.parquet``, or that one file.
+
+    The files that are there at the start are one micro-batch, so answers do not depend on
+    how many files hold the rows.
+    """
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return stream.option("recursiveFileLookup", "true").parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

@@ -99,5 +99,5 @@ def test_as_of_join_with_a_hot_key(spark):
 def test_substring_and_prefix_joins(spark):
     rows = spark.createDataFrame([(1, "river citarum upper"), (2, "solo"), (3, "ci")], "id int, name string")
     dim = spark.createDataFrame([("citarum",), ("solo",), ("ci",)], "code string")
-    assert sorted((r.id, r.code) for r in J.substring_join(rows, "name", dim, "code", (2, 7)).collect()) == [(1, "ci"), (1, "citarum"), (2, "solo"), (3, "ci")]
+    assert sorted((r.id, r.code) for r in J.substring_join(rows, "name", dim, "code").collect()) == [(1, "ci"), (1, "citarum"), (2, "solo"), (3, "ci")]
     assert sorted((r.id, r.code) for r in J.prefix_join(rows, "name", dim, "code").collect()) == [(2, "solo"), (3, "ci")]

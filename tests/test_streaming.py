@@ -91,3 +91,20 @@ def test_storage_stays_in_its_bounds(spark):
     d = spark.createDataFrame([(1, 1e6, 5e4, i, 4000.0 if i % 3 else 0.0) for i in range(60)], "r long, cap double, dead double, day int, q double")
     f = ST.fold_storage(ST.series_of(d, ["r", "cap", "dead"], "day", "q"), F.col("cap"), F.col("dead"), lambda x: x.q, F.lit(900.0), 24.0, 0.65).first()
     assert f.steps == 60 and f.low_m3 >= 5e4 and f.high_m3 <= 1.05e6
+
+
+def test_a_stream_does_not_depend_on_file_layout(spark, folder, tmp_path):
+    from raincourse.plans import load_all
+    from raincourse.registry import QUERIES
+
+    load_all()
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    layouts = {"one": 1, "six": 6, "many": 150}
+    for name, parts in layouts.items():
+        events.repartition(parts).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        events.limit(5).write.parquet(f"{tmp_path}/{name}/events_old.parquet")
+    for query in ("t01_half_hour_stream", "t03_alert_suppression_stream"):
+        want = sorted(map(str, QUERIES[query](spark, folder).collect()))
+        assert want
+        for name in layouts:
+            assert sorted(map(str, QUERIES[query](spark, f"{tmp_path}/{name}").collect())) == want, (query, name)
