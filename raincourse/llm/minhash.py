@@ -26,8 +26,8 @@ WORDS = 5
 TREES, WIDTH = 16, 8
 VALUES = TREES * WIDTH
 FIRST = 4
-DEPTHS = (4, 6, 8, 12, 20, 40, VALUES)
-REGION = 48
+DEPTHS = (4, 5, 6, 7, 8, 10, 12, 16, 20, 28, 40, VALUES)
+REGION = 256
 
 
 def shingle_sets(data: np.ndarray, rows: np.ndarray, hasher: Hasher, words: int = WORDS):
@@ -177,29 +177,37 @@ def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFr
     """
     least = least_share(threshold)
 
-    def pairs_of(names, sigs, groups):
-        m = len(names)
-        i, j = np.triu_indices(m, 1)
-        share = (sigs[i] == sigs[j]).mean(axis=1)
-        keep = share >= least
+    def pairs_of(sigs, groups):
+        m = len(sigs)
+        i, j, share = [], [], []
+        for p in range(m - 1):
+            alike = (sigs[p] == sigs[p + 1:]).mean(axis=1)
+            keep = np.flatnonzero((alike >= least) & (spanning | (groups[p] != groups[p + 1:])))
+            i.append(np.full(len(keep), p))
+            j.append(keep + p + 1)
+            share.append(alike[keep])
+        if m < 2:
+            return
+        i, j, share = np.concatenate(i), np.concatenate(j), np.concatenate(share)
         if not spanning:
-            keep &= np.array([groups[p] != groups[q] for p, q in zip(i, j, strict=True)], bool)
-        i, j, share = i[keep], j[keep], share[keep]
-        if not spanning:
-            return zip(i.tolist(), j.tolist(), strict=True)
-        parent, out = list(range(m)), []
+            yield from zip(i.tolist(), j.tolist(), strict=True)
+            return
+        parent, left = list(range(m)), m - 1
 
         def top(k):
             while parent[k] != k:
                 parent[k] = k = parent[parent[k]]
             return k
 
-        for k in np.argsort(-share, kind="stable").tolist():
-            p, q = top(int(i[k])), top(int(j[k]))
+        order = np.argsort(-share, kind="stable")
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, q = top(x), top(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out.append((int(i[k]), int(j[k])))
-        return out
+                yield x, y
+                left -= 1
+                if left == 0:
+                    return
 
     def run(batches):
         for batch in batches:
@@ -208,7 +216,8 @@ def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFr
                 members = sorted(((x["cls"].as_py(), x["sig"].as_py(), x["root"].as_py()) for x in members.values), key=lambda x: x[0])
                 names = [x[0] for x in members]
                 sigs = np.frombuffer(b"".join(x[1] for x in members), np.uint16).reshape(len(members), -1)
-                for p, q in pairs_of(names, sigs, [x[2] for x in members]):
+                groups = np.unique(np.array([x[2] or b"" for x in members], object), return_inverse=True)[1]
+                for p, q in pairs_of(sigs, groups):
                     a.append(names[p])
                     b.append(names[q])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
