@@ -40,7 +40,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat
     side is copied into each tile its circle touches, so the join is an equi-join
     on tile and no pair is missed or doubled. Longitude tiles are widened for the
     highest latitude in the data. Smaller tiles spread a crowded place over more
-    tasks; rows are not wrapped at 180 degrees.
+    tasks. Longitudes run from -180 to 180; a circle that crosses 180 degrees also
+    touches the tiles on the other side.
     """
     tile = tile_km or radius_km
     dlat = tile / KM_PER_DEGREE
@@ -51,12 +52,18 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat
     def tile_of(c: Column, d: float) -> Column:
         return F.floor(c / d).cast("int")
 
+    def reached(lon_: Column) -> Column:
+        return F.sequence(tile_of(lon_ - reach_lon, dlon), tile_of(lon_ + reach_lon, dlon))
+
+    none = F.array().cast("array<int>")
+    over = F.concat(reached(F.col(r_lon)),
+                    F.when(F.col(r_lon) - reach_lon < -180, reached(F.col(r_lon) + 360)).otherwise(none),
+                    F.when(F.col(r_lon) + reach_lon > 180, reached(F.col(r_lon) - 360)).otherwise(none))
     a = left.withColumns({"_ti": tile_of(F.col(lat), dlat), "_tj": tile_of(F.col(lon), dlon)})
     b = (right
          .withColumn("_ti", F.explode(F.sequence(tile_of(F.col(r_lat) - reach_lat, dlat),
                                                  tile_of(F.col(r_lat) + reach_lat, dlat))))
-         .withColumn("_tj", F.explode(F.sequence(tile_of(F.col(r_lon) - reach_lon, dlon),
-                                                 tile_of(F.col(r_lon) + reach_lon, dlon)))))
+         .withColumn("_tj", F.explode(F.array_distinct(over))))
     return (a.join(b, [*(on or []), "_ti", "_tj"])
             .withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(r_lat), F.col(r_lon)))
             .filter(F.col("distance_km") <= radius_km).drop("_ti", "_tj"))

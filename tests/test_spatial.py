@@ -101,3 +101,10 @@ def test_substring_and_prefix_joins(spark):
     dim = spark.createDataFrame([("citarum",), ("solo",), ("ci",)], "code string")
     assert sorted((r.id, r.code) for r in J.substring_join(rows, "name", dim, "code").collect()) == [(1, "ci"), (1, "citarum"), (2, "solo"), (3, "ci")]
     assert sorted((r.id, r.code) for r in J.prefix_join(rows, "name", dim, "code").collect()) == [(2, "solo"), (3, "ci")]
+
+
+def test_radius_join_crosses_the_date_line(spark):
+    left = spark.createDataFrame([(0.0, 179.9), (0.0, -179.9), (0.0, 0.0)], "lat double, lon double")
+    right = spark.createDataFrame([(0.0, -179.9), (0.0, 179.9)], "g_lat double, g_lon double")
+    got = sorted((r.lon, r.g_lon) for r in radius_join(left, right, 50, 1.0).collect())
+    assert got == [(-179.9, -179.9), (-179.9, 179.9), (179.9, -179.9), (179.9, 179.9)]
