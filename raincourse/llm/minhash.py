@@ -116,36 +116,38 @@ def _prefix(depth: int):
 def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFrame]:
     """Regions as rows (key, cls), each of 2 to ``limit`` classes, and pairs (a, b) to check besides.
 
-    Where a region is crowded at the first depth, each of its classes is also paired with the centre:
-    the class that stays in crowd the deepest, whose signature most others follow the longest. So
-    members of a dense group that the deeper cuts part still meet what the group is made of. A
-    region still larger than ``limit`` when all values of the signature agree is dealt to blocks.
+    Crowded regions of the first depth get their keys of all deeper depths at once. A key is a
+    region when it holds few enough classes and the key above it too many; what stays in crowd to
+    the last value of the signature is dealt to blocks. Where a region is crowded at the first
+    depth, each of its classes is also paired with the centre: the class that stays in crowd the
+    deepest, whose signature most others follow the longest. So members of a dense group that the
+    deeper cuts part still meet what the group is made of.
     """
-    rows = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), F.lit(None).cast("long").alias("home"))
-    ready, deep = [], []
-    for depth in DEPTHS:
-        keyed = rows.select("cls", "t", "home", _prefix(depth).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = sized(keyed.join(sizes, "key"), "level")
-        ready.append(level.where(F.col("n") <= limit).select("key", "cls"))
-        crowded = level.where(F.col("n") > limit).select("cls", "t", F.coalesce("home", "key").alias("home"), "key", "n")
-        if crowded.isEmpty():
-            break
-        deep.append(crowded.select("home", "cls", F.struct(F.lit(depth).alias("depth"), "n", "cls").alias("rank")))
-        if depth == VALUES:
-            block = F.pmod(F.xxhash64("cls"), F.ceil(2 * F.col("n") / limit))
-            ready.append(crowded.select(F.xxhash64("key", block).alias("key"), "cls"))
-        rows = crowded.select("cls", "t", "home").join(classes, "cls").select("cls", "sig", "t", "home")
-    found = ready[0]
-    for more in ready[1:]:
-        found = found.union(more)
-    if not deep:
-        return found, rows.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
-    ranks = deep[0]
-    for more in deep[1:]:
-        ranks = ranks.union(more)
-    centres = sized(ranks.groupBy("home").agg(F.max("rank").alias("rank")).select("home", F.col("rank.cls").alias("hub")), "centres")
-    pairs = deep[0].join(centres, "home").where("cls != hub")
+    keyed = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("cls", "t", _prefix(FIRST).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = sized(keyed.join(sizes, "key"), "level")
+    found = level.where(F.col("n") <= limit).select("key", "cls")
+    crowded = level.where(F.col("n") > limit).select("cls", "t", F.col("key").alias("home"), "n")
+    if crowded.isEmpty():
+        return found, level.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
+    keys = crowded.join(classes, "cls").select("cls", "home", *[_prefix(depth).alias(f"k{depth}") for depth in DEPTHS[1:]])
+    steps = [F.struct(F.lit(depth).alias("depth"), F.col(f"k{depth}").alias("key"), F.col("home" if above == FIRST else f"k{above}").alias("above"))
+             for above, depth in zip(DEPTHS, DEPTHS[1:], strict=False)]
+    deep = sized(keys.select("cls", "home", F.inline(F.array(*steps))), "deep")
+    sizes = sized(deep.groupBy("home", "depth", "key", "above").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    crowds = sizes.where(F.col("n") > limit)
+    cut = crowds.select(F.col("key").alias("above")).union(crowded.select(F.col("home").alias("above")).distinct())
+    ready = sized(sizes.where(F.col("n") <= limit).join(cut, "above", "left_semi").select("key"), "ready")
+    found = found.union(deep.join(ready, "key").select("key", "cls"))
+    last = sized(crowds.where(F.col("depth") == VALUES).select("key", "n"), "last")
+    if not last.isEmpty():
+        block = F.pmod(F.xxhash64("cls"), F.ceil(2 * F.col("n") / limit))
+        found = found.union(deep.where(F.col("depth") == VALUES).join(last, "key").select(F.xxhash64("key", block).alias("key"), "cls"))
+    ranks = crowds.select("home", "depth", "n", "key").union(crowded.select("home", F.lit(FIRST).alias("depth"), "n", F.col("home").alias("key")))
+    best = sized(ranks.groupBy("home").agg(F.max(F.struct("depth", "n", "key")).alias("best")).select("home", F.col("best.key").alias("key")), "best")
+    inside = deep.select("home", "key", "cls").union(crowded.select("home", F.col("home").alias("key"), "cls"))
+    centres = sized(inside.join(best, ["home", "key"]).groupBy("home").agg(F.max("cls").alias("hub")), "centres")
+    pairs = crowded.join(centres, "home").where("cls != hub")
     return found, pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
@@ -276,14 +278,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     links = sized(linked_pairs(first, texts, percent, words), "links")
     roots = components(links)
     placed = needed.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    apart = members.join(sized(placed, "roots"), "cls")
+    placed = sized(placed, "roots")
+    apart = members.join(placed, "cls")
     open_keys = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     grouped = apart.join(sized(open_keys, "open"), "key").join(sigs, "cls").groupBy("key").agg(gather)
     second = likely_pairs(grouped, percent / 100, False).join(first, ["a", "b"], "left_anti")
     more = sized(linked_pairs(sized(second, "pairs"), texts, percent, words), "links")
     if not more.isEmpty():
-        roots = components(links.union(more))
-    per = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        left, right = (placed.select(F.col("cls").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        bridges = more.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        placed = placed.join(components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+        placed = placed.select("cls", F.coalesce("top", "root").alias("root"))
+    per = classes.select("cls", "least").join(placed, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = per.groupBy("root").agg(F.min("least").alias("component_id"))
     per = sized(per.join(least, "root").select("cls", "component_id"), "components")
     joined = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(per, "cls").select("doc_id", "n_shingles", "component_id", "cls")
