@@ -31,7 +31,7 @@ def ceiling_index(coord: Column, start: float, step: float, size: int) -> Column
     return F.least(F.greatest(i, F.lit(0)), F.lit(size - 1)).cast("int")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat: float,
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat: float | None = None,
                 lat: str = "lat", lon: str = "lon", r_lat: str = "g_lat", r_lon: str = "g_lon",
                 on: list[str] | None = None, tile_km: float | None = None) -> DataFrame:
     """All pairs within ``radius_km``, with ``distance_km``.
@@ -39,17 +39,24 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat
     Both sides are cut into tiles of ``tile_km`` (default the radius). The right
     side is copied into each tile its circle touches, so the join is an equi-join
     on tile and no pair is missed or doubled. Longitude tiles are widened for the
-    highest latitude in the data. Smaller tiles spread a crowded place over more
-    tasks. Longitudes run from -180 to 180; a circle that crosses 180 degrees also
-    touches the tiles on the other side.
+    highest latitude of both sides, a scalar of the data unless ``max_abs_lat``
+    names a bound. Smaller tiles spread a crowded place over more tasks. Longitudes
+    run from -180 to 180; a circle that crosses 180 degrees also touches the tiles
+    on the other side, and one that holds a pole touches all longitudes.
     """
     tile = tile_km or radius_km
     dlat = tile / KM_PER_DEGREE
-    dlon = dlat / math.cos(math.radians(max_abs_lat))
     reach_lat = radius_km / KM_PER_DEGREE * 1.000001
-    reach_lon = reach_lat / math.cos(math.radians(max_abs_lat))
-
-    def tile_of(c: Column, d: float) -> Column:
+    if max_abs_lat is None:
+        highest = F.greatest(left.agg(F.max(F.abs(F.col(lat)))).scalar(), right.agg(F.max(F.abs(F.col(r_lat)))).scalar())
+    else:
+        highest = F.lit(float(max_abs_lat))
+    # A circle around latitude L spans at most reach / cos(L + reach) degrees of longitude to each side.
+    top = highest + reach_lat
+    reach_lon = F.when(top < 89, F.least(reach_lat / F.cos(F.radians(top)), F.lit(180.0))).otherwise(180.0)
+    dlon = dlat / F.cos(F.radians(F.least(top, F.lit(89.0))))
+
+    def tile_of(c: Column, d: float | Column) -> Column:
         return F.floor(c / d).cast("int")
 
     def reached(lon_: Column) -> Column:

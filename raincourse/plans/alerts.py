@@ -245,11 +245,12 @@ def w11(v):
     return Q.negative_gaps(o, ["pos"], "ts", 100_000)
 
 
-@query("a56_land_cover", """SELECT p_brand AS region, p_size % 10 + 2015 AS year, round(sum(p_retailprice), 4) AS total_ha, round(coalesce(sum(p_retailprice) FILTER (WHERE p_type = 'ECONOMY'), 0), 4) AS economy_ha, round(coalesce(sum(p_retailprice) FILTER (WHERE p_type = 'ECONOMY'), 0) / sum(p_retailprice) * 100, 6) AS economy_pct FROM part GROUP BY 1, 2""")
+@query("a56_land_cover", """SELECT p_brand AS region, p_size % 10 + 2015 AS year, p_type AS land_class, round(sum(p_retailprice), 4) AS area_ha, round(sum(p_retailprice) / sum(sum(p_retailprice)) OVER (PARTITION BY p_brand, p_size % 10 + 2015) * 100, 6) AS share_pct FROM part GROUP BY 1, 2, 3""")
 def a56(v):
-    x = v.table("part").groupBy(c("p_brand").alias("region"), (c("p_size") % 10 + 2015).alias("year"))
-    e = F.coalesce(F.sum(F.when(c("p_type") == "ECONOMY", c("p_retailprice"))), F.lit(0.0))
-    return x.agg(F.round(F.sum("p_retailprice"), 4).alias("total_ha"), F.round(e, 4).alias("economy_ha"), F.round(e / F.sum("p_retailprice") * 100, 6).alias("economy_pct"))
+    """Area and share of every class per region and year; the window holds one row per class."""
+    area = v.table("part").groupBy(c("p_brand").alias("region"), (c("p_size") % 10 + 2015).alias("year"), c("p_type").alias("land_class")).agg(F.sum("p_retailprice").alias("ha"))
+    share = c("ha") / F.sum("ha").over(Window.partitionBy("region", "year")) * 100
+    return area.select("region", "year", "land_class", F.round("ha", 4).alias("area_ha"), F.round(share, 6).alias("share_pct"))
 
 
 @query("a57_provinces", "SELECT DISTINCT province_id FROM point")

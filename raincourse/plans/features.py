@@ -219,16 +219,16 @@ def g05(v):
 
 
 # --- sets, text, structures ------------------------------------------------
-@query("u01_concatenate_parts", "SELECT event_id, value, NULL AS precip_mm FROM obs WHERE variable = 'click' UNION ALL SELECT event_id, value, precip_mm FROM obs WHERE variable = 'view'")
+@query("u01_concatenate_parts", "SELECT event_id, value, NULL AS precip_mm FROM obs WHERE variable IS DISTINCT FROM 'view' UNION ALL SELECT event_id, value, precip_mm FROM obs WHERE variable = 'view'")
 def u01(v):
-    a = v.obs.filter("variable = 'click'").select("event_id", "value")
+    a = v.obs.filter("variable IS DISTINCT FROM 'view'").select("event_id", "value")
     b = v.obs.filter("variable = 'view'").select("event_id", "value", "precip_mm")
     return series.stack([a, b])
 
 
-@query("u02_common_rows", "SELECT station_id, aux FROM obs WHERE variable = 'click' INTERSECT SELECT station_id, aux FROM obs WHERE variable = 'view'")
+@query("u02_common_rows", "SELECT station_id, aux FROM obs WHERE variable = 'click' INTERSECT SELECT station_id, aux FROM obs WHERE variable IS DISTINCT FROM 'click'")
 def u02(v):
-    a, b = (v.obs.filter(c("variable") == n) for n in ("click", "view"))
+    a, b = (v.obs.filter(f"variable IS {n}DISTINCT FROM 'click'") for n in ("NOT ", ""))
     cols = [n for n in a.columns if n in b.columns and n in ("station_id", "aux")]
     return a.select(*cols).intersect(b.select(*cols))
 

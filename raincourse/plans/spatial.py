@@ -33,9 +33,9 @@ def grid(v: Views) -> DataFrame:
     return v.cell.groupBy(F.round(c("lat") + 11).cast("int").alias("lat_idx"), F.round(c("lon") - 95).cast("int").alias("lon_idx")).agg((F.avg("value") / 10).alias("value"))
 
 
-@query("j01_dimension_lookup", "SELECT station_id, coalesce(n.n_name, 'unmapped') AS watershed, coalesce(r.r_name, 'unmapped') AS region FROM station LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 4) n ON nation_id = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey")
+@query("j01_dimension_lookup", "SELECT station_id, coalesce(n.n_name, 'unmapped') AS watershed, coalesce(r.r_name, 'unmapped') AS region FROM station LEFT JOIN nation n ON nation_id = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey")
 def j01(v):
-    dim = v.watershed.filter("watershed_id <> 4").join(v.region, "region_id").select(c("watershed_id").alias("nation_id"), c("name").alias("watershed"), "region")
+    dim = v.watershed.join(v.region, "region_id").select(c("watershed_id").alias("nation_id"), c("name").alias("watershed"), "region")
     return J.lookup(v.station, dim, "nation_id", {"watershed": "unmapped", "region": "unmapped"}).select("station_id", "watershed", "region")
 
 
@@ -67,7 +67,7 @@ def gauges(v: Views) -> DataFrame:
 def j05(v):
     """Distance and covariance of gauge pairs. Only pairs within 300 km are formed: no local
     correction uses a farther pair, and all pairs would grow with the square of the network."""
-    p = radius_join(v.station.select("station_id", "lat", "lon"), gauges(v), 300.0, 11.0)
+    p = radius_join(v.station.select("station_id", "lat", "lon"), gauges(v), 300.0)
     cov = fusion.SIGMA_B ** 2 * fusion.gaussian_correlation(c("distance_km"))
     return p.groupBy("station_id").agg(F.count("*").alias("neighbours"), F.round(F.sum(cov), 6).alias("covariance_sum"))
 
@@ -77,14 +77,14 @@ SQL_VIEWS["near_pair"] = f"SELECT k.cell_id, k.value, s.station_id, {sql_distanc
 
 @query("j06_radius_join", "SELECT cell_id, station_id, round(d, 5) AS distance_km FROM near_pair")
 def j06(v):
-    return radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0, 11.0).select("cell_id", c("gauge_id").alias("station_id"), F.round("distance_km", 5).alias("distance_km"))
+    return radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0).select("cell_id", c("gauge_id").alias("station_id"), F.round("distance_km", 5).alias("distance_km"))
 
 
 @query("a20_inverse_distance_mean", "SELECT cell_id, count(*) AS n, round(sum(w * rain) / sum(w), 6) AS idw_mm FROM near_pair JOIN (SELECT station_id, sum(precip_mm) AS rain FROM obs GROUP BY 1) USING (station_id) GROUP BY 1")
 def a20(v):
     """Weighted mean of gauge totals around each cell, after the radius join."""
     total = v.obs.groupBy(c("station_id").alias("gauge_id")).agg(F.sum("precip_mm").alias("rain"))
-    p = radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0, 11.0).join(total, "gauge_id")
+    p = radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0).join(total, "gauge_id")
     w = F.pow(F.pow(c("lat") - c("g_lat"), 2) + F.pow(c("lon") - c("g_lon"), 2) + 1e-12, -2)
     return p.groupBy("cell_id").agg(F.count("*").alias("n"), F.round(F.sum(w * c("rain")) / F.sum(w), 6).alias("idw_mm"))
 
@@ -96,10 +96,10 @@ def m36(v):
     return v.obs.select("event_id", d.alias("d")).select("event_id", F.round("d", 6).alias("distance_km"), F.round(fusion.gaussian_correlation(c("d")), 8).alias("correlation"), F.round(fusion.variogram(c("d")), 8).alias("variogram"))
 
 
-@query("j08_point_in_time_join", """SELECT s.event_id, round(f.precip_mm, 6) AS precip_mm, round(f.temp_c, 6) AS temp_c FROM (SELECT event_id, station_id, ts FROM obs WHERE variable = 'purchase' AND ts >= TIMESTAMP '2024-01-03') s ASOF LEFT JOIN hourly f ON s.station_id = f.station_id AND s.ts >= f.ts""")
+@query("j08_point_in_time_join", """SELECT s.event_id, round(f.precip_mm, 6) AS precip_mm, round(f.temp_c, 6) AS temp_c FROM obs s ASOF LEFT JOIN hourly f ON s.station_id = f.station_id AND s.ts >= f.ts""")
 def j08(v):
     """Newest hourly features at or before each event."""
-    spine = v.obs.filter((c("variable") == "purchase") & (c("ts") >= F.lit("2024-01-03").cast("timestamp"))).select("event_id", "station_id", "ts")
+    spine = v.obs.select("event_id", "station_id", "ts")
     out = J.as_of(spine, v.hourly, ["station_id"], "ts", ["precip_mm", "temp_c"], 5 * DAY, "event_id")
     return out.select("event_id", F.round("precip_mm", 6).alias("precip_mm"), F.round("temp_c", 6).alias("temp_c"))
 
@@ -151,10 +151,10 @@ def j19(v):
     return v.station.select("station_id", F.explode(days).alias("d")).select("station_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
-@query("j23_overlay_defaults", "SELECT n_nationkey AS river_id, coalesce(f.w, 30.0 + n_nationkey * 4) AS width_m, CAST(coalesce(f.b, 2.5) AS DOUBLE) AS bank_m FROM nation LEFT JOIN (SELECT river_id, round(avg(discharge_cms) / 5, 4) AS w, CASE WHEN river_id % 2 = 0 THEN 3.5 END AS b FROM flow WHERE river_id % 3 = 0 GROUP BY 1) f ON f.river_id = n_nationkey")
+@query("j23_overlay_defaults", "SELECT n_nationkey AS river_id, coalesce(f.w, 30.0 + n_nationkey * 4) AS width_m, CAST(coalesce(f.b, 2.5) AS DOUBLE) AS bank_m FROM nation LEFT JOIN (SELECT river_id, round(avg(discharge_cms) / 5, 4) AS w, CASE WHEN river_id % 2 = 0 THEN 3.5 END AS b FROM flow GROUP BY 1) f ON f.river_id = n_nationkey")
 def j23(v):
     base = v.table("nation").select(c("n_nationkey").alias("river_id"), (30.0 + c("n_nationkey") * 4).alias("width_m"), F.lit(2.5).alias("bank_m"))
-    feats = v.flow.filter("river_id % 3 = 0").groupBy("river_id").agg(F.round(F.avg("discharge_cms") / 5, 4).alias("width_m")).withColumn("bank_m", F.when(c("river_id") % 2 == 0, 3.5))
+    feats = v.flow.groupBy("river_id").agg(F.round(F.avg("discharge_cms") / 5, 4).alias("width_m")).withColumn("bank_m", F.when(c("river_id") % 2 == 0, 3.5))
     return J.overlay(base, feats, "river_id", ["width_m", "bank_m"])
 
 
@@ -163,7 +163,9 @@ SQL_VIEWS["sat"] = "SELECT day, cell_id, lat, lon, value / 10 * (1 + (dayofyear(
 SQL_VIEWS["gauge_day"] = """SELECT d.day, d.station_id, s.lat, s.lon, d.precip_mm / 10 AS rain, coalesce(g.value / 1 * (1 + (dayofyear(d.day) % 5) / 4.0), 0.0) AS sat, CASE WHEN d.precip_mm > 200 THEN 2 WHEN d.precip_mm > 100 THEN 1 ELSE 0 END AS qc
     FROM daily d JOIN station s USING (station_id) LEFT JOIN grid g ON g.lat_idx = CAST(round(s.lat + 11) AS INTEGER) AND g.lon_idx = CAST(round(s.lon - 95) AS INTEGER)"""
 SQL_VIEWS["ratio"] = "SELECT *, CASE WHEN sat > 0 THEN least(greatest(rain / (sat * 2.0 + 1e-6), 0.1), 5.0) WHEN rain > 0 THEN 3.0 ELSE 1.0 END AS r FROM gauge_day"
-SQL_VIEWS["bias"] = """SELECT s.day, s.cell_id, s.background, CASE WHEN count(*) >= 3 THEN sum(pow(pow(s.lon - g.lon, 2) + pow(s.lat - g.lat, 2) + 1e-12, -2.0) * g.r) / sum(pow(pow(s.lon - g.lon, 2) + pow(s.lat - g.lat, 2) + 1e-12, -2.0)) ELSE 1.0 END AS bias FROM sat s JOIN (SELECT * FROM ratio WHERE qc = 0) g USING (day) GROUP BY 1, 2, 3"""
+SQL_VIEWS["near_site"] = f"SELECT k.cell_id, s.station_id, pow(pow(k.lon - s.lon, 2) + pow(k.lat - s.lat, 2) + 1e-12, -2.0) AS w FROM cell k JOIN station s ON abs(k.lat - s.lat) <= 2.8 AND {sql_distance('k.', 's.')} <= 300"
+SQL_VIEWS["bias"] = """SELECT s.day, s.cell_id, s.background, CASE WHEN n >= 3 THEN mean ELSE 1.0 END AS bias FROM sat s LEFT JOIN (
+    SELECT day, cell_id, count(*) AS n, sum(w * r) / sum(w) AS mean FROM ratio JOIN near_site USING (station_id) WHERE qc = 0 GROUP BY 1, 2) USING (day, cell_id)"""
 
 
 def day_factor() -> F.Column:

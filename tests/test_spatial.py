@@ -86,6 +86,17 @@ def test_few_gauges_give_no_correction(spark, places):
     assert fusion.idw_bias(c, two, "t").filter("abs(bias - 1) > 1e-12").count() == 0
 
 
+def test_idw_bias(spark, places):
+    c, g = frames(spark, places)
+    ratio = 0.5 + (np.arange(80) % 9) / 4
+    out = fusion.idw_bias(c, g.withColumn("ratio", 0.5 + (F.col("gauge_id") % 9) / 4), "t", 600.0).orderBy("cell_id").collect()
+    cells, sites = places
+    w = ((cells[:, None, :] - sites[None, :, :]) ** 2).sum(axis=2) + 1e-12
+    w = np.where(haversine(*places) <= 600, w ** -2.0, 0.0)
+    want = np.where((w > 0).sum(axis=1) >= 3, (w @ ratio) / np.maximum(w.sum(axis=1), 1e-300), 1.0)
+    assert [r.bias for r in out] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_as_of_join_with_a_hot_key(spark):
     f = spark.createDataFrame([(1, t, float(t)) for t in range(0, 1000, 7)] + [(2, 500, 5.0)], "k int, t long, v double")
     r = spark.createDataFrame([(i, 1 if i % 5 else 2, i * 3) for i in range(300)], "id int, k int, t long")
@@ -108,3 +119,13 @@ def test_radius_join_crosses_the_date_line(spark):
     right = spark.createDataFrame([(0.0, -179.9), (0.0, 179.9)], "g_lat double, g_lon double")
     got = sorted((r.lon, r.g_lon) for r in radius_join(left, right, 50, 1.0).collect())
     assert got == [(-179.9, -179.9), (-179.9, 179.9), (179.9, -179.9), (179.9, 179.9)]
+
+
+@pytest.mark.parametrize("low, high", [(55, 65), (80, 90)])
+def test_radius_join_takes_its_bound_from_the_data(spark, low, high):
+    rng = np.random.default_rng(5)
+    a, b = (np.column_stack([rng.uniform(low, high, n), rng.uniform(-180, 180, n)]) for n in (300, 200))
+    left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], "i int, lat double, lon double")
+    right = spark.createDataFrame([(j, float(x), float(y)) for j, (x, y) in enumerate(b)], "j int, g_lat double, g_lon double")
+    got = sorted((r.i, r.j) for r in radius_join(left, right, 400.0).collect())
+    assert got == sorted(zip(*map(lambda x: x.tolist(), np.where(haversine(a, b) <= 400.0))))
