@@ -64,10 +64,10 @@ def violation_rates(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
 
 
 def negative_gaps(df: DataFrame, order: list[str], ts: str, width: float) -> DataFrame:
-    """Count of rows earlier than the row before them in ingest order."""
+    """Count of rows earlier than the row before them in ingest order, and of rows without a time."""
     rows = df.withColumn("_k", F.lit(0))
     lagged = rolling_rows(rows, ["_k"], order, 1, width, lambda w: {"_prev": F.lag(ts).over(w)})
-    return lagged.agg(F.count_if(F.col(ts) < F.col("_prev")).alias("negative_gaps"), F.count("*").alias("n"))
+    return lagged.agg(F.count_if(F.col(ts) < F.col("_prev")).alias("negative_gaps"), F.count_if(F.col(ts).isNull()).alias("missing_times"), F.count("*").alias("n"))
 
 
 # Name patterns, bounds and severity of the column expectations.
@@ -96,9 +96,9 @@ def run_suite(df: DataFrame, order: list[str], ts: str, skip: tuple[str, ...], w
     rows = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(e).alias("expectation"), F.lit(s).alias("severity"),
                               F.col(f"_{i}").alias("rate")) for i, (n, e, s, _) in enumerate(checks)])
     found = df.agg(*[x[3].cast("double").alias(f"_{i}") for i, x in enumerate(checks)]).select(F.inline(rows))
-    gaps = negative_gaps(df, order, ts, width).select(
-        F.lit(ts).alias("column_name"), F.lit("monotone_timestamp").alias("expectation"), F.lit("critical").alias("severity"),
-        (F.col("negative_gaps") / F.col("n")).alias("rate"))
+    times = F.array(*[F.struct(F.lit(ts).alias("column_name"), F.lit(e).alias("expectation"), F.lit("critical").alias("severity"), (F.col(k) / F.col("n")).alias("rate"))
+                      for e, k in (("monotone_timestamp", "negative_gaps"), ("readable_timestamp", "missing_times"))])
+    gaps = negative_gaps(df, order, ts, width).select(F.inline(times))
     return found.unionByName(gaps).filter("rate > 0")
 
 

@@ -238,10 +238,10 @@ def a55(v):
         "column_name", "expectation", "severity", F.round("rate", 6).alias("rate"))
 
 
-@query("w11_monotone_time", "SELECT count(*) FILTER (WHERE g < INTERVAL 0 SECOND) AS negative_gaps, count(*) AS n FROM (SELECT ts - lag(ts) OVER (ORDER BY (event_id * 7919) % 1000003) AS g FROM obs)")
+@query("w11_monotone_time", "SELECT count(*) FILTER (WHERE g < INTERVAL 0 SECOND) AS negative_gaps, count(*) FILTER (WHERE ts IS NULL) AS missing_times, count(*) AS n FROM (SELECT ts, ts - lag(ts) OVER (ORDER BY event_id * 7919 % 1000003 + event_id // 1000003 * 1000003) AS g FROM obs)")
 def w11(v):
-    """Rows in ingest order (here a fixed shuffle of ids): time must not step back."""
-    o = v.obs.select((c("event_id") * 7919 % 1000003).alias("pos"), "ts")
+    """Rows in ingest order (here ids shuffled within each 1,000,003, a prime): time must not step back."""
+    o = v.obs.select((c("event_id") * 7919 % 1000003 + F.expr("event_id div 1000003") * 1000003).alias("pos"), "ts")
     return Q.negative_gaps(o, ["pos"], "ts", 100_000)
 
 

@@ -265,8 +265,11 @@ def y03(v):
     return d.select("station_id", text.shortened(c("l"), 5).alias("days"))
 
 
-@query("y05_nested_state", """SELECT event_id, '{"k":' || (CAST(json_extract_string(props, '$.k') AS INTEGER)) || ',"level":"' || CASE WHEN value > 100 THEN 'high' ELSE 'low' END || '"}' AS state FROM events""")
+@query("y05_nested_state", """SELECT event_id, '{' || array_to_string(list_transform(list_sort(list_distinct(list_append(coalesce(json_keys(props), []), 'level'))),
+    lambda x: '"' || x || '":"' || CASE WHEN x = 'level' THEN CASE WHEN value > 100 THEN 'high' ELSE 'low' END ELSE json_extract_string(props, '$.' || x) END || '"'), ',') || '}' AS state FROM events""")
 def y05(v):
-    """JSON state parsed to a map, merged with new entries and written back in key order."""
-    old = F.from_json("props", "k int")
-    return v.events.select("event_id", F.to_json(F.struct(old.k.alias("k"), F.when(c("value") > 100, "high").otherwise("low").alias("level"))).alias("state"))
+    """JSON state parsed to a map of texts, merged with new entries and written back in key order."""
+    old = F.coalesce(F.from_json("props", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    level = F.create_map(F.lit("level"), F.when(c("value") > 100, "high").otherwise("low"))
+    merged = F.map_concat(F.map_filter(old, lambda k, _: k != "level"), level)
+    return v.events.select("event_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged)))).alias("state"))

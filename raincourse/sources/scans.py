@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,8 +121,8 @@ def index_text(spark: SparkSession, path: str, keys: list[str], n: int) -> DataF
                                      F.get(part, F.lit(k)).try_cast("int").alias("year"), F.get(part, F.lit(k + 1)).try_cast("int").alias("month"),
                                      F.element_at(part, -1).try_cast("double").alias("index_value"))
     t = t.dropna(subset=["year", "month", "index_value"])
-    newest = t.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("year", "month", "index_value")), asc=False), 1, n).alias("_s"))
-    return newest.select(*keys, F.inline("_s"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("year"), F.desc("month"), F.desc("index_value"))
+    return t.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n).select(*keys, "year", "month", "index_value")
 
 
 def rain_quality(value: Column) -> Column:
