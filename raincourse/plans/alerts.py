@@ -178,7 +178,7 @@ def f19(v):
 
 @query("f20_forecast_near_point", """SELECT CAST(round((lat + 11) / 2) AS INTEGER) AS lat_idx, CAST(round((lon - 95) / 2) AS INTEGER) AS lon_idx, count(*) AS n, round(sum(precip_mm), 6) AS rain FROM hourly JOIN station USING (station_id) WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1, 2 HAVING lat_idx = 3 AND lon_idx BETWEEN 0 AND 12""")
 def f20(v):
-    """Rows up to a lead time in the grid cells near a coordinate, as sorted arrays per cell."""
+    """Rows up to a lead time in the grid cells near a coordinate, as totals per cell."""
     s = v.station.withColumns({"lat_idx": nearest_index(c("lat"), -11.0, 2.0, 100), "lon_idx": nearest_index(c("lon"), 95.0, 2.0, 100)})
     near = s.filter("lat_idx = 3 and lon_idx between 0 and 12").select("station_id", "lat_idx", "lon_idx")
     return forecast_rows(v.hourly.filter(c("ts") < F.lit("2024-01-04").cast("timestamp")).join(near, "station_id"), ["lat_idx", "lon_idx"])
@@ -264,18 +264,19 @@ def a58(v):
 
 
 # --- service measures ------------------------------------------------------
-@query("a65_service_measures", """WITH b AS (SELECT day, le, lag(le, 1, 0.0) OVER w AS lo, n, lag(n, 1, 0) OVER w AS n0, max(n) OVER (PARTITION BY day) AS total FROM (SELECT CAST(ts AS DATE) AS day, le, count(*) FILTER (WHERE value <= le) AS n FROM obs CROSS JOIN (SELECT unnest([10.0, 25.0, 50.0, 100.0, 250.0, 1000.0]) AS le) GROUP BY 1, 2) WINDOW w AS (PARTITION BY day ORDER BY le))
-    SELECT strftime(day, '%Y-%m-%d') AS day, round(p99, 6) AS p99, round(err, 6) AS error_rate, err > 14 * (1 - 0.995) AS burning, stale_s FROM (SELECT day, arg_min(lo + (le - lo) * (0.99 * total - n0) / (n - n0), le) FILTER (WHERE n >= 0.99 * total AND n > n0) AS p99 FROM b GROUP BY 1)
-    JOIN (SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN variable = 'error' THEN 1.0 ELSE 0 END) AS err, CAST(floor(epoch(CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP)) - max(epoch(ts))) AS BIGINT) AS stale_s FROM obs GROUP BY 1, CAST(ts AS DATE)) USING (day)""")
+@query("a65_service_measures", """WITH o AS (SELECT date_trunc('hour', ts) AS hour, ts, value, variable FROM obs),
+    b AS (SELECT hour, le, lag(le, 1, 0.0) OVER w AS lo, n, lag(n, 1, 0) OVER w AS n0, max(n) OVER (PARTITION BY hour) AS total FROM (SELECT hour, le, count(*) FILTER (WHERE value <= le) AS n FROM o CROSS JOIN (SELECT unnest([10.0, 25.0, 50.0, 100.0, 250.0, 1000.0]) AS le) GROUP BY 1, 2) WINDOW w AS (PARTITION BY hour ORDER BY le))
+    SELECT strftime(hour, '%Y-%m-%d %H:%M') AS hour, round(p99, 6) AS p99, round(err, 6) AS error_rate, err > 14 * (1 - 0.995) AS burning, stale_s FROM (SELECT hour, arg_min(lo + (le - lo) * (0.99 * total - n0) / (n - n0), le) FILTER (WHERE n >= 0.99 * total AND n > n0) AS p99 FROM b GROUP BY 1)
+    JOIN (SELECT hour, avg(CASE WHEN variable = 'error' THEN 1.0 ELSE 0 END) AS err, CAST(floor(epoch(hour + INTERVAL 1 HOUR) - max(epoch(ts))) AS BIGINT) AS stale_s FROM o GROUP BY 1) USING (hour)""")
 def a65(v):
-    """Quantile from cumulative latency buckets, error burn rate and staleness per day."""
-    day = F.to_date("ts").alias("day")
-    q = Q.bucket_quantile(v.obs, [day], c("value"), [10.0, 25.0, 50.0, 100.0, 250.0, 1000.0], 0.99)
+    """Quantile from cumulative latency buckets, error burn rate and staleness per hour."""
+    hour = F.date_trunc("hour", "ts").alias("hour")
+    q = Q.bucket_quantile(v.obs, [hour], c("value"), [10.0, 25.0, 50.0, 100.0, 250.0, 1000.0], 0.99)
     err = F.avg((c("variable") == "error").cast("double"))
-    end = F.unix_seconds(F.date_add("day", 1).cast("timestamp"))
-    s = v.obs.groupBy(day).agg(err.alias("err"), F.max(c("ts").cast("double")).alias("m"))
-    return q.join(s, "day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("q", 6).alias("p99"), F.round("err", 6).alias("error_rate"),
-                                   (c("err") > 14 * (1 - 0.995)).alias("burning"), F.floor(end - c("m")).cast("long").alias("stale_s"))
+    end = F.unix_seconds("hour") + 3600
+    s = v.obs.groupBy(hour).agg(err.alias("err"), F.max(c("ts").cast("double")).alias("m"))
+    return q.join(s, "hour").select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), F.round("q", 6).alias("p99"), F.round("err", 6).alias("error_rate"),
+                                    (c("err") > 14 * (1 - 0.995)).alias("burning"), F.floor(end - c("m")).cast("long").alias("stale_s"))
 
 
 @query("t11_delivery_latency", """SELECT alert_type, count(*) AS n, count(*) FILTER (WHERE d <= 60) AS within_60s, count(*) FILTER (WHERE d <= 120) AS within_120s, round(max(d), 3) AS max_s FROM (
