@@ -9,6 +9,10 @@ Texts with equal word sequences are one class before all this. Inside a region t
 give likely pairs; a spanning forest of the likeliest is checked on full shingle sets first, and
 afterwards each likely pair whose sides are still apart. So a group of copies is never listed in
 pairs, and no likely pair is left open.
+
+A crowded region is cut only to find most links soon. What it holds in different components after
+that meets by rare shingles: of each set as many of the rarest as two sets at the threshold must
+have one in common of. So no pair of a crowded region is lost to the cuts.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ VALUES = TREES * WIDTH
 FIRST = 4
 DEPTHS = (4, 5, 6, 7, 8, 10, 12, 16, 20, 28, 40, VALUES)
 REGION = 256
+BUCKETS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, rows: np.ndarray, hasher: Hasher, words: int = WORDS):
@@ -113,15 +118,16 @@ def _prefix(depth: int):
     return F.xxhash64(F.col("t"), F.lit(depth), F.substring(turned, 1, 2 * depth))
 
 
-def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFrame]:
-    """Regions as rows (key, cls), each of 2 to ``limit`` classes, and pairs (a, b) to check besides.
+def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions as rows (key, cls), each of 2 to ``limit`` classes, pairs (a, b) to check besides, and what was in crowd.
 
     Crowded regions of the first depth get their keys of all deeper depths at once. A key is a
     region when it holds few enough classes and the key above it too many; what stays in crowd to
     the last value of the signature is dealt to blocks. Where a region is crowded at the first
     depth, each of its classes is also paired with the centre: the class that stays in crowd the
     deepest, whose signature most others follow the longest. So members of a dense group that the
-    deeper cuts part still meet what the group is made of.
+    deeper cuts part still meet what the group is made of. The last result has the members of the
+    regions that are crowded at the first depth as rows (home, cls), for ``crowd_pairs``.
     """
     keyed = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("cls", "t", _prefix(FIRST).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -129,7 +135,7 @@ def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFra
     found = level.where(F.col("n") <= limit).select("key", "cls")
     crowded = level.where(F.col("n") > limit).select("cls", "t", F.col("key").alias("home"), "n")
     if crowded.isEmpty():
-        return found, level.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
+        return found, level.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false"), crowded.select("home", "cls")
     keys = crowded.join(classes, "cls").select("cls", "home", *[_prefix(depth).alias(f"k{depth}") for depth in DEPTHS[1:]])
     steps = [F.struct(F.lit(depth).alias("depth"), F.col(f"k{depth}").alias("key"), F.col("home" if above == FIRST else f"k{above}").alias("above"))
              for above, depth in zip(DEPTHS, DEPTHS[1:], strict=False)]
@@ -148,7 +154,75 @@ def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFra
     inside = deep.select("home", "key", "cls").union(crowded.select("home", F.col("home").alias("key"), "cls"))
     centres = sized(inside.join(best, ["home", "key"]).groupBy("home").agg(F.max("cls").alias("hub")), "centres")
     pairs = crowded.join(centres, "home").where("cls != hub")
-    return found, pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    return found, pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), crowded.select("home", "cls")
+
+
+def bucket_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How many of ``texts`` (cls, text) have a shingle of each of ``BUCKETS`` buckets."""
+
+    def run(batches):
+        hasher, total = Hasher(), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, data, rows in slices(batch.column(1)):
+                total += np.bincount((shingle_sets(data, rows, hasher, words)[1] % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    found = texts.select("cls", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def rare_shingles(texts: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """(cls, tokens): of n shingles the n - ceil(percent * n / 100) + 1 first in an order common to all, rare buckets first.
+
+    Two sets at the threshold share at least percent / 100 of the larger one, so the first ones of both meet.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words))
+
+    def run(batches):
+        hasher, counts = Hasher(), sent.value
+        for batch in batches:
+            for low, high, data, rows in slices(batch.column(1)):
+                owner, value, _, _ = shingle_sets(data, rows, hasher, words)
+                order = np.lexsort((value, counts[(value % U(BUCKETS)).astype(np.int64)], owner))
+                owner, value = owner[order], value[order]
+                size = np.bincount(owner, minlength=high - low)
+                place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                keep = place < (size + percent * -size // 100 + 1)[owner]
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=high - low))])
+                tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value[keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), tokens], ["cls", "tokens"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls binary, tokens array<long>")
+
+
+def crowd_pairs(apart: DataFrame, texts: DataFrame, sigs: DataFrame, percent: int, words: int = WORDS, limit: int = REGION) -> DataFrame:
+    """Likely pairs (a, b) with different roots among ``apart`` (cls, root), all that share a rare shingle.
+
+    Shingles of one root only are left out. Where more than ``limit`` classes have one, they are
+    dealt to blocks that meet pair by pair; a root of many classes has blocks of its own, which
+    do not meet each other.
+    """
+    rows = sized(rare_shingles(texts, percent, words).join(apart, "cls").select("cls", "root", "tokens"), "rare")
+    rows = rows.select("cls", "root", F.explode("tokens").alias("token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    level = sized(rows.join(sized(shared.select("token", "n"), "shared"), "token"), "level")
+    found, many = level.where(F.col("n") <= limit).select(F.col("token").alias("key"), "cls", "root"), level.where(F.col("n") > limit)
+    if not many.isEmpty():
+        counts = sized(many.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).withColumn("big", F.col("c") > limit // 2), "counts")
+        rest = sized(counts.where("NOT big").groupBy("token").agg(F.sum("c").alias("m")), "rest")
+        own = F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(2 * F.col("c") / limit)))
+        block = F.when(F.col("big"), own).otherwise(F.pmod(F.xxhash64("root"), F.ceil(2 * F.col("m") / limit)))
+        dealt = sized(many.join(counts, ["token", "root"]).join(rest, "token", "left").select("token", "cls", "root", "big", block.alias("block")), "dealt")
+        blocks = sized(dealt.select("token", "block", F.when(F.col("big"), F.col("root")).alias("pure")).distinct(), "blocks")
+        left, right = (blocks.select("token", F.col("block").alias(f"b{k}"), F.col("pure").alias(f"p{k}")) for k in "12")
+        meet = left.join(right, "token").where("b1 <= b2 AND (p1 IS NULL OR p2 IS NULL OR p1 != p2)").withColumn("key", F.xxhash64("token", "b1", "b2"))
+        meet = sized(meet.select("token", "key", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")), "meet")
+        found = found.union(dealt.join(meet, ["token", "block"]).select("key", "cls", "root"))
+    grouped = found.distinct().join(sigs, "cls").groupBy("key").agg(F.collect_list(F.struct("cls", "sig", "root")).alias("members"))
+    return likely_pairs(grouped, percent / 100, False)
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -252,6 +326,24 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, words: int =
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def texts_of_classes(docs: DataFrame, classes: DataFrame, some: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, text) of the classes in ``some`` (cls), one text each."""
+    needed = some.join(classes.select("cls", "least"), "cls")
+    # Merged at every size: a broadcast here would hold a class per likely copy of the corpus.
+    texts = texts_of(docs, words).join(sized(needed, "needed").hint("merge"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    return sized(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")
+
+
+def bridged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (cls, root) with the roots that ``links`` (a, b) join as one."""
+    if links.isEmpty():
+        return placed
+    left, right = (placed.select(F.col("cls").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    bridges = links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    placed = placed.join(components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return sized(placed.select("cls", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, kept and cls; one row per row.
 
@@ -264,17 +356,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     """
     rows = sized(classes_of(docs, words), "signatures")
     classes = sized(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "classes")
-    members, star = regions(classes.select("cls", "sig"), limit)
+    members, star, crowd = regions(classes.select("cls", "sig"), limit)
     sigs = classes.select("cls", "sig")
     members = sized(members.distinct(), "regions")
     gather = F.collect_list(F.struct("cls", "sig", "root")).alias("members")
     first = likely_pairs(members.join(sigs, "cls").withColumn("root", F.lit(None).cast("binary")).groupBy("key").agg(gather), percent / 100, True)
     first = sized(first.union(likely(star, sigs, percent / 100)).distinct(), "pairs")
     # Every class with a likely partner is in a spanning forest, so these texts serve the second check as well.
-    needed = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct().join(classes.select("cls", "least"), "cls")
-    # Merged at every size: a broadcast here would hold a class per likely copy of the corpus.
-    texts = texts_of(docs, words).join(sized(needed, "needed").hint("merge"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = sized(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")
+    needed = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
+    texts = texts_of_classes(docs, classes, needed, words)
     links = sized(linked_pairs(first, texts, percent, words), "links")
     roots = components(links)
     placed = needed.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
@@ -282,13 +372,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     apart = members.join(placed, "cls")
     open_keys = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     grouped = apart.join(sized(open_keys, "open"), "key").join(sigs, "cls").groupBy("key").agg(gather)
-    second = likely_pairs(grouped, percent / 100, False).join(first, ["a", "b"], "left_anti")
-    more = sized(linked_pairs(sized(second, "pairs"), texts, percent, words), "links")
-    if not more.isEmpty():
-        left, right = (placed.select(F.col("cls").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-        bridges = more.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        placed = placed.join(components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-        placed = placed.select("cls", F.coalesce("top", "root").alias("root"))
+    second = sized(likely_pairs(grouped, percent / 100, False).join(first, ["a", "b"], "left_anti"), "pairs")
+    placed = bridged(placed, sized(linked_pairs(second, texts, percent, words), "links"))
+    apart = crowd.join(placed, "cls", "left").select("home", "cls", F.coalesce("root", "cls").alias("root"))
+    open_homes = apart.groupBy("home").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("home")
+    apart = sized(apart.join(sized(open_homes, "open"), "home").select("cls", "root").distinct(), "apart")
+    if not apart.isEmpty():
+        texts = texts_of_classes(docs, classes, apart.select("cls"), words)
+        third = crowd_pairs(apart, texts, sigs, percent, words, limit).join(first.union(second), ["a", "b"], "left_anti")
+        more = sized(linked_pairs(sized(third, "pairs"), texts, percent, words), "links")
+        placed = bridged(placed.join(apart, "cls", "left_anti").unionByName(apart), more)
     per = classes.select("cls", "least").join(placed, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = per.groupBy("root").agg(F.min("least").alias("component_id"))
     per = sized(per.join(least, "root").select("cls", "component_id"), "components")

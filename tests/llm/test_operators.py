@@ -230,6 +230,16 @@ def test_a_large_group_of_near_copies(spark, limit):
     assert Counter(rows(minhash.near_duplicates(frame, 85, limit=limit).drop("cls"))) == near_groups(data, 85)
 
 
+def test_pairs_inside_a_shared_template(spark):
+    data = []
+    for k in range(250):  # 0.77 between the documents of the template, 0.86 inside a pair
+        tail = [f"u{k}v{j}" for j in range(14)]
+        data += [(2 * k, " ".join([*WORDS[:100], *tail]), "s"), (2 * k + 1, " ".join([*WORDS[:100], *tail[:6], *(f"y{k}v{j}" for j in range(8))]), "s")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    found = rows(minhash.near_duplicates(frame, 85, limit=16).drop("cls"))
+    assert sum(not r[3] for r in found) == 250 and Counter(found) == near_groups(data, 85)
+
+
 def test_exact_copies_over_batches(spark, docs, none):
     index = "test_index_" + hashlib.md5(repr(spark.sparkContext.applicationId).encode()).hexdigest()
     spark.sql(f"DROP TABLE IF EXISTS {index}")
