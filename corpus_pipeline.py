@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raincourse.llm import exact_dedup, minhash, mix, pack, quality
 from raincourse.llm.queries import QUERIES, tokenizer
-from raincourse.session import new_path
+from raincourse.session import new_path, sized
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,26 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8): the one with the least doc_id."""
-    marks = minhash.near_duplicates(docs, percent=80)
-    dropped = marks.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """One row of each group of near copies (five-word shingles, 0.8): the one with the least doc_id.
+
+    A null doc_id comes after all others, rows that share the least id go by their word sequence,
+    and of those with the same words the least digest stays. Texts without words all stay.
+    """
+    marks = sized(minhash.near_rows(docs, percent=80).where("cls IS NOT NULL").select("root", F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")), "marks")
+    each = marks.groupBy("root", "_id", "_cls").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_cls")
+    best = sized(marks.groupBy("root").agg(F.min(rank).alias("best")), "best")
+    each = each.join(best, "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_cls") == F.col("best._cls")))
+    each = sized(each.where("NOT stays OR n > 1").select("_id", F.col("_cls").alias("_of"), "stays"), "marks")
+    rows = minhash.with_class(docs, "_cls")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_of"))
+    left = rows.join(each, same, "left_anti").select(*docs.columns)
+    several = each.where("stays").select("_id", "_of")
+    if several.isEmpty():
+        return left
+    row = F.struct(*docs.columns)
+    several = rows.join(several, same).groupBy("_cls").agg(F.min_by(row, F.struct(F.sha2("text", 256), F.to_json(row))).alias("row"))
+    return left.union(several.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

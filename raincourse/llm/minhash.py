@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from raincourse.llm.bytes_hash import Hasher, U, lowered, mix, runs, slices, word_kinds
 from raincourse.llm.common import components
@@ -112,6 +113,22 @@ def texts_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, text string")
 
 
+def with_class(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """``docs`` with its class as first column ``name``, null without words."""
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            cls = []
+            for _, _, data, rows in slices(batch.column(0)):
+                _, _, whole, count = shingle_sets(data, rows, hasher, words)
+                cls += [w.tobytes() if c else None for w, c in zip(whole, count, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), *batch.columns[1:]], [name, *batch.schema.names[1:]])
+
+    schema = StructType([StructField(name, BinaryType()), *docs.schema.fields])
+    return docs.select(F.col("text").cast("string").alias(name), *docs.columns).mapInArrow(run, schema)
+
+
 def _prefix(depth: int):
     """Key of tree t at a depth: hash of the first values of the rotated signature."""
     turned = F.concat(F.expr(f"substring(sig, int(t * {2 * WIDTH} + 1), {2 * VALUES})"), F.expr(f"substring(sig, 1, int(t * {2 * WIDTH}))"))
@@ -354,6 +371,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     are marked kept. A null doc_id names a component only if no other id is in it. Other columns
     are ignored.
     """
+    result = near_rows(docs, percent, words, limit)
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
+
+
+def near_rows(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION) -> DataFrame:
+    """doc_id, n_shingles, component_id, cls and root of each row; root is the component itself, whatever ids are in it."""
     rows = sized(classes_of(docs, words), "signatures")
     classes = sized(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "classes")
     members, star, crowd = regions(classes.select("cls", "sig"), limit)
@@ -384,8 +407,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
         placed = bridged(placed.join(apart, "cls", "left_anti").unionByName(apart), more)
     per = classes.select("cls", "least").join(placed, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = per.groupBy("root").agg(F.min("least").alias("component_id"))
-    per = sized(per.join(least, "root").select("cls", "component_id"), "components")
-    joined = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(per, "cls").select("doc_id", "n_shingles", "component_id", "cls")
-    alone = rows.where("cls IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls")
-    result = joined.union(alone)
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
+    per = sized(per.join(least, "root").select("cls", "component_id", "root"), "components")
+    joined = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(per, "cls").select("doc_id", "n_shingles", "component_id", "cls", "root")
+    alone = rows.where("cls IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("root"))
+    return joined.union(alone)

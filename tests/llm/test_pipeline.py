@@ -30,6 +30,20 @@ def test_stages(spark, folder):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in seen["mix"])
 
 
+def test_near_copies_with_shared_and_null_ids(spark, folder):
+    def text(name, change=None):
+        return " ".join(change if change and k == 30 else f"{name}{k}" for k in range(120))
+
+    rows = [(1, text("a"), "x"), (2, text("a", "new"), "x"), (2, text("b"), "x"),  # an id with a near copy and a unique text
+            (None, text("a", "other"), "x"), (None, text("c"), "x"),  # the same of the null id
+            (5, text("d"), "x"), (5, text("d", "new"), "x"), (None, text("e"), "x"), (None, text("e", "new"), "x"),  # groups of one id
+            (7, text("f"), "x"), (7, text("f") + " ", "x"), (8, " ", "x"), (8, text("f"), "x")]  # equal words, no words
+    found = corpus_pipeline.keep_one_of_near(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), folder)
+    assert found.columns == ["doc_id", "text", "source"]
+    got = Counter((r["doc_id"], (r["text"].split() or [""])[0]) for r in found.collect())
+    assert got == Counter([(1, "a0"), (2, "b0"), (None, "c0"), (5, "d0"), (None, "e0"), (7, "f0"), (8, "")])
+
+
 def test_stages_on_awkward_rows(spark, folder):
     rows = [(1, "a b", None), (1, "a b", None), (None, None, "s"), (2, "", "s"), (3, "a b", "s"), (4, "x " * 5000, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
