@@ -28,7 +28,7 @@ LEAF = 2_048
 ROUNDS = 24
 
 
-def _normals(seed: int, dims: int) -> np.ndarray:
+def _normals(seed: int | list[int], dims: int) -> np.ndarray:
     normal = np.random.default_rng(seed).standard_normal(dims)
     return normal / np.linalg.norm(normal)
 
@@ -164,8 +164,10 @@ def _split_crowded(leaves: DataFrame, classes: DataFrame, leaf: int) -> DataFram
             for batch in batches:
                 code, dims = batch.column(1).to_numpy(), batch.column(3).to_numpy()
                 for d in np.unique(dims):
-                    part = batch.filter(pa.array(dims == d))
-                    where = unit(part.column(2)) @ _normals((1 << 40) + turn, int(d))
+                    part, codes = batch.filter(pa.array(dims == d)), code[dims == d]
+                    x, where = unit(part.column(2)), np.zeros(len(codes))
+                    for c in np.unique(codes):  # a plane of its own, so that no pair is parted in all trees by the same one
+                        where[codes == c] = x[codes == c] @ _normals([turn, int(c) & (1 << 64) - 1], int(d))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(where)], ["cid", "code", "at"])
 
         rows = sized(rows.select("cid", "code", "embedding", "dims").mapInArrow(project, "cid string, code long, at double"), "projected")

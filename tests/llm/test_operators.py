@@ -166,6 +166,21 @@ def test_vector_links(spark, leaf):
     assert sum(links.values()) > 400 and got == want
 
 
+def test_crowded_leaves_are_cut_differently_in_each_tree(spark):
+    draw = np.random.default_rng(9)
+    x = draw.standard_normal(64) / 8 + draw.standard_normal((3000, 64)) * 0.018
+    classes = spark.createDataFrame([(f"{k:04}", v.tolist(), 64) for k, v in enumerate(x)], "cid string, embedding array<double>, dims int")
+    leaves = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(vectors.TREES - 1))).alias("t")).select("cid", F.shiftleft(F.col("t").cast("long"), 32).alias("code"))
+    cut = vectors._split_crowded(leaves, classes, 1500).groupBy("code").agg(F.collect_set("cid").alias("cids")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lost = np.triu(x @ x.T >= 0.98, 1)
+    assert len(cut) > 2 * vectors.TREES and lost.sum() > 100_000
+    for leaf in cut:
+        at = np.array([int(c) for c in leaf["cids"]])
+        lost[np.ix_(at, at)] = False
+    assert not lost.any(), lost.sum()
+
+
 def test_no_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
