@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourse.llm import exact_dedup, language, minhash, mix, pack, pii, quality, token_counts, vectors, warc
+from raincourse.llm import exact_dedup, infill, language, minhash, mix, pack, pii, quality, token_counts, vectors, warc
 from raincourse.llm.learn import remainder
 from raincourse.session import sized
 
@@ -149,3 +149,25 @@ def op10_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
     n = F.octet_length("record")
     broken = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit("~").cast("binary"), F.expr("substring(record, octet_length(record) - 3, 4)"))
     return warc.audit_replicas(good, good.withColumn("record", F.when(hit & (n > 5), broken).otherwise(F.col("record"))))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+drawn AS (SELECT doc_id, text, units, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+cut AS (SELECT doc_id, text, n, form, array_to_string(units[1:least(one, two)], '') AS prefix,
+    array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle, array_to_string(units[greatest(one, two) + 1:], '') AS suffix FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM cut"""
+
+
+@register(OP11_SQL)
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents rearranged for filling in the middle, and their texts rebuilt."""
+    cut = infill.fill_in_middle(table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored()).alias("restored_sha256"))
