@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourse.llm import exact_dedup, infill, language, minhash, mix, pack, pii, quality, token_counts, vectors, warc
+from raincourse.llm import align, exact_dedup, infill, language, minhash, mix, pack, pii, quality, token_counts, vectors, warc
 from raincourse.llm.learn import remainder
 from raincourse.session import sized
 
@@ -171,3 +171,13 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
     cut = infill.fill_in_middle(table(spark, folder, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored()).alias("restored_sha256"))
+
+
+@register()
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of tokens of two tokenizers over every text, and how common their links are."""
+    import public_tokenizers
+
+    rows = align.aligned(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align.count_links(sized(rows.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
