@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourse.llm import align, exact_dedup, infill, language, minhash, mix, pack, pii, quality, token_counts, vectors, warc
+from raincourse.llm import align, exact_dedup, infill, language, lm, minhash, mix, pack, pii, quality, token_counts, vectors, warc
 from raincourse.llm.learn import remainder
 from raincourse.session import sized
 
@@ -181,3 +181,11 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     rows = align.aligned(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return align.count_links(sized(rows.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
+
+
+@register()
+def op13_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every text under a recurrent language model and under word counts."""
+    docs = table(spark, folder, "documents")
+    model = lm.train(docs.where(~lm.held_out()))
+    return lm.score(docs, model).select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
