@@ -6,13 +6,12 @@ the 16 orders are candidates. Depth adapts by region: documents that share ``FIR
 region if there are at most ``REGION`` of them, else the region is cut at the next depth.
 
 Texts with equal word sequences are one class before all this. Inside a region the signatures
-give likely pairs; a spanning forest of the likeliest is checked on full shingle sets first, and
-afterwards each likely pair whose sides are still apart. So a group of copies is never listed in
-pairs, and no likely pair is left open.
-
-A crowded region is cut only to find most links soon. What it holds in different components after
-that meets by rare shingles: of each set as many of the rarest as two sets at the threshold must
-have one in common of. So no pair of a crowded region is lost to the cuts.
+give a spanning forest of likely pairs; classes that these pairs connect are a cluster, and so
+are all classes of a region that had to be cut, whatever the cuts parted. The hashed shingles of
+a cluster go to one task, once for each class, and the links are found there on full sets by an exact
+prefix filter; only links that join something leave the task. A cluster too large for a task is
+dealt to blocks that meet two by two. So no candidate pair is ever a row, and no pair of a
+crowded region is lost to the cuts.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ VALUES = TREES * WIDTH
 FIRST = 4
 DEPTHS = (4, 5, 6, 7, 8, 10, 12, 16, 20, 28, 40, VALUES)
 REGION = 256
-BUCKETS = 1 << 18
+BLOCK = 1 << 21  # shingles of a block
+BLOOM = 1 << 26  # bits
 
 
 def shingle_sets(data: np.ndarray, rows: np.ndarray, hasher: Hasher, words: int = WORDS):
@@ -98,21 +98,6 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, n_shingles long, sig binary")
 
 
-def texts_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, cls, text) of rows with words."""
-
-    def run(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for low, high, data, rows in slices(batch.column(1)):
-                _, _, whole, count = shingle_sets(data, rows, hasher, words)
-                some = np.flatnonzero(count)
-                at = pa.array(some + low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([whole[k].tobytes() for k in some], pa.binary()), batch.column(1).take(at)], ["doc_id", "cls", "text"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, text string")
-
-
 def with_class(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
     """``docs`` with its class as first column ``name``, null without words."""
 
@@ -144,7 +129,7 @@ def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFra
     depth, each of its classes is also paired with the centre: the class that stays in crowd the
     deepest, whose signature most others follow the longest. So members of a dense group that the
     deeper cuts part still meet what the group is made of. The last result has the members of the
-    regions that are crowded at the first depth as rows (home, cls), for ``crowd_pairs``.
+    regions that are crowded at the first depth as rows (home, cls): they all meet in the end.
     """
     keyed = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("cls", "t", _prefix(FIRST).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -174,74 +159,6 @@ def regions(classes: DataFrame, limit: int = REGION) -> tuple[DataFrame, DataFra
     return found, pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), crowded.select("home", "cls")
 
 
-def bucket_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How many of ``texts`` (cls, text) have a shingle of each of ``BUCKETS`` buckets."""
-
-    def run(batches):
-        hasher, total = Hasher(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, data, rows in slices(batch.column(1)):
-                total += np.bincount((shingle_sets(data, rows, hasher, words)[1] % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    found = texts.select("cls", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def rare_shingles(texts: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """(cls, tokens): of n shingles the n - ceil(percent * n / 100) + 1 first in an order common to all, rare buckets first.
-
-    Two sets at the threshold share at least percent / 100 of the larger one, so the first ones of both meet.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words))
-
-    def run(batches):
-        hasher, counts = Hasher(), sent.value
-        for batch in batches:
-            for low, high, data, rows in slices(batch.column(1)):
-                owner, value, _, _ = shingle_sets(data, rows, hasher, words)
-                order = np.lexsort((value, counts[(value % U(BUCKETS)).astype(np.int64)], owner))
-                owner, value = owner[order], value[order]
-                size = np.bincount(owner, minlength=high - low)
-                place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-                keep = place < (size + percent * -size // 100 + 1)[owner]
-                edges = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=high - low))])
-                tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), tokens], ["cls", "tokens"])
-
-    return texts.select("cls", "text").mapInArrow(run, "cls binary, tokens array<long>")
-
-
-def crowd_pairs(apart: DataFrame, texts: DataFrame, sigs: DataFrame, percent: int, words: int = WORDS, limit: int = REGION) -> DataFrame:
-    """Likely pairs (a, b) with different roots among ``apart`` (cls, root), all that share a rare shingle.
-
-    Shingles of one root only are left out. Where more than ``limit`` classes have one, they are
-    dealt to blocks that meet pair by pair; a root of many classes has blocks of its own, which
-    do not meet each other.
-    """
-    rows = sized(rare_shingles(texts, percent, words).join(apart, "cls").select("cls", "root", "tokens"), "rare")
-    rows = rows.select("cls", "root", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    level = sized(rows.join(sized(shared.select("token", "n"), "shared"), "token"), "level")
-    found, many = level.where(F.col("n") <= limit).select(F.col("token").alias("key"), "cls", "root"), level.where(F.col("n") > limit)
-    if not many.isEmpty():
-        counts = sized(many.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).withColumn("big", F.col("c") > limit // 2), "counts")
-        rest = sized(counts.where("NOT big").groupBy("token").agg(F.sum("c").alias("m")), "rest")
-        own = F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(2 * F.col("c") / limit)))
-        block = F.when(F.col("big"), own).otherwise(F.pmod(F.xxhash64("root"), F.ceil(2 * F.col("m") / limit)))
-        dealt = sized(many.join(counts, ["token", "root"]).join(rest, "token", "left").select("token", "cls", "root", "big", block.alias("block")), "dealt")
-        blocks = sized(dealt.select("token", "block", F.when(F.col("big"), F.col("root")).alias("pure")).distinct(), "blocks")
-        left, right = (blocks.select("token", F.col("block").alias(f"b{k}"), F.col("pure").alias(f"p{k}")) for k in "12")
-        meet = left.join(right, "token").where("b1 <= b2 AND (p1 IS NULL OR p2 IS NULL OR p1 != p2)").withColumn("key", F.xxhash64("token", "b1", "b2"))
-        meet = sized(meet.select("token", "key", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")), "meet")
-        found = found.union(dealt.join(meet, ["token", "block"]).select("key", "cls", "root"))
-    grouped = found.distinct().join(sigs, "cls").groupBy("key").agg(F.collect_list(F.struct("cls", "sig", "root")).alias("members"))
-    return likely_pairs(grouped, percent / 100, False)
-
-
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
     least = least_share(threshold)
@@ -261,30 +178,25 @@ def least_share(threshold: float) -> float:
     return threshold - 4 * (threshold * (1 - threshold) / VALUES) ** 0.5
 
 
-def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFrame:
-    """(a, b) from rows with ``members``, array of (cls, sig, root) of a region.
+def likely_pairs(grouped: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) from rows with ``members``, array of (cls, sig) of a region: a spanning forest of its likely pairs, the likeliest first.
 
-    Likely: the share of equal signature values is within four standard deviations of the
-    threshold or above. ``spanning``: only a spanning forest of the likeliest pairs of each region;
-    otherwise all likely pairs with different roots.
+    Likely: the share of equal signature values is within four standard deviations of the threshold or above.
     """
     least = least_share(threshold)
 
-    def pairs_of(sigs, groups):
+    def forest(sigs):
         m = len(sigs)
         i, j, share = [], [], []
         for p in range(m - 1):
             alike = (sigs[p] == sigs[p + 1:]).mean(axis=1)
-            keep = np.flatnonzero((alike >= least) & (spanning | (groups[p] != groups[p + 1:])))
+            keep = np.flatnonzero(alike >= least)
             i.append(np.full(len(keep), p))
             j.append(keep + p + 1)
             share.append(alike[keep])
         if m < 2:
             return
         i, j, share = np.concatenate(i), np.concatenate(j), np.concatenate(share)
-        if not spanning:
-            yield from zip(i.tolist(), j.tolist(), strict=True)
-            return
         parent, left = list(range(m)), m - 1
 
         def top(k):
@@ -306,62 +218,173 @@ def likely_pairs(grouped: DataFrame, threshold: float, spanning: bool) -> DataFr
         for batch in batches:
             a, b = [], []
             for members in batch.column(0):
-                members = sorted(((x["cls"].as_py(), x["sig"].as_py(), x["root"].as_py()) for x in members.values), key=lambda x: x[0])
-                names = [x[0] for x in members]
+                members = sorted(((x["cls"].as_py(), x["sig"].as_py()) for x in members.values), key=lambda x: x[0])
                 sigs = np.frombuffer(b"".join(x[1] for x in members), np.uint16).reshape(len(members), -1)
-                groups = np.unique(np.array([x[2] or b"" for x in members], object), return_inverse=True)[1]
-                for p, q in pairs_of(sigs, groups):
-                    a.append(names[p])
-                    b.append(names[q])
+                for p, q in forest(sigs):
+                    a.append(members[p][0])
+                    b.append(members[q][0])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return grouped.select("members").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """The pairs whose shingle sets meet the threshold, by exact integer comparison."""
+def _marks(cls: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of each (class, id) in a Bloom filter of ``BLOOM`` bits, in four columns."""
+    one = mix(cls[:, 0] ^ mix(ids.astype(np.int64).view(U) + U(1)))
+    return (one[:, None] + np.arange(4, dtype=U) * (cls[:, 1] | U(1))[:, None]) % U(BLOOM)
+
+
+def bloom(wanted: DataFrame) -> np.ndarray:
+    """Bloom filter of ``wanted`` (cls, least) as octets; its size is fixed, so it may be sent to every task."""
 
     def run(batches):
-        hasher = Hasher()
+        for batch in batches:
+            cls = np.frombuffer(b"".join(batch.column(0).to_pylist()), U).reshape(-1, 2)
+            places = np.unique(_marks(cls, batch.column(1).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array((places >> U(5)).astype(np.int32)), pa.array((np.int64(1) << (places & U(31)).astype(np.int64)))], ["word", "bits"])
 
-        def sets(column):
-            for low, high, data, rows in slices(column):
-                owner, value, _, _ = shingle_sets(data, rows, hasher, words)
+    filled = wanted.select("cls", F.coalesce("least", F.lit(0)).alias("least")).mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BLOOM // 32, "<u4")
+    out[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, shingles) of the classes in ``wanted`` (cls, least), each from the row with its least doc_id.
+
+    Rows that the Bloom filter of ``wanted`` excludes leave their task with nothing, so what is
+    shuffled follows ``wanted`` and not the corpus.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+
+    def run(batches):
+        hasher, bits = Hasher(), sent.value
+        for batch in batches:
+            for low, high, data, rows in slices(batch.column(1)):
+                owner, value, whole, count = shingle_sets(data, rows, hasher, words)
+                ids = batch.column(0).slice(low, high - low)
+                at = _marks(whole, ids.fill_null(0).to_numpy(zero_copy_only=False))
+                some = np.flatnonzero(((bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).all(axis=1) & (count > 0))
                 edges = np.searchsorted(owner, np.arange(high - low + 1))
-                yield from (value[edges[k]:edges[k + 1]] for k in range(high - low))
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(pa.array(some)), pa.array([whole[k].tobytes() for k in some], pa.binary()),
+                    pa.array([value[edges[k]:edges[k + 1]].tobytes() for k in some], pa.binary())], ["doc_id", "cls", "shingles"])
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, shingles binary")
+    found = found.join(wanted.select("cls", "least"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
+
+def set_links(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of ``sets`` (sorted hashes) that meet the threshold and join different ``roots``: no more than there are roots, less one.
+
+    A set's shingles are ordered by how many sets of the block have them, rarest first. Of two sets at the threshold, the
+    first ones of both, as many as the threshold lets them differ by and one more, have a shingle
+    in common, so only sets that meet there are compared; the comparison itself is on whole sets.
+    """
+    m, size = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    order = np.lexsort((token, often[token], owner))
+    place = np.arange(len(order)) - edges[owner]
+    first = order[place < (size + percent * -size // 100 + 1)[owner]]
+    first = first[often[token[first]] > 1]
+    # Sets by size, and under each shingle those that have it among their first, smallest first.
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(size, kind="stable")] = np.arange(m)
+    by_token = first[np.lexsort((rank[owner[first]], token[first]))]
+    starts, lengths = np.searchsorted(token[by_token], np.arange(len(often))), np.bincount(token[by_token], minlength=len(often))
+    holders = owner[by_token]
+    begin = np.searchsorted(owner[np.sort(first)], np.arange(m + 1))
+    first = np.sort(first)
+    label, links = np.unique(roots, return_inverse=True)[1], []
+    have, met = np.zeros(len(often), bool), np.zeros(m, bool)
+    for x in np.argsort(size, kind="stable").tolist():
+        mine = token[first[begin[x]:begin[x + 1]]]
+        near = [holders[starts[t]:starts[t] + lengths[t]] for t in mine.tolist() if lengths[t] > 1]
+        if not near:
+            continue
+        met[np.concatenate(near)] = True
+        near = np.flatnonzero(met)
+        met[near] = False
+        near = near[(rank[near] < rank[x]) & (100 * size[near] >= percent * size[x]) & (label[near] != label[x])]
+        if not len(near):
+            continue
+        have[token[edges[x]:edges[x + 1]]] = True
+        while len(near):  # some at a time: a link makes other comparisons needless
+            now, near = near[:64], near[64:]
+            where = np.concatenate([token[edges[y]:edges[y + 1]] for y in now])
+            both = np.add.reduceat(have[where].astype(np.int64), np.cumsum(size[now]) - size[now])
+            for y in now[100 * both >= percent * (size[now] + size[x] - both)].tolist():
+                if label[y] != label[x]:
+                    links.append((x, y))
+                    label[label == label[y]] = label[x]
+            near = near[label[near] != label[x]]
+        have[token[edges[x]:edges[x + 1]]] = False
+    return links
+
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different roots inside each block of ``blocks`` (key, cls, root, shingles)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, roots = table["cls"].to_pylist(), table["root"].to_pylist()
+        sets = [np.frombuffer(s.as_py(), U) for s in table["shingles"]]
+        found = set_links(sets, np.array([r.hex() for r in roots]), percent)
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()), "b": pa.array([names[y] for _, y in found], pa.binary())})
+
+    return blocks.select("key", "cls", "root", "shingles").groupBy("key").applyInArrow(run, "a binary, b binary")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets meet the threshold, by exact integer comparison."""
+
+    def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for x, y in zip(*([np.frombuffer(s.as_py(), U) for s in batch.column(k)] for k in (2, 3)), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            picked = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1)], ["a", "b"])
-
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    left, right = (sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
-def texts_of_classes(docs: DataFrame, classes: DataFrame, some: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cls, text) of the classes in ``some`` (cls), one text each."""
-    needed = some.join(classes.select("cls", "least"), "cls")
-    # Merged at every size: a broadcast here would hold a class per likely copy of the corpus.
-    texts = texts_of(docs, words).join(sized(needed, "needed").hint("merge"), "cls").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    return sized(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")
 
+def blocks_of(members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (key, cls, root) in which every two of ``members`` (cls, cluster, n) of a cluster meet, and links found on the way.
 
-def bridged(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` (cls, root) with the roots that ``links`` (a, b) join as one."""
-    if links.isEmpty():
-        return placed
-    left, right = (placed.select(F.col("cls").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    bridges = links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    placed = placed.join(components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return sized(placed.select("cls", F.coalesce("top", "root").alias("root")), "roots")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION) -> DataFrame:
+    A cluster of at most ``block`` shingles is one block. In a larger one the likely ``pairs`` are
+    checked first; a component that fills blocks has blocks of its own, the rest shares blocks, and
+    each two blocks meet, but for two of the same component.
+    """
+    weigh = members.groupBy("cluster").agg(F.sum("n").alias("whole"))
+    large = sized(weigh.where(F.col("whole") > block), "large")
+    small = members.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), "cls", F.col("cls").alias("root"))
+    if large.isEmpty():
+        return small, pairs.select("a", "b").where("false")
+    inside = sized(members.join(large, "cluster").select("cls", "cluster", "n"), "inside")
+    links = sized(linked_pairs(pairs.join(inside.select(F.col("cls").alias("a")), "a", "left_semi"), sets, percent), "links")
+    roots = components(links).withColumnRenamed("node", "cls")
+    inside = sized(inside.join(roots, "cls", "left").select("cls", "cluster", "n", F.coalesce("root", "cls").alias("root")), "inside")
+    weights = inside.groupBy("cluster", "root").agg(F.sum("n").alias("own")).withColumn("pure", F.col("own") > block // 2)
+    weights = sized(weights, "weights")
+    rest = sized(weights.where("NOT pure").groupBy("cluster").agg(F.sum("own").alias("mixed")), "rest")
+    half = block // 2
+    own = F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("own") / half)))
+    shared = F.xxhash64("cluster", F.pmod(F.xxhash64("root"), F.ceil(F.col("mixed") / half)))
+    dealt = inside.join(weights, ["cluster", "root"]).join(rest, "cluster", "left")
+    dealt = sized(dealt.select("cluster", "cls", "root", F.when(F.col("pure"), own).otherwise(shared).alias("block"), F.when(F.col("pure"), F.col("root")).alias("of")), "dealt")
+    each = sized(dealt.select("cluster", "block", "of").distinct(), "blocks")
+    left, right = (each.select("cluster", F.col("block").alias(f"b{k}"), F.col("of").alias(f"of{k}")) for k in "12")
+    meet = left.join(right, "cluster").where("b1 <= b2 AND (of1 IS NULL OR of2 IS NULL OR of1 != of2)").withColumn("pair", F.xxhash64("b1", "b2"))
+    # As binary, like the names of the small clusters.
+    meet = sized(meet.select(F.unhex(F.hex("pair")).alias("key"), "cluster", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")), "meet")
+    return small.union(dealt.join(meet, ["cluster", "block"]).select("key", "cls", "root")), links
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION, block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, kept and cls; one row per row.
 
     Documents with 100 * intersection >= ``percent`` * union of their shingle sets are linked;
@@ -371,43 +394,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, limi
     are marked kept. A null doc_id names a component only if no other id is in it. Other columns
     are ignored.
     """
-    result = near_rows(docs, percent, words, limit)
+    result = near_rows(docs, percent, words, limit, block)
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
 
 
-def near_rows(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION) -> DataFrame:
+def near_rows(docs: DataFrame, percent: int = 80, words: int = WORDS, limit: int = REGION, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, cls and root of each row; root is the component itself, whatever ids are in it."""
     rows = sized(classes_of(docs, words), "signatures")
-    classes = sized(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "classes")
-    members, star, crowd = regions(classes.select("cls", "sig"), limit)
+    classes = sized(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
     sigs = classes.select("cls", "sig")
-    members = sized(members.distinct(), "regions")
-    gather = F.collect_list(F.struct("cls", "sig", "root")).alias("members")
-    first = likely_pairs(members.join(sigs, "cls").withColumn("root", F.lit(None).cast("binary")).groupBy("key").agg(gather), percent / 100, True)
-    first = sized(first.union(likely(star, sigs, percent / 100)).distinct(), "pairs")
-    # Every class with a likely partner is in a spanning forest, so these texts serve the second check as well.
-    needed = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
-    texts = texts_of_classes(docs, classes, needed, words)
-    links = sized(linked_pairs(first, texts, percent, words), "links")
-    roots = components(links)
-    placed = needed.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    placed = sized(placed, "roots")
-    apart = members.join(placed, "cls")
-    open_keys = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    grouped = apart.join(sized(open_keys, "open"), "key").join(sigs, "cls").groupBy("key").agg(gather)
-    second = sized(likely_pairs(grouped, percent / 100, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    placed = bridged(placed, sized(linked_pairs(second, texts, percent, words), "links"))
-    apart = crowd.join(placed, "cls", "left").select("home", "cls", F.coalesce("root", "cls").alias("root"))
-    open_homes = apart.groupBy("home").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("home")
-    apart = sized(apart.join(sized(open_homes, "open"), "home").select("cls", "root").distinct(), "apart")
-    if not apart.isEmpty():
-        texts = texts_of_classes(docs, classes, apart.select("cls"), words)
-        third = crowd_pairs(apart, texts, sigs, percent, words, limit).join(first.union(second), ["a", "b"], "left_anti")
-        more = sized(linked_pairs(sized(third, "pairs"), texts, percent, words), "links")
-        placed = bridged(placed.join(apart, "cls", "left_anti").unionByName(apart), more)
-    per = classes.select("cls", "least").join(placed, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = per.groupBy("root").agg(F.min("least").alias("component_id"))
-    per = sized(per.join(least, "root").select("cls", "component_id", "root"), "components")
-    joined = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(per, "cls").select("doc_id", "n_shingles", "component_id", "cls", "root")
+    members, star, crowd = regions(sigs, limit)
+    grouped = members.distinct().join(sigs, "cls").groupBy("key").agg(F.collect_list(F.struct("cls", "sig")).alias("members"))
+    pairs = sized(likely_pairs(grouped, percent / 100).union(likely(star, sigs, percent / 100)).distinct(), "pairs")
+    # All likely pairs of a region, and all classes of a crowded one, lie in one cluster.
+    first = sized(crowd.groupBy("home").agg(F.min("cls").alias("a")), "first")
+    clusters = components(pairs.union(crowd.join(first, "home").select("a", F.col("cls").alias("b"))))
+    wanted = sized(clusters.join(classes, clusters.node == classes.cls).select("cls", F.col("root").alias("cluster"), "least", "n"), "clusters")
+    sets = sized(shingles_of(docs, wanted, words), "shingles")
+    blocks, links = blocks_of(wanted, pairs, sets, percent, block)
+    links = links.union(sized(block_links(blocks.join(sets, "cls"), percent), "links"))
+    linked = components(links).withColumnRenamed("node", "cls").join(classes.select("cls", "least"), "cls")
+    least = sized(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    linked = sized(linked.join(least, "root").select("cls", "component_id", "root"), "components")
+    per = classes.select("cls", "least").join(linked, "cls", "left").select(
+        "cls", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "cls").alias("root"))
+    joined = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(sized(per, "components"), "cls").select("doc_id", "n_shingles", "component_id", "cls", "root")
     alone = rows.where("cls IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("root"))
     return joined.union(alone)

@@ -232,8 +232,8 @@ def test_near_copies_of_awkward_rows(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [minhash.REGION, 6])
-def test_a_large_group_of_near_copies(spark, limit):
+@pytest.mark.parametrize("limit,block", [(minhash.REGION, minhash.BLOCK), (6, minhash.BLOCK), (6, 1_000), (minhash.REGION, 4_000)])
+def test_a_large_group_of_near_copies(spark, limit, block):
     draw, data = np.random.default_rng(3), []
     for k in range(150):
         w = list(WORDS[:150]) if k % 3 else [*WORDS[:30], *(f"u{k}v{j}" for j in range(100))]
@@ -242,19 +242,36 @@ def test_a_large_group_of_near_copies(spark, limit):
         data.append((k, " ".join(w), "s"))
     data += [(1000, " ".join(WORDS[:150]), "s")] * 30
     frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
-    assert Counter(rows(minhash.near_duplicates(frame, 85, limit=limit).drop("cls"))) == near_groups(data, 85)
+    assert Counter(rows(minhash.near_duplicates(frame, 85, limit=limit, block=block).drop("cls"))) == near_groups(data, 85)
 
 
-def test_pairs_inside_a_shared_template(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 5_000])
+def test_pairs_inside_a_shared_template(spark, block):
     data = []
     for k in range(250):  # 0.77 between the documents of the template, 0.86 inside a pair
         tail = [f"u{k}v{j}" for j in range(14)]
         data += [(2 * k, " ".join([*WORDS[:100], *tail]), "s"), (2 * k + 1, " ".join([*WORDS[:100], *tail[:6], *(f"y{k}v{j}" for j in range(8))]), "s")]
     frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
-    found = rows(minhash.near_duplicates(frame, 85, limit=16).drop("cls"))
+    found = rows(minhash.near_duplicates(frame, 85, limit=16, block=block).drop("cls"))
     assert sum(not r[3] for r in found) == 250 and Counter(found) == near_groups(data, 85)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_links_of_a_block_join_what_a_brute_force_joins(percent):
+    draw = np.random.default_rng(percent)
+    sets = []
+    for k in range(120):
+        own = draw.choice(4000, draw.integers(1, 60), replace=False) if k % 4 == 0 else sets[draw.integers(0, len(sets))].astype(np.int64)
+        own = own[draw.random(len(own)) > 0.06]
+        sets.append(np.unique(np.append(own, draw.integers(0, 4000, 2))).astype(np.uint64))
+    roots = np.array([str(k if k % 10 else 0) for k in range(120)])
+    found = minhash.set_links(sets, roots, percent)
+    linked = lambda x, y: 100 * len(set(sets[x]) & set(sets[y])) >= percent * len(set(sets[x]) | set(sets[y]))
+    assert all(linked(x, y) for x, y in found) and len(found) < len(set(roots))
+    same = [(0, k) for k in range(0, 120, 10)]
+    assert groups(found + same, range(120)) == groups([(x, y) for x in range(120) for y in range(x) if linked(x, y)] + same, range(120))
+
+
 def test_exact_copies_over_batches(spark, docs, none):
     index = "test_index_" + hashlib.md5(repr(spark.sparkContext.applicationId).encode()).hexdigest()
     spark.sql(f"DROP TABLE IF EXISTS {index}")
