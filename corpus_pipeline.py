@@ -5,56 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourse.llm import exact_dedup, minhash, mix, pack, quality
+from raincourse.llm import keep, mix, pack, quality
 from raincourse.llm.queries import QUERIES, tokenizer
-from raincourse.session import new_path, sized
+from raincourse.session import new_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``.
+
+    Null and empty texts are scored by the classifier's bias; without usable labels every score is 0.5
+    and all documents stay. Repeated rows stay or go together; an empty table stays empty.
+    """
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 1").select("row.*")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per text: the one with the largest doc_id; of rows that repeat id and text, one."""
-    digests = exact_dedup.digests_of(docs)
-    index = f"digest_index_{spark.range(1).select(F.uuid()).first()[0].replace('-', '')}"
-    groups = exact_dedup.dedup(digests, index).where("kept").select("digest", F.col("keep_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), exact_dedup.text_digest().alias("digest"))
-    return rows.join(groups, (rows.digest == groups.digest) & F.col("row.doc_id").eqNullSafe(F.col("_keep"))).drop(groups.digest).dropDuplicates(["digest"]).select("row.*")
+    return keep.keep_one_copy(docs, f"digest_index_{spark.range(1).select(F.uuid()).first()[0].replace('-', '')}")
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, 0.8): the one with the least doc_id.
-
-    A null doc_id comes after all others, rows that share the least id go by their word sequence,
-    and of those with the same words the least digest stays. Texts without words all stay.
-    """
-    marks = sized(minhash.near_rows(docs, percent=80).where("cls IS NOT NULL").select("root", F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")), "marks")
-    each = marks.groupBy("root", "_id", "_cls").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_cls")
-    best = sized(marks.groupBy("root").agg(F.min(rank).alias("best")), "best")
-    each = each.join(best, "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_cls") == F.col("best._cls")))
-    each = sized(each.where("NOT stays OR n > 1").select("_id", F.col("_cls").alias("_of"), "stays"), "marks")
-    rows = minhash.with_class(docs, "_cls")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_of"))
-    left = rows.join(each, same, "left_anti").select(*docs.columns)
-    several = each.where("stays").select("_id", "_of")
-    if several.isEmpty():
-        return left
-    row = F.struct(*docs.columns)
-    several = rows.join(several, same).groupBy("_cls").agg(F.min_by(row, F.struct(F.sha2("text", 256), F.to_json(row))).alias("row"))
-    return left.union(several.select("row.*"))
+    """One row of each group of near copies (five-word shingles, 0.8): the one with the least doc_id; texts without words all stay."""
+    return keep.keep_one_of_near(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A text without words has no size and is taken as often as its place in its source says; a null source is a
+    source of its own; repeated rows are drawn one by one; an empty table stays empty.
+    """
     return mix.emit_copies(mix.mixed(docs)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 4096 tokens."""
+    """Pieces of documents with their place in sequences of 4096 tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each; an empty table gives no piece.
+    """
     return pack.pack(pack.cut(docs, tokenizer("word_bpe_49k.json")))
 
 
