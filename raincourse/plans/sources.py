@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from raincourse.registry import query
 from raincourse.session import new_path
 from raincourse.sources import scans, sinks
-from raincourse.streaming.pipelines import parse_bus
+from raincourse.streaming.pipelines import upsert_stream
 from raincourse.views import SQL_VIEWS, Views
 
 c = F.col
@@ -93,9 +93,22 @@ def s06(v):
 
 @query("s07_message_bus", "SELECT event_type AS topic_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s07(v):
-    """Messages as the bus delivers them (binary JSON value), parsed to rows."""
-    bus = v.events.select(F.to_json(F.struct("event_id", "event_type", "value")).cast("binary").alias("value"))
-    m = parse_bus(bus, "event_id long, event_type string, value double")
+    """Messages as the bus delivers them, some of them twice, read as a stream and merged into a table by their id.
+
+    The messages are files with the columns of a Kafka source; each event stands for a message, one in seven
+    comes again later, and one in five had an earlier value.
+    """
+    k = c("event_id")
+    message = lambda value, offset: F.struct(
+        k.cast("string").cast("binary").alias("key"), F.to_json(F.struct("event_id", "event_type", value.alias("value"))).cast("binary").alias("value"),
+        F.concat(F.lit("etl-"), c("event_type")).alias("topic"), (k % 3).cast("int").alias("partition"), offset.alias("offset"), c("ts").cast("timestamp").alias("timestamp"))
+    sent = v.events.select(F.inline(F.filter(F.array(
+        message(c("value"), k * 3 + 1), F.when(k % 7 == 0, message(c("value"), k * 3 + 2)), F.when(k % 5 == 0, message(c("value") + 1, k * 3))), lambda m: m.isNotNull())))
+    path = new_path(v.spark, "bus")
+    sent.write.parquet(f"{path}/messages")
+    bus = v.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/messages")
+    rows = bus.select("offset", F.from_json(c("value").cast("string"), "event_id long, event_type string, value double").alias("m")).select("offset", "m.*")
+    m = upsert_stream(rows, ["event_id"], "offset", f"{path}/merged")
     return m.groupBy(c("event_type").alias("topic_type")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

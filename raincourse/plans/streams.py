@@ -9,6 +9,7 @@ from raincourse.operators import learning as L
 from raincourse.operators import statistics as S
 from raincourse.operators.ordered import last_known
 from raincourse.registry import query
+from raincourse.session import new_path
 from raincourse.sources.sinks import merged_rows
 from raincourse.streaming import pipelines as P
 from raincourse.streaming import state as ST
@@ -56,7 +57,7 @@ def t02(v):
 
 @query("t02_last_good_stream", SQL_GOOD)
 def t02s(v):
-    t = P.run_to_table(P.last_good_stream(stream(v), "user_id", "ts", "event_id", F.when(c("value") >= 40, c("value"))), "last-good")
+    t = P.run_to_end(stream(v), "ts", lambda r: P.last_good_stream(r, "user_id", "ts", "event_id", F.when(c("value") >= 40, c("value"))), "last-good")
     return t.select("event_id", F.round("value", 6).alias("value"), "source")
 
 
@@ -74,7 +75,7 @@ def t03(v):
 @query("t03_alert_suppression_stream", SQL_SENT)
 def t03s(v):
     a = stream(v).filter("value >= 100").select(c("user_id").alias("entity_id"), c("event_id").alias("alert_id"), "ts")
-    return P.run_to_table(P.suppress_stream(a, "entity_id", "ts", "alert_id", TTL), "sent")
+    return P.run_to_end(a, "ts", lambda r: P.suppress_stream(r, "entity_id", "ts", "alert_id", TTL), "sent")
 
 
 SQL_LIFE = """SELECT entity_id, alert_id, state AS level, CASE WHEN state = 'low' THEN 'resolve' ELSE 'create' END AS action FROM (SELECT *, lag(state, 1, 'low') OVER (PARTITION BY entity_id ORDER BY issued_at, alert_id) AS prev FROM (SELECT *, CASE WHEN severity = 'low' THEN 'low' ELSE strftime(issued_at, '%Y%m%d') || '-' || severity END AS state FROM alert)) WHERE state <> prev"""
@@ -95,17 +96,32 @@ def t04s(v):
     x = c("value")
     level = F.when(x >= 150, "critical").when(x >= 100, "high").when(x >= 50, "medium").otherwise("low")
     a = stream(v).select(c("user_id").alias("entity_id"), c("event_id").alias("alert_id"), "ts", "value")
-    return P.run_to_table(P.lifecycle_stream(a, "entity_id", "ts", "alert_id", alert_state(level, "ts"), "low"), "lifecycle")
+    return P.run_to_end(a, "ts", lambda r: P.lifecycle_stream(r, "entity_id", "ts", "alert_id", alert_state(level, "ts"), "low"), "lifecycle")
 
 
-@query("t07_late_rows", "SELECT station_id, count(*) FILTER (WHERE d <= 35) AS in_time, count(*) FILTER (WHERE d > 35) AS late FROM (SELECT station_id, (event_id * 37) % 100 AS d FROM obs) GROUP BY 1")
+SQL_LATE = "SELECT station_id, count(*) FILTER (WHERE d <= 35) AS in_time, count(*) FILTER (WHERE d > 35) AS late FROM (SELECT station_id, (event_id * 37) % 100 AS d FROM obs) GROUP BY 1"
+
+
+def with_arrival(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("arrived", F.timestamp_micros(F.unix_micros(c("ts").cast("timestamp")) + (c("event_id") * 37 % 100) * 60_000_000))
+
+
+def late_counts(in_time: DataFrame, late: DataFrame) -> DataFrame:
+    both = in_time.select("station_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(late.select("station_id", F.lit(0), F.lit(1)))
+    return both.groupBy("station_id").agg(F.sum("a").alias("in_time"), F.sum("b").alias("late"))
+
+
+@query("t07_late_rows", SQL_LATE)
 def t07(v):
     """Rows that arrive after the limit go to a side table; both tables together hold every row."""
-    arrival = F.timestamp_micros(F.unix_micros("ts") + (c("event_id") * 37 % 100) * 60_000_000)
-    in_time, late = ST.split_late(v.obs.withColumn("arrived", arrival), "ts", "arrived", 35 * 60)
-    a = in_time.groupBy("station_id").agg(F.count("*").alias("a"))
-    b = late.groupBy("station_id").agg(F.count("*").alias("b"))
-    return a.join(b, "station_id", "full_outer").select("station_id", F.coalesce("a", F.lit(0)).alias("in_time"), F.coalesce("b", F.lit(0)).alias("late"))
+    return late_counts(*ST.split_late(with_arrival(v.obs), "ts", "arrived", 35 * 60))
+
+
+@query("t07_late_rows_stream", SQL_LATE)
+def t07s(v):
+    """The same from a stream with two sinks."""
+    rows = with_arrival(stream(v).select(c("user_id").alias("station_id"), "event_id", "ts"))
+    return late_counts(*P.split_stream(rows, "ts", 35 * 60, new_path(v.spark, "late"), "arrived"))
 
 
 @query("t09_monthly_history_trend", "SELECT watershed_id, count(*) AS months, round(regr_slope(v, t), 6) AS slope FROM (SELECT watershed_id, CASE WHEN month = (SELECT max(month) FROM monthly) THEN p_mm + 5 ELSE p_mm END AS v, (year(month) * 12 + month(month)) / 12.0 - 1990 AS t FROM monthly) GROUP BY 1")

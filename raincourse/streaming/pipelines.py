@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from raincourse.session import new_path
+from raincourse.session import cut_lineage, new_path
+
+# A table is replayed with its files in any order; rows may then be this much out of order.
+REPLAY = "366 days"
+CLOSED = "2200-01-01"  # within the range of pandas times
 
 
 def read_bus(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -28,30 +34,51 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream: all files below ``{folder}/{name}.parquet``, or that one file.
-
-    The files that are there at the start are one micro-batch, so answers do not depend on
-    how many files hold the rows.
-    """
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream: all files below ``{folder}/{name}.parquet``, or that one file, so many a micro-batch."""
     path = f"{folder}/{name}.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
     if is_folder(spark, path):
         return stream.option("recursiveFileLookup", "true").parquet(path)
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process all input that is available into a Parquet table in the shared folder and read it."""
-    spark = stream.sparkSession
-    path = new_path(spark, name)
+def _drain(stream: DataFrame, path: str) -> None:
     query = (stream.writeStream.format("parquet").option("path", f"{path}/table")
              .option("checkpointLocation", f"{path}/checkpoint").outputMode("append")
              .trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Process all input that is available into a Parquet table in the shared folder and read it."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    _drain(stream, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
+def run_to_end(rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame], name: str, late: str = REPLAY) -> DataFrame:
+    """``job`` over all of the stream ``rows``, then closed: what it still holds back comes out too.
+
+    Rows may come in any order within ``late``. After the input a row with the last possible time
+    and nothing else is read, which moves the watermark past everything; the job starts again from its
+    checkpoint for that, as it would after a failure.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, name)
+    end = spark.range(1).select(*[(F.lit(CLOSED) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    end.where("false").write.parquet(f"{path}/end")
+    ends = spark.readStream.schema(rows.schema).parquet(f"{path}/end")
+    result = job(rows.unionByName(ends).withWatermark(ts, late))
+    _drain(result, path)
+    end.write.mode("append").parquet(f"{path}/end")
+    _drain(result, path)
+    return spark.read.schema(result.schema).parquet(f"{path}/table")
+
+
 def windowed_rain(readings: DataFrame, key: str, ts: str, value: str, size: str = "30 minutes",
                   slide: str | None = None, late: str = "35 minutes") -> DataFrame:
     """Rain per key and event-time window; a window closes when the watermark passes its end."""
@@ -61,51 +88,67 @@ def windowed_rain(readings: DataFrame, key: str, ts: str, value: str, size: str
             .select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rain"))
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(time, id, x) of one key's rows in a micro-batch, in time order."""
-    rows = pd.concat(list(batches)).sort_values(["us", "id"])
-    return zip(rows["us"], rows["id"], rows["x"])
-
+def _keyed(rows: DataFrame, key: str, ts: str, id_column: str, x: Column, step, out: str, expires: Callable | None = None) -> DataFrame:
+    """Run ``step(last, us, id, x) -> (last, row or None)`` over each key in order of time and id.
 
-def _keyed(rows: DataFrame, key: str, ts: str, id_column: str, x: Column, step, out: str, state: str) -> DataFrame:
-    """Run ``step(last, us, id, x) -> (last, row or None)`` over each key, keeping ``last`` as state."""
+    ``rows`` is a stream with a watermark on ``ts``. Rows wait in the key's state until the watermark
+    has passed them, so nothing earlier can come any more, whatever the micro-batches held. The
+    state is what waits and ``last``; ``expires(last)`` gives the time in microseconds from which a
+    key's ``last`` makes no difference, and then the state goes.
+    """
     names = ["key", "id", *[p.split()[0] for p in out.split(", ")]]
 
     def run(k, batches, held: GroupState):
-        last = held.get[0] if held.exists else None
+        last, waiting = pickle.loads(held.get[0]) if held.exists else (None, [])
+        if not held.hasTimedOut:
+            for b in batches:
+                if not pd.isna(k[0]):
+                    waiting += zip(b["us"].tolist(), b["id"].tolist(), b["x"].tolist(), strict=True)
+        mark = held.getCurrentWatermarkMs()
+        ready, waiting = sorted((r for r in waiting if r[0] < mark * 1000), key=lambda r: r[:2]), [r for r in waiting if r[0] >= mark * 1000]
         found = []
-        for us, i, value in _in_order(batches):
+        for us, i, value in ready:
             last, row = step(last, us, i, value)
             if row is not None:
                 found.append((k[0], i, *row))
-        if last is not None:
-            held.update((last,))
+        wake = min((r[0] for r in waiting), default=None)
+        if wake is None and last is not None and expires is not None:
+            wake = expires(last)
+            if wake < mark * 1000:
+                last = wake = None
+        if last is None and not waiting:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((pickle.dumps((last, waiting)),))
+            if wake is not None:
+                held.setTimeoutTimestamp(max(mark, int(wake // 1000)) + 1)
         yield pd.DataFrame(found, columns=names)
 
-    shaped = rows.select(F.col(key).alias("key"), F.unix_micros(ts).alias("us"), F.col(id_column).alias("id"), x.alias("x"))
+    shaped = rows.select(F.col(key).alias("key"), F.unix_micros(ts).alias("us"), F.col(ts).alias("at"), F.col(id_column).alias("id"), x.alias("x"))
     applied = shaped.groupBy("key").applyInPandasWithState(
-        run, f"key long, id long, {out}", f"last {state}", "append", GroupStateTimeout.NoTimeout)
+        run, f"key long, id long, {out}", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return applied.withColumnsRenamed({"key": key, "id": id_column})
 
 
 def suppress_stream(alerts: DataFrame, key: str, ts: str, id_column: str, ttl_s: float) -> DataFrame:
-    """Alerts at least ``ttl_s`` after the last SENT alert of their key (the state)."""
+    """Alerts at least ``ttl_s`` after the last SENT alert of their key (the state, until that time is over)."""
     def step(last, us, _id, _x):
         if last is None or us - last >= ttl_s * 1e6:
             return int(us), (int(us),)
         return last, None
 
-    return _keyed(alerts, key, ts, id_column, F.lit(0), step, "sent_us long", "long")
+    return _keyed(alerts, key, ts, id_column, F.lit(0), step, "sent_us long", lambda last: last + int(ttl_s * 1e6))
 
 
 def lifecycle_stream(readings: DataFrame, key: str, ts: str, id_column: str, level: Column, normal: str) -> DataFrame:
     """A row when the level of a key changes: create on a new level, resolve on return to normal."""
     def step(last, _us, _id, now):
         if now == (normal if last is None else last):
-            return now, None
-        return now, (now, "resolve" if now == normal else "create")
+            return last, None
+        return (None if now == normal else now), (now, "resolve" if now == normal else "create")
 
-    return _keyed(readings, key, ts, id_column, level, step, "level string, action string", "string")
+    return _keyed(readings, key, ts, id_column, level, step, "level string, action string")
 
 
 def last_good_stream(readings: DataFrame, key: str, ts: str, id_column: str, value: Column) -> DataFrame:
@@ -115,4 +158,56 @@ def last_good_stream(readings: DataFrame, key: str, ts: str, id_column: str, val
             return float(now), (float(now), "live")
         return last, (last, "missing" if last is None else "fallback")
 
-    return _keyed(readings, key, ts, id_column, value, step, "value double, source string", "double")
+    return _keyed(readings, key, ts, id_column, value, step, "value double, source string")
+
+
+def split_stream(rows: DataFrame, event_ts: str, limit_s: int, path: str, arrival_ts: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All of the stream ``rows`` into two tables under ``path``: rows in time, and late ones.
+
+    With ``arrival_ts`` a row is late when it arrived more than ``limit_s`` after its event. Without, it
+    is late when its event lies more than ``limit_s`` before the newest event of the earlier micro-batches;
+    that mark is carried from batch to batch in a table of its own. Each batch
+    writes folders named by its number, so a batch that is run again replaces what it wrote.
+    """
+    spark = rows.sparkSession
+    kinds, schema = ("in_time", "late", "mark"), rows.schema
+    event = F.unix_micros(event_ts)
+    spark.range(1).select(F.lit(None).cast("long").alias("newest")).write.mode("overwrite").parquet(f"{path}/mark/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        marks = batch.sparkSession.read.parquet(f"{path}/mark").where(F.col("batch") < number)
+        newest = marks.agg(F.max("newest")).first()[0]
+        if arrival_ts:
+            late = F.unix_micros(arrival_ts) - event > limit_s * 1_000_000
+        else:
+            late = F.lit(False) if newest is None else event < newest - limit_s * 1_000_000
+        late = F.coalesce(late, F.lit(False))
+        held = batch.withColumn("_late", late).persist()
+        for kind, part in (("in_time", held.where("NOT _late").drop("_late")), ("late", held.where("_late").drop("_late")), ("mark", held.agg(F.max(event).alias("newest")))):
+            part.write.mode("overwrite").parquet(f"{path}/{kind}/batch={number}")
+        held.unpersist()
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{kind}/batch=*") for kind in kinds[:2])
+
+
+def upsert_stream(rows: DataFrame, keys: list[str], order: str, path: str, buckets: int = 16, checkpoint: str | None = None) -> DataFrame:
+    """All of the stream ``rows`` merged into a table under ``path``: of each key the row that is newest by ``order``.
+
+    The table is partitioned by a hash of the keys; a batch reads and replaces the partitions it
+    touches. Old and new rows are compared by ``order`` alone, so batches may come in any order and a
+    batch that is run again changes nothing.
+    """
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    names, shape = rows.columns, StructType([*rows.schema.fields, StructField("part", IntegerType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("part", part)
+        old = batch.sparkSession.read.schema(shape).parquet(f"{path}/table").join(new.select("part").distinct(), "part", "left_semi")
+        newest = old.select(*names, "part").unionByName(new).groupBy("part", *keys).agg(F.max_by(F.struct(*names), order).alias("row")).select("row.*", "part")
+        cut_lineage(newest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/table")
+
+    spark.createDataFrame([], shape).write.partitionBy("part").mode("ignore").parquet(f"{path}/table")
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(shape).parquet(f"{path}/table").select(*names)

@@ -1,6 +1,7 @@
 """Streams fed in several files give the batch result, whatever the split."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ def readings(spark):
     return spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").cache()
 
 
-def files(spark, df, parts):
-    """Write the rows as ``parts`` files in time order, one micro-batch each."""
+def files(spark, df, parts, shuffled=False):
+    """Write the rows as ``parts`` files, one micro-batch each, in time order or in any order."""
     path = new_path(spark, "in")
     n = df.count()
-    for k in range(parts):
+    order = list(range(parts))
+    if shuffled:
+        random.Random(parts).shuffle(order)
+    for k in order:
         lo, hi = n * k // parts, n * (k + 1) // parts
         df.filter(F.col("event_id").between(lo, hi - 1)).coalesce(1).write.parquet(f"{path}/part={k}")
     return spark.readStream.schema("event_id long, user_id long, ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
@@ -32,7 +36,7 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("parts", [1, 7, 150])
 def test_suppression(spark, readings, parts):
     want, last = [], {}
     for r in sorted(readings.collect(), key=lambda r: (r.ts, r.event_id)):
@@ -40,23 +44,23 @@ def test_suppression(spark, readings, parts):
             last[r.user_id] = r.ts
             want.append((r.user_id, r.event_id))
     batch = ST.suppress_repeats(readings, "user_id", "ts", "event_id", 1800, width_s=3600)
-    stream = P.run_to_table(P.suppress_stream(files(spark, readings, parts), "user_id", "ts", "event_id", 1800), "sent")
+    stream = P.run_to_end(files(spark, readings, parts, True), "ts", lambda r: P.suppress_stream(r, "user_id", "ts", "event_id", 1800), "sent")
     assert rows(batch, "user_id", "event_id") == rows(stream, "user_id", "event_id") == sorted(want)
 
 
-@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("parts", [1, 7])
 def test_lifecycle(spark, readings, parts):
     level = F.when(F.col("value") > 120, "high").otherwise("none")
     batch = ST.level_changes(readings, "user_id", "ts", "event_id", level, "none", 1800.0)
-    stream = P.run_to_table(P.lifecycle_stream(files(spark, readings, parts), "user_id", "ts", "event_id", level, "none"), "life")
+    stream = P.run_to_end(files(spark, readings, parts, True), "ts", lambda r: P.lifecycle_stream(r, "user_id", "ts", "event_id", level, "none"), "life")
     got = rows(stream, "user_id", "event_id", "level", "action")
     assert rows(batch, "user_id", "event_id", "level", "action") == got and got
 
 
-@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("parts", [1, 7])
 def test_last_good(spark, readings, parts):
     good = F.when(F.col("value") > 60, F.col("value"))
-    stream = P.run_to_table(P.last_good_stream(files(spark, readings, parts), "user_id", "ts", "event_id", good), "good").collect()
+    stream = P.run_to_end(files(spark, readings, parts, True), "ts", lambda r: P.last_good_stream(r, "user_id", "ts", "event_id", good), "good").collect()
     last, want = {}, {}
     for r in sorted(readings.collect(), key=lambda r: (r.ts, r.event_id)):
         last[r.user_id] = r.value if r.value > 60 else last.get(r.user_id)
@@ -65,6 +69,37 @@ def test_last_good(spark, readings, parts):
     assert {r.source for r in stream} >= {"live", "fallback"}
 
 
+def test_rows_within_the_watermark_wait_and_older_ones_are_dropped(spark, readings):
+    """In time order with a short watermark the answer is that of the batch; a row far behind it changes nothing."""
+    late = spark.createDataFrame([(600, 1, T0 - dt.timedelta(days=1), 199.0)], readings.schema)
+    good = F.when(F.col("value") > 60, F.col("value"))
+    job = lambda r: P.last_good_stream(r, "user_id", "ts", "event_id", good)
+    short = P.run_to_end(files(spark, readings.unionByName(late), 7), "ts", job, "good", "2 hours")
+    whole = P.run_to_end(files(spark, readings, 1), "ts", job, "good")
+    assert rows(short, "user_id", "event_id", "value", "source") == rows(whole, "user_id", "event_id", "value", "source")
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_a_stream_with_a_late_sink_keeps_every_row(spark, readings, parts):
+    path = new_path(spark, "late")
+    given = files(spark, readings, parts, True)
+    in_time, late = P.split_stream(given, "ts", 3600, path)
+    found, behind = rows(in_time, "event_id"), rows(late, "event_id")
+    assert sorted(found + behind) == rows(readings, "event_id") and bool(behind) == (parts > 1)
+    again = P.split_stream(given, "ts", 3600, path, checkpoint=new_path(spark, "again"))  # all batches once more
+    assert [rows(t, "event_id") for t in again] == [found, behind]
+
+
+def test_a_replayed_batch_changes_no_merged_row(spark, readings):
+    path = new_path(spark, "merged")
+    old = readings.where("event_id < 300").withColumns({"value": F.lit(-1.0), "ts": F.col("ts") - F.expr("INTERVAL 1 DAY")})
+    sent = readings.withColumn("event_id", F.col("event_id") % 300)
+    given = files(spark, old.unionByName(sent), 5, True)
+    first = rows(P.upsert_stream(given, ["event_id"], "ts", path), "event_id", "value")
+    assert first == rows(readings.where("event_id >= 300").withColumn("event_id", F.col("event_id") - 300), "event_id", "value")
+    assert rows(P.upsert_stream(given, ["event_id"], "ts", path, checkpoint=new_path(spark, "again")), "event_id", "value") == first
+
+
 def test_closed_windows_equal_batch_and_late_rows_are_left_out(spark, readings):
     late = spark.createDataFrame([(600, 0, T0, 999.0)], readings.schema)
     both = readings.unionByName(late)
