@@ -25,7 +25,7 @@ from raincourse.llm.bytes_hash import slices
 from raincourse.llm.tokens import byte_alphabet
 from raincourse.session import sized
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 PAIR = 1 << 31  # a pair of ids as one number: a * PAIR + b
 
 
