@@ -150,7 +150,7 @@ def train(docs: DataFrame, shape: Shape = Shape(), warm: int = WARM, rounds=ROUN
         weights = _trained(some, names, shape, weights, 0.01, 16, block, weights)
         for low, high, rate in rounds:
             part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text"), F.lit(64))
-            weights = _trained(docs.where((part >= low) & (part < high)), names, shape, weights, rate, 64, block, weights)
+            weights = _trained(docs.where((part >= low) & (part < high)), names, shape, weights, rate, 192, block, weights)
     return Model(shape, counts, names, own[:len(names) + 1], tokens, types, tail_tokens, tail_types, weights)
 
 

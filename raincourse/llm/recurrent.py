@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+PART = 512
 END = 0  # symbol of a document's end, also read before its first word
 
 
@@ -61,8 +62,11 @@ def start_weights(shape: Shape, counts: np.ndarray, seed: int = 13) -> np.ndarra
 class Lanes:
     """Documents dealt to lanes of about equal length; windows of all lanes that are not at their end."""
 
-    def __init__(self, symbols: np.ndarray, counts: np.ndarray, lanes: int):
-        """``symbols`` of all documents in a row, each with ``counts`` of them and its end symbol last."""
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, lanes: int, begins: np.ndarray | None = None):
+        """``symbols`` of all documents in a row, each with ``counts`` of them and its end symbol last.
+
+        ``begins`` is false for parts that go on with the document of the part before.
+        """
         lanes = max(1, min(lanes, len(counts)))
         loads, held = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
         for doc in np.argsort(-counts, kind="stable").tolist():
@@ -77,7 +81,8 @@ class Lanes:
         self.source = np.repeat(first[order], lengths) + inside  # where in ``symbols`` each place of the lanes comes from
         self.target = symbols[self.source]
         self.fresh = inside == 0
-        self.input = np.where(self.fresh, END, np.roll(self.target, 1))
+        self.input = symbols[self.source - 1]
+        self.input[self.fresh if begins is None else self.fresh & np.repeat(begins[order], lengths)] = END
         self.length = np.array([int(counts[docs].sum()) for docs in held])
         self.start = np.cumsum(self.length) - self.length
 
@@ -92,28 +97,41 @@ class Lanes:
 
 def run_window(w, shape: Shape, read, keep, state, record):
     """States (steps, lanes, hidden) after reading ``read`` (steps, lanes, 3 hidden); ``record`` gets what the way back needs."""
-    h2, turn = 2 * shape.hidden, w["turn"]
-    out = np.empty((*read.shape[:2], shape.hidden), np.float32)
+    h, h2, turn, half = shape.hidden, 2 * shape.hidden, w["turn"], np.float32(0.5)
+    out = np.empty((*read.shape[:2], h), np.float32)
+    kept = record is not None
+    before, a, gates, new = (np.empty((len(read) if kept else 1, read.shape[1], n), np.float32) for n in (h, 3 * h, h2, h))
     for t in range(len(read)):
-        state = state * keep[t]
-        a = state @ turn
-        gates = np.tanh((read[t, :, :h2] + a[:, :h2]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-        z, r, fed = gates[:, :shape.hidden], gates[:, shape.hidden:], a[:, h2:]
-        new = np.tanh(read[t, :, h2:] + r * fed)
-        if record is not None:
-            record.append((state, z, r, fed, new))
-        state = new + z * (state - new)
-        out[t] = state
+        k = t if kept else 0
+        np.multiply(state, keep[t], out=before[k])
+        np.matmul(before[k], turn, out=a[k])
+        # The logistic function as a hyperbolic tangent.
+        np.add(read[t, :, :h2], a[k, :, :h2], out=gates[k])
+        gates[k] *= half
+        np.tanh(gates[k], out=gates[k])
+        gates[k] *= half
+        gates[k] += half
+        np.multiply(gates[k, :, h:], a[k, :, h2:], out=new[k])
+        new[k] += read[t, :, h2:]
+        np.tanh(new[k], out=new[k])
+        state = out[t]
+        np.subtract(before[k], new[k], out=state)
+        state *= gates[k, :, :h]
+        state += new[k]
+    if kept:
+        record.extend((before, gates[:, :, :h], gates[:, :, h:], a[:, :, h2:], new))
     return out, state
 
 
-def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the logarithm of what they were divided by; ``logits`` is overwritten."""
-    top = logits.max(axis=1, keepdims=True)
-    np.exp(np.subtract(logits, top, out=logits), out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, np.log(total) + top
+def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares before division, and what to divide each row by with its logarithm; ``logits`` is overwritten."""
+    top = np.float32(0)
+    if not logits.max(initial=0) < 60:  # else exp stays within range as it is
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+    np.exp(logits, out=logits)
+    total = logits @ np.ones((logits.shape[1], 1), np.float32)
+    return logits, total, (np.log(total) + top)[:, 0]
 
 
 def log_scores(w, shape: Shape, states: np.ndarray, target: np.ndarray, grads=None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -124,10 +142,11 @@ def log_scores(w, shape: Shape, states: np.ndarray, target: np.ndarray, grads=No
     every = np.arange(len(target))
     logits = states @ w["classes"] + w["class_bias"]
     score = logits[every, cls]
-    share, total = softmax(logits)
-    score = score - total[:, 0]
+    share, total, log_total = softmax(logits)
+    score = score - log_total
     back = None
     if grads is not None:
+        share /= total
         share[every, cls] -= 1
         grads["classes"] += states.T @ share
         grads["class_bias"] += share.sum(axis=0)
@@ -140,9 +159,10 @@ def log_scores(w, shape: Shape, states: np.ndarray, target: np.ndarray, grads=No
         own, place, n = states[mine], target[mine] % each, np.arange(len(mine))
         logits = own @ w["words"][g] + w["word_bias"][g]
         named = logits[n, place]
-        share, total = softmax(logits)
-        score[mine] += named - total[:, 0]
+        share, total, log_total = softmax(logits)
+        score[mine] += named - log_total
         if grads is not None:
+            share /= total
             share[n, place] -= 1
             grads["words"][g] += own.T @ share
             grads["word_bias"][g] += share.sum(axis=0)
@@ -159,15 +179,25 @@ def add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 
 class Trainer:
-    def __init__(self, shape: Shape, flat: np.ndarray, rate: float, steps: int = 16, lanes: int = 64, clip: float = 5.0):
+    def __init__(self, shape: Shape, flat: np.ndarray, rate: float, steps: int = 16, lanes: int = 192, clip: float = 5.0):
         self.shape, self.flat, self.rate, self.steps, self.lanes, self.clip = shape, flat.copy(), rate, steps, lanes, clip
         self.w, self.grad = shape.views(self.flat), np.zeros_like(flat)
         self.g = shape.views(self.grad)
         self.first, self.second, self.turn, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
 
     def learn(self, symbols: np.ndarray, counts: np.ndarray) -> None:
-        """One pass over documents, a step of Adam a window."""
-        dealt = Lanes(symbols, counts, self.lanes)
+        """One pass over documents, a step of Adam a window.
+
+        A long document is dealt out in parts of ``PART`` symbols, each read from a state of zero after the
+        symbol before it, so that lanes are of about equal length and windows stay full.
+        """
+        parts = -(-counts // PART)
+        lengths = np.full(int(parts.sum()), PART)
+        last = np.cumsum(parts) - 1
+        lengths[last] = counts - (parts - 1) * PART
+        begins = np.zeros(len(lengths), bool)
+        begins[(last - parts + 1)[parts > 0]] = True
+        dealt = Lanes(symbols, lengths, self.lanes, begins)
         state = np.zeros((len(dealt.length), self.shape.hidden), np.float32)
         for at, valid in dealt.windows(self.steps):
             state = self._window(dealt.input[at], dealt.fresh[at], dealt.target[at], valid, state[:at.shape[1]])
@@ -183,7 +213,7 @@ class Trainer:
         into = np.zeros((valid.size, shape.hidden), np.float32)
         into[flat] = back
         into = into.reshape(states.shape)
-        before, z, r, fed, new = (np.stack(x) for x in zip(*record, strict=True))
+        before, z, r, fed, new = record
         for_z, for_new, for_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), fed * r * (1 - r)
         flow, d_turn, h = np.empty((*valid.shape, 3 * shape.hidden), np.float32), np.zeros_like(state), shape.hidden
         inner, turned = np.empty_like(flow), w["turn"].T
