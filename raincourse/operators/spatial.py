@@ -89,3 +89,36 @@ def box_join(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "
             .filter(F.col(lat).between(F.col("lat_min"), F.col("lat_max"))
                     & F.col(lon).between(F.col("lon_min"), F.col("lon_max")))
             .drop("_ti", "_tj"))
+
+
+LEVELS = 20
+
+
+def _cell(lat: Column, lon: Column, level: Column | int) -> Column:
+    """Key of the quadtree cell of a point: cells of level 0 are 360 degrees wide, each level halves them."""
+    level = F.lit(level) if isinstance(level, int) else level
+    width = 360.0 / F.pow(F.lit(2.0), level)
+    return F.xxhash64(level.cast("int"), F.floor((lon + 180.0) / width), F.floor((lat + 90.0) / width))
+
+
+def footprint_cells(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Keys of the at most four cells that cover a box, of the deepest level whose cells are no smaller than the box."""
+    wide = F.greatest(east - west, north - south, F.lit(360.0 / 2 ** LEVELS))
+    level = F.greatest(F.least(F.floor(F.log2(360.0 / wide)), F.lit(LEVELS)), F.lit(0))
+    return F.array_distinct(F.array(*[_cell(lat, lon, level) for lat in (south, north) for lon in (west, east)]))
+
+
+def ancestor_cells(lat: Column, lon: Column) -> Column:
+    """Keys of the cells of all levels that hold a point."""
+    return F.array(*[_cell(lat, lon, level) for level in range(LEVELS + 1)])
+
+
+def boxes_at_points(boxes: DataFrame, points: DataFrame, box: tuple[str, str, str, str] = ("west", "south", "east", "north")) -> DataFrame:
+    """Rows of ``boxes`` with each row of ``points`` (lat, lon) that they hold, by an equi-join on quadtree cells.
+
+    A box of any size has at most four cells, a point one of each level. Boxes do not cross 180 degrees.
+    """
+    west, south, east, north = map(F.col, box)
+    left = boxes.withColumn("_cell", F.explode(footprint_cells(west, south, east, north)))
+    right = points.withColumn("_cell", F.explode(ancestor_cells(F.col("lat"), F.col("lon"))))
+    return left.join(right, "_cell").where(F.col("lon").between(west, east) & F.col("lat").between(south, north)).drop("_cell")

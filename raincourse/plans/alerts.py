@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raincourse.functions import flood
 from raincourse.operators import quality as Q
 from raincourse.operators.rollup import latest_per_key, rank_of
-from raincourse.operators.spatial import nearest_index
+from raincourse.operators.spatial import boxes_at_points, nearest_index
 from raincourse.plans.climate import forecast_rows
-from raincourse.plans.water import reflect
+from raincourse.plans.water import quality, reflect
 from raincourse.registry import query
 from raincourse.views import SQL_VIEWS, Views
 
@@ -184,26 +185,55 @@ def f20(v):
     return forecast_rows(v.hourly.filter(c("ts") < F.lit("2024-01-04").cast("timestamp")).join(near, "station_id"), ["lat_idx", "lon_idx"])
 
 
-@query("f21_station_view", """SELECT d.river_id, strftime(max(d.day), '%Y-%m-%d') AS day, round(arg_max(discharge_cms, d.day), 6) AS latest_cms, count(*) FILTER (WHERE d.day > m.last - 90) AS history, round(max(discharge_cms) FILTER (WHERE d.day > m.last - 90), 6) AS peak_cms, CAST(any_value(t.threshold_cms) AS DOUBLE) AS threshold_cms, arg_max(discharge_cms, d.day) > any_value(t.threshold_cms) AS alert
-    FROM daily_flow d JOIN (SELECT river_id, max(day) AS last FROM daily_flow GROUP BY 1) m USING (river_id) JOIN (SELECT watershed_id AS river_id, threshold_cms FROM watershed) t USING (river_id) GROUP BY 1""")
+@query("f21_station_view", """SELECT station_id, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(q, 6) AS latest_cms, history, round(peak, 6) AS peak_24h_cms, round(first_q, 6) AS first_cms, round(f6, 6) AS forecast_6h_cms, threshold AS threshold_cms, q > threshold OR f6 > threshold AS alert FROM (
+    SELECT *, q * 0.92 + rain6 * (1.0 + greatest((soil_moisture - 0.25) / 0.15, 0.0)) * threshold / 180.0 AS f6 FROM (
+      SELECT h.station_id, max(h.ts) AS ts, arg_max(5 + h.precip_mm, h.ts) AS q, count(*) AS history, max(5 + h.precip_mm) AS peak, arg_min(5 + h.precip_mm, h.ts) AS first_q, sum(h.precip_mm) FILTER (WHERE h.ts > m.last - INTERVAL 6 HOUR) AS rain6, any_value(s.soil_moisture) AS soil_moisture, any_value(s.area_km2)::DOUBLE AS threshold
+      FROM hourly h JOIN (SELECT station_id, max(ts) AS last FROM hourly GROUP BY 1) m ON h.station_id = m.station_id AND h.ts > m.last - INTERVAL 24 HOUR JOIN station s ON s.station_id = h.station_id GROUP BY 1))""")
 def f21(v):
-    d = v.daily_flow
-    last = d.groupBy("river_id").agg(F.max("day").alias("last"))
-    recent = c("day") > F.date_sub("last", 90)
-    x = d.join(last, "river_id").groupBy("river_id").agg(
-        F.max("day").alias("d"), F.max_by("discharge_cms", "day").alias("q"), F.array_sort(F.collect_list(F.when(recent, F.struct("day", "discharge_cms")))).alias("h"))
-    t = v.watershed.select(c("watershed_id").alias("river_id"), "threshold_cms")
-    return x.join(t, "river_id").select("river_id", F.date_format("d", "yyyy-MM-dd").alias("day"), F.round("q", 6).alias("latest_cms"), F.size("h").cast("long").alias("history"),
-                                        F.round(F.array_max(F.transform("h", lambda e: e.discharge_cms)), 6).alias("peak_cms"), "threshold_cms", (c("q") > c("threshold_cms")).alias("alert"))
-
-
-@query("f22_newest_scenes", """SELECT body_id, source, obs_id FROM reflect WHERE cloud_pct < 30 AND day >= (SELECT max(day) FROM reflect) - 400 QUALIFY row_number() OVER (PARTITION BY body_id, source ORDER BY day DESC, obs_id) <= 2""")
+    """Latest flow, the 24 hours up to it, a forecast for 6 hours ahead, the threshold, and whether flow or forecast exceed it.
+
+    Flow is made from hourly rain, 5 m3/s with every millimetre on top; the threshold is also the bankfull flow of the recession forecast.
+    """
+    h = v.hourly.select("station_id", "ts", "precip_mm", (5 + c("precip_mm")).alias("q"))
+    last = h.groupBy("station_id").agg(F.max("ts").alias("last"))
+    day = h.join(last, "station_id").where(c("ts") > c("last") - F.expr("INTERVAL 24 HOURS")).groupBy("station_id").agg(
+        F.max("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("ts", "q"))).alias("h"), F.sum(F.when(c("ts") > c("last") - F.expr("INTERVAL 6 HOURS"), c("precip_mm"))).alias("rain"))
+    x = day.join(v.station.select("station_id", "soil_moisture", c("area_km2").cast("double").alias("threshold_cms")), "station_id")
+    x = x.withColumn("latest", F.element_at("h", -1)["q"])
+    x = x.withColumn("f6", flood.recession_forecast(c("latest"), c("rain"), c("soil_moisture"), c("threshold_cms"))["q_6h"])
+    return x.select("station_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("latest", 6).alias("latest_cms"), F.size("h").cast("long").alias("history"),
+                    F.round(F.array_max(F.transform("h", lambda e: e.q)), 6).alias("peak_24h_cms"), F.round(c("h")[0]["q"], 6).alias("first_cms"), F.round("f6", 6).alias("forecast_6h_cms"),
+                    "threshold_cms", ((c("latest") > c("threshold_cms")) | (c("f6") > c("threshold_cms"))).alias("alert"))
+
+
+SCENE_DAYS, SCENE_CLOUD, SCENES = 1500, 60, 2
+SCENE_POINT = (-8.0, 106.0)
+MISSIONS = ("landsat", "modis")
+
+
+@query("f22_newest_scenes", f"""SELECT source AS mission, obs_id, strftime(day, '%Y-%m-%d') AS day, CAST(cloud_pct AS BIGINT) AS cloud_pct, round(turb, 6) AS turbidity, round(chl, 6) AS chlorophyll, round(wqi, 6) AS quality, category FROM (
+    SELECT *, -11 + ((body_id * 37) % 1700) / 100.0 AS lat0, 95 + ((body_id * 61) % 4600) / 100.0 AS lon0, 0.5 + (obs_id % 64) * 0.25 AS half FROM quality)
+    WHERE source IN ('landsat', 'modis') AND cloud_pct < {SCENE_CLOUD} AND day >= (SELECT max(day) FROM reflect) - {SCENE_DAYS} AND {SCENE_POINT[0]} BETWEEN lat0 - half AND lat0 + half AND {SCENE_POINT[1]} BETWEEN lon0 - half AND lon0 + half
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY day DESC, obs_id) <= {SCENES}""")
 def f22(v):
-    r = reflect(v)
-    newest = r.agg(F.max("day")).scalar()
-    w = Window.partitionBy("body_id", "source").orderBy(c("day").desc(), "obs_id")
-    return (r.filter((c("cloud_pct") < 30) & (c("day") >= F.date_sub(newest, 400))).withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-            .select("body_id", "source", "obs_id"))
+    """Newest scenes over a point, by mission, below a cloud limit and within some days, with their derived products."""
+    return newest_scenes(v, *SCENE_POINT, MISSIONS, SCENE_CLOUD, SCENE_DAYS, SCENES)
+
+
+def newest_scenes(v: Views, lat: float, lon: float, missions: tuple[str, ...], cloud: float, days: int, most: int) -> DataFrame:
+    """Of each mission the ``most`` newest scenes whose footprint holds the point; products as a map in the operator, as columns here."""
+    q, b, k = quality(v), c("body_id"), c("obs_id")
+    half = 0.5 + (k % 64) * 0.25
+    lat0, lon0 = -11 + (b * 37 % 1700) / 100.0, 95 + (b * 61 % 4600) / 100.0
+    newest = reflect(v).agg(F.max("day")).scalar()
+    scenes = q.where(c("source").isin(*missions) & (c("cloud_pct") < cloud) & (c("day") >= F.date_sub(newest, days))).select(
+        "source", "obs_id", "day", "cloud_pct", "category", (lon0 - half).alias("west"), (lat0 - half).alias("south"), (lon0 + half).alias("east"), (lat0 + half).alias("north"),
+        F.create_map(F.lit("turbidity"), c("turb"), F.lit("chlorophyll"), c("chl"), F.lit("quality"), c("wqi")).alias("products"))
+    point = v.spark.range(1).select(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    w = Window.partitionBy("source").orderBy(c("day").desc(), "obs_id")
+    found = boxes_at_points(scenes, point).withColumn("rn", F.row_number().over(w)).where(c("rn") <= most)
+    return found.select(c("source").alias("mission"), "obs_id", F.date_format("day", "yyyy-MM-dd").alias("day"), c("cloud_pct").cast("long").alias("cloud_pct"),
+                        *[F.round(c("products")[p], 6).alias(p) for p in ("turbidity", "chlorophyll", "quality")], "category")
 
 
 # --- quality ---------------------------------------------------------------

@@ -42,6 +42,17 @@ SQL_VIEWS["ks"] = """SELECT idx, ks, CASE WHEN z < 0.2 THEN 1.0 ELSE least(great
       FROM feature WINDOW w AS (PARTITION BY idx ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY idx)) GROUP BY 1))"""
 
 
+def tail_sql(rows: str, keys: str, value: str, extra: str = "") -> str:
+    """SQL that ends with ``SELECT keys, value`` where ``p`` is the incomplete beta of x, a, b in ``rows``."""
+    return f"""WITH RECURSIVE src AS ({rows}),
+    ends AS (SELECT *, x0 > (a0 + 1) / (a0 + b0 + 2) AS turn FROM src),
+    arg AS (SELECT *, CASE WHEN turn THEN 1 - x0 ELSE x0 END AS x, CASE WHEN turn THEN b0 ELSE a0 END AS a, CASE WHEN turn THEN a0 ELSE b0 END AS b FROM ends),
+    f AS (SELECT {keys}, 0 AS m, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS v, x, a, b, turn FROM arg
+      UNION ALL SELECT {keys}, m, c2, d2, v * c1 * d1 * c2 * d2, x, a, b, turn FROM (SELECT *, 1 / (1 + odd * d1) AS d2, 1 + odd / c1 AS c2 FROM (SELECT *, 1 / (1 + even * d) AS d1, 1 + even / c AS c1 FROM (
+        SELECT {keys}, m + 1 AS m, c, d, v, x, a, b, turn, (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)) AS even, -(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * m + 2) * (a + 2 * m + 3)) AS odd FROM f WHERE m < 200))))
+    SELECT {keys}, {value}{extra} FROM (SELECT {keys}, CASE WHEN turn THEN 1 - q ELSE q END AS p FROM (SELECT *, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a * v AS q FROM f WHERE m = 200))"""
+
+
 @query("a31_psi_quantile", "SELECT idx, round(psi, 6) AS psi FROM psi_q")
 def a31(v):
     return S.psi_quantile(v.feature, ["idx"], "x", ref()).select("idx", F.round("psi", 6).alias("psi"))
@@ -208,11 +219,11 @@ def a40(v):
                     ((c("n_a") >= 100) & (c("n_b") >= 100)).alias("enough"))
 
 
-@query("a40_welch_p_value")
+@query("a40_welch_p_value", tail_sql("""SELECT model_id, df / (df + t * t) AS x0, df / 2 AS a0, 0.5 AS b0 FROM (SELECT model_id, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM sq_arms)""", "model_id", "round(p, 6) AS p_value"))
 def a40p(v):
-    """Two-sided p of the Welch test; SQL has no t tail, so the value is tested against tables."""
+    """Two-sided p of the Welch test."""
     w = S.welch(S.arm_moments(v.err, ["model_id"], c("error") * c("error"), champ()))
-    return w.select("model_id", F.round(S.t_two_sided("t", "df"), 6).alias("p_value"))
+    return w.select("model_id", F.round(S.t_two_sided(c("t"), c("df")), 6).alias("p_value"))
 
 
 SQL_VIEWS["mwu"] = """SELECT model_id, u, (u - na * nb / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM (
@@ -610,7 +621,8 @@ def trend(v: Views) -> DataFrame:
     return L.linear_trend(x, ["watershed_id"], "v", "t")
 
 
-@query("a23_trend_significance")
+@query("a23_trend_significance", tail_sql("""SELECT watershed_id, (n - 2) / ((n - 2) + r / (1 - r) * (n - 2)) AS x0, (n - 2) / 2.0 AS a0, 0.5 AS b0 FROM (SELECT watershed_id, count(*) AS n, regr_r2(v, t) AS r FROM (
+    SELECT watershed_id, p_mm / 100 AS v, (row_number() OVER (PARTITION BY watershed_id ORDER BY month) - 1) / 12.0 AS t FROM monthly) GROUP BY 1 HAVING count(*) >= 4)""", "watershed_id", "round(p, 6) AS p_value", ", round(p, 6) < 0.05 AS significant"))
 def a23p(v):
-    """p of the F test and the 5 % verdict; SQL has no F tail, so the value is tested against tables."""
-    return trend(v).select("watershed_id", F.round(S.f_upper_tail("f", F.lit(1.0), (c("n") - 2).cast("double")), 6).alias("p_value")).withColumn("significant", c("p_value") < 0.05)
+    """p of the F test and the 5 % verdict."""
+    return trend(v).select("watershed_id", F.round(S.f_upper_tail(c("f"), F.lit(1.0), (c("n") - 2).cast("double")), 6).alias("p_value")).withColumn("significant", c("p_value") < 0.05)

@@ -211,8 +211,15 @@ def s18(v):
     return v.spark.read.parquet(path).agg(F.lit("daily").alias("dataset"), F.lit(n).cast("long").alias("records"), status.alias("status"))
 
 
-@query("s19_newest_file", "SELECT river_id, strftime(day, '%Y-%m-%d') AS day, round(discharge_cms, 6) AS discharge_cms FROM daily_flow QUALIFY row_number() OVER (PARTITION BY river_id ORDER BY daily_flow.day DESC) = 1")
+@query("s19_newest_file", """SELECT CAST(river_id AS INTEGER) AS river_id, max(year(day))::VARCHAR AS stamp, count(*) AS n, strftime(max(day), '%Y-%m-%d') AS last_day, round(sum(discharge_cms), 3) AS total_cms
+    FROM daily_flow WHERE year(day) = (SELECT max(year(d.day)) FROM daily_flow d WHERE d.river_id = daily_flow.river_id) GROUP BY river_id""")
 def s19(v):
-    """Rows carry the name of their file; the newest file of each entity is kept."""
-    d = v.daily_flow.withColumn("file", F.format_string("out/forecast_%d_%s.json", "river_id", F.date_format("day", "yyyyMMdd")))
-    return scans.newest_file(d, ["river_id"], c("file"), r"_(\d{8})\.json$").select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("discharge_cms", 6).alias("discharge_cms"))
+    """One JSON file per river and year is written; the newest of each river is found by its name and read back."""
+    path = new_path(v.spark, "forecasts")
+    d = v.daily_flow.select("river_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "discharge_cms")
+    d = d.withColumns({"river": c("river_id"), "stamp": F.substring("day", 1, 4)})
+    d.repartition("river", "stamp").write.partitionBy("river", "stamp").json(path)
+    files = scans.newest_files(v.spark, path, r"river=(\d+)/stamp=(\d{4})/[^/]*\.json$")
+    schema = T.StructType([T.StructField("river_id", T.IntegerType()), T.StructField("day", T.StringType()), T.StructField("discharge_cms", T.DoubleType())])
+    rows = scans.rows_of_files(v.spark, path, files, schema)
+    return rows.groupBy("river_id", "stamp").agg(F.count("*").alias("n"), F.max("day").alias("last_day"), F.round(F.sum("discharge_cms"), 3).alias("total_cms"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raincourse.session import sized
 from raincourse.sources.schemas import DEFAULTS, TABLES
 
 CORRUPT = "_corrupt_record"
@@ -130,11 +131,22 @@ def rain_quality(value: Column) -> Column:
     return F.when((value < 0) | (value > 200), 2).when(value > 100, 1).otherwise(0)
 
 
-def newest_file(rows: DataFrame, keys: list[str], path: Column, stamp: str) -> DataFrame:
-    """Rows of the newest file per key; the time is read from the file name by ``stamp``."""
-    t = rows.withColumn("_t", F.regexp_extract(path, stamp, 1))
-    newest = t.groupBy(*keys).agg(F.max("_t").alias("_t"))
-    return t.join(newest, [*keys, "_t"]).drop("_t")
+def newest_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(entity, stamp, path): of each entity the newest file below ``folder``, found by listing and without reading any.
+
+    ``pattern`` gives entity and stamp from a path in two groups; files that do not match are left
+    out. Equal stamps go by the time of change, then by name.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    found = listed.select("path", "modificationTime", F.regexp_extract("path", pattern, 1).alias("entity"), F.regexp_extract("path", pattern, 2).alias("stamp")).where("entity != ''")
+    best = F.max_by(F.struct("stamp", "path"), F.struct("stamp", "modificationTime", "path"))
+    return found.groupBy("entity").agg(best.alias("best")).select("entity", "best.stamp", "best.path")
+
+
+def rows_of_files(spark: SparkSession, folder: str, files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the JSON ``files`` (entity, stamp, path) below ``folder``, with entity and stamp."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(folder).select("*", F.col("_metadata.file_path").alias("path"))
+    return rows.join(sized(files, "files"), "path").drop("path")
 
 
 def log_lines(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from raincourse.operators import fusion
 from raincourse.operators import joins as J
+from raincourse.operators import spatial as S
 from raincourse.operators.spatial import box_join, radius_join
 
 
@@ -129,3 +130,14 @@ def test_radius_join_takes_its_bound_from_the_data(spark, low, high):
     right = spark.createDataFrame([(j, float(x), float(y)) for j, (x, y) in enumerate(b)], "j int, g_lat double, g_lon double")
     got = sorted((r.i, r.j) for r in radius_join(left, right, 400.0).collect())
     assert got == sorted(zip(*map(lambda x: x.tolist(), np.where(haversine(a, b) <= 400.0))))
+
+
+def test_boxes_at_points_of_all_sizes(spark):
+    rng = np.random.default_rng(8)
+    boxes = [(k, float(x), float(y), float(min(x + w, 180)), float(min(y + h, 90))) for k, (x, y, w, h) in enumerate(zip(
+        rng.uniform(-180, 179, 300), rng.uniform(-90, 89, 300), 10 ** rng.uniform(-4, 2.3, 300), 10 ** rng.uniform(-4, 2, 300)))]
+    boxes += [(300, -180.0, -90.0, 180.0, 90.0), (301, 10.0, 10.0, 10.0, 10.0)]
+    points = [(k, float(y), float(x)) for k, (y, x) in enumerate(zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)))] + [(60, 10.0, 10.0), (61, boxes[5][2], boxes[5][1])]
+    found = S.boxes_at_points(spark.createDataFrame(boxes, "b int, west double, south double, east double, north double"), spark.createDataFrame(points, "p int, lat double, lon double"))
+    want = sorted((b, p) for b, w, s, e, n in boxes for p, lat, lon in points if w <= lon <= e and s <= lat <= n)
+    assert sorted((r.b, r.p) for r in found.collect()) == want and len(want) > 100

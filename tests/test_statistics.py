@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raincourse.operators import learning as L
+from raincourse.operators import ranking as K
 from raincourse.operators import statistics as S
 
 
@@ -33,9 +34,9 @@ def test_js_is_symmetric_and_bounded(spark):
 def test_tails_against_published_tables(spark):
     # t: 2.228 (df 10), 2.042 (df 30); F(1, 10) = 4.965, F(1, 20) = 4.351; z = 1.645, 1.96
     t = spark.createDataFrame([(2.228, 10.0), (2.042, 30.0)], "t double, df double")
-    assert [r.p for r in t.select(S.t_two_sided("t", "df").alias("p")).collect()] == pytest.approx([0.05, 0.05], abs=2e-4)
+    assert [r.p for r in t.select(S.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()] == pytest.approx([0.05, 0.05], abs=2e-4)
     f = spark.createDataFrame([(4.965, 10.0), (4.351, 20.0)], "f double, d double")
-    assert [r.p for r in f.select(S.f_upper_tail("f", F.lit(1.0), "d").alias("p")).collect()] == pytest.approx([0.05, 0.05], abs=2e-4)
+    assert [r.p for r in f.select(S.f_upper_tail(F.col("f"), F.lit(1.0), F.col("d")).alias("p")).collect()] == pytest.approx([0.05, 0.05], abs=2e-4)
     z = spark.createDataFrame([(1.6448536,), (-1.9599640,), (0.0,), (5.0,)], "z double")
     want = [0.05, 0.975, 0.5, 2.866516e-7]
     assert [r.p for r in z.select(S.normal_upper_tail(F.col("z")).alias("p")).collect()] == pytest.approx(want, abs=1e-7)
@@ -80,3 +81,38 @@ def test_interval_scale(spark):
     df = spark.createDataFrame([(1, float(i), 0.0, 4.0) for i in range(10)] + [(2, 1.0, 0.0, 4.0)] * 10, "k int, y_true double, q_lo double, q_hi double")
     assert {r.k: r.scale for r in L.interval_scale(df, ["k"]).collect()} == pytest.approx({1: 1.8, 2: 0.9})
     assert {r.k: r.scale for r in L.interval_scale(df, ["k"], "platt").collect()} == pytest.approx({1: 1.8, 2: 0.9})
+
+
+def test_quantiles_of_large_and_small_keys(spark):
+    """A key of 120,000 rows with a value that holds a third of them, keys of a few rows, nulls."""
+    rng = np.random.default_rng(4)
+    big = np.concatenate([rng.normal(0, 1, 80_000), np.full(40_000, 0.25)])
+    small = [[3.0], [1.0, 5.0], [2.0, 2.0, 9.0, 4.0]]
+    data = [(0, float(x)) for x in big] + [(k + 1, x) for k, part in enumerate(small) for x in part] + [(0, None), (9, None)]
+    frame = spark.createDataFrame(data, "k int, x double").repartition(8)
+    probs = {"p0": 0.0, "p01": 0.001, "p10": 0.1, "p50": 0.5, "p60": 0.6, "p999": 0.999, "p1": 1.0}
+    found = {r.k: tuple(r)[1:] for r in K.quantiles(frame, ["k"], "x", probs).collect()}
+    want = {k: tuple(np.quantile(part, list(probs.values()))) for k, part in enumerate([big, *small])}
+    assert set(found) == set(want)
+    assert all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    whole = K.quantiles(frame, [], "x", {"m": 0.5}).first().m
+    assert whole == pytest.approx(np.quantile([x for _, x in data if x is not None], 0.5))
+    assert K.quantiles(frame.where("false"), ["k"], "x", probs).count() == 0
+
+
+def test_only_few_values_are_shuffled_for_quantiles(spark):
+    frame = spark.range(400_000).select((F.col("id") % 2).alias("k"), F.rand(3).alias("x"))
+    found = K.quantiles(frame, ["k"], "x", {"a": 0.1, "b": 0.9})
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") >= 1 and "rangepartitioning" not in plan
+
+
+def test_beta_tail_on_both_sides(spark):
+    # closed forms: I_x(1, b) = 1 - (1 - x)^b, I_x(a, 1) = x^a, I_x(2, 2) = 3x^2 - 2x^3
+    data = [(x, a, b) for x in (0.01, 0.3, 0.5, 0.9, 0.999) for a, b in ((1.0, 3.5), (4.5, 1.0), (2.0, 2.0), (1.0, 400.0))]
+    got = [r.p for r in spark.createDataFrame(data, "x double, a double, b double").select(S.beta_tail(F.col("x"), F.col("a"), F.col("b")).alias("p")).collect()]
+    want = [1 - (1 - x) ** b if a == 1 else x ** a if b == 1 else 3 * x ** 2 - 2 * x ** 3 for x, a, b in data]
+    assert got == pytest.approx(want, abs=1e-9)
+    g = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.5, 60.0)], "x double").select(S.log_gamma(F.col("x")).alias("g")).collect()
+    assert [r.g for r in g] == pytest.approx([math.lgamma(x) for x in (0.5, 1.0, 2.5, 60.0)], abs=1e-12)
