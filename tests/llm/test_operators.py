@@ -102,10 +102,44 @@ def test_base_spans_are_those_of_the_rules(spark):
         assert set(want) <= set(found[k]["spans"].split(",")) | {""}
 
 
+def added_spans(spark, texts, **more):
+    """Texts of the spans that no base rule has, by document."""
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more).collect()
+    out = {r["doc_id"]: sorted((pii.KINDS[x["k"]], texts[r["doc_id"]][x["s"]:x["e"]]) for x in r["spans"] if not x["base"]) for r in found}
+    assert all(x["v"] == texts[r["doc_id"]][x["s"]:x["e"]] for r in found for x in r["spans"])
+    return {k: v for k, v in out.items() if v}
+
+
 def test_contexts_find_what_no_rule_knows(spark):
     texts = [f"please reach me: user{k}@mail{k}.example.org today" for k in range(20)] + ["please reach me: hidden@localhost today", "nothing at night@home here"]
-    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
-    assert found[20] == "email:17:33" and found[21] == ""
+    assert added_spans(spark, texts) == {20: [("email", "hidden@localhost")]}
+
+
+def test_what_is_found_supports_new_contexts(spark):
+    """Seeds give a context, it gives instances, they give another context, that gives a new value, and so on."""
+    seeds = [f"no{k} reach me: user{k}@mail{k}.example.org x{k}y" for k in range(20)]
+    first = [f"a{k} reach me: known{k}@local b{k}" for k in range(8)]
+    second = [f"c{k} write now to known{k}@local d{k}q" for k in range(8)] + ["e write now to new@local f"]
+    third = [f"g{k}z copy for: {v} h{k}" for k, v in enumerate(["new@local", "known0@local", "known1@local", "known2@local", "known3@local", "last@local"])]
+    texts = [*seeds, *first, *second, *third]
+    want = {k: [("email", text.split(" " + mark + " ")[1].split()[0])] for k, text in enumerate(texts) for mark in ("reach me:", "write now to", "copy for:")
+            if mark in text and "@mail" not in text}
+    assert added_spans(spark, texts) == want and len(want) == 8 + 9 + 6
+    assert set(added_spans(spark, texts, rounds=1)) == set(range(20, 28))
+
+
+def test_words_before_anything_are_no_pattern(spark):
+    """The same word before every kind of thing points to none of them."""
+    values = [lambda k: f"user{k}@mail.example.org", lambda k: f"10.0.{k}.7", lambda k: f"+1 (555) 555-10{k:02d}", lambda k: f"room{k}"]
+    texts = [f"w{k}p the {values[k % 4](k)} q{k}q" for k in range(80)] + ["x the hidden@localhost y", "z the 555-1234-99 u"]
+    assert added_spans(spark, texts) == {}
+
+
+def test_candidates_beside_base_spans_and_punctuation(spark):
+    texts = [f"n{k} mail is user{k}@mail{k}.example.org, m{k}" for k in range(10)]
+    texts += ["mail is bob@localhost 4111 1111 1111 1111 end", "mail is eve@localhost. end", "mail is " + "a" * 90 + "@localhost, end", "mail is amy@localhost 2024 end"]
+    got = added_spans(spark, texts)
+    assert {k: [v for kind, v in got[k] if kind == "email"] for k in range(10, 14)} == {10: ["bob@localhost"], 11: ["eve@localhost"], 12: ["a" * 90 + "@localhost"], 13: ["amy@localhost"]}
 
 
 def test_pii_of_awkward_rows(docs, none):
