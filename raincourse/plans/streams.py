@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raincourse.operators import fusion
 from raincourse.operators import learning as L
 from raincourse.operators import statistics as S
 from raincourse.operators.ordered import last_known
-from raincourse.registry import query
+from raincourse.plans.spatial import gauge_day
+from raincourse.plans.water import reservoir_inflow
+from raincourse.registry import ORACLES, query
 from raincourse.session import new_path
 from raincourse.sources.sinks import merged_rows
 from raincourse.streaming import pipelines as P
@@ -124,6 +127,40 @@ def t07s(v):
     return late_counts(*P.split_stream(rows, "ts", 35 * 60, new_path(v.spark, "late"), "arrived"))
 
 
+def as_stream(v: Views, rows: DataFrame, name: str) -> DataFrame:
+    """A derived table written as files and read as a stream, some files a micro-batch."""
+    path = new_path(v.spark, name)
+    rows.repartition(6).write.parquet(path)
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path)
+
+
+DECADE = "4000 days"  # the daily tables span years, and their files come in any order
+
+
+@query("t05_storage_stream")
+def t05s(v):
+    """Storage carried from day to day on a stream of river flows; reservoirs are a table beside it."""
+    flows = as_stream(v, v.daily_flow.select("river_id", c("day").cast("timestamp").alias("ts"), "discharge_cms"), "flows")
+    r = flows.join(v.reservoir.select("river_id", c("reservoir_id").cast("long").alias("reservoir_id"), "capacity_m3", "dead_m3"), "river_id")
+    job = lambda x: P.storage_stream(x, "reservoir_id", "ts", reservoir_inflow(c("discharge_cms")), 240.0, c("capacity_m3"), c("dead_m3"), 24.0, 0.65)
+    t = P.run_to_end(r, "ts", job, "storage", DECADE)
+    return t.groupBy("reservoir_id").agg(F.count("*").alias("steps"), F.round(F.max_by("storage", "us"), 0).alias("last_m3"), F.round(F.min("storage"), 0).alias("low_m3"), F.round(F.max("storage"), 0).alias("high_m3"))
+
+
+@query("t06_ratio_filter_stream")
+def t06s(v):
+    """The bias ratio of each station filtered on a stream of days."""
+    g = gauge_day(v).select(c("gauge_id").cast("long").alias("station_id"), c("day").cast("timestamp").alias("ts"), fusion.gauge_ratio(c("rain"), c("sat")).alias("ratio"))
+    job = lambda x: P.ratio_filter_stream(x, "station_id", "ts", c("ratio"), fusion.PROCESS_NOISE, fusion.OBSERVATION_NOISE)
+    t = P.run_to_end(as_stream(v, g, "ratios"), "ts", job, "ratio", DECADE)
+    last = F.max_by(F.struct("state", "variance"), "us").alias("last")
+    return t.groupBy("station_id").agg(F.count("*").alias("steps"), last).select("station_id", "steps", F.round("last.state", 8).alias("state"), F.round("last.variance", 8).alias("variance"))
+
+
+for streamed, batch in (("t05_storage_stream", "t05_storage_series"), ("t06_ratio_filter_stream", "t06_ratio_filter")):
+    ORACLES[streamed] = ORACLES[batch]
+
+
 @query("t09_monthly_history_trend", "SELECT watershed_id, count(*) AS months, round(regr_slope(v, t), 6) AS slope FROM (SELECT watershed_id, CASE WHEN month = (SELECT max(month) FROM monthly) THEN p_mm + 5 ELSE p_mm END AS v, (year(month) * 12 + month(month)) / 12.0 - 1990 AS t FROM monthly) GROUP BY 1")
 def t09(v):
     """A new month is merged into the history (same month replaced), then the trend is fitted anew."""

@@ -128,6 +128,8 @@ def _keyed(rows: DataFrame, key: str, ts: str, id_column: str, x: Column, step,
     shaped = rows.select(F.col(key).alias("key"), F.unix_micros(ts).alias("us"), F.col(ts).alias("at"), F.col(id_column).alias("id"), x.alias("x"))
     applied = shaped.groupBy("key").applyInPandasWithState(
         run, f"key long, id long, {out}", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    if id_column == key:  # one row a key and time: the key is the id
+        return applied.drop("id").withColumnRenamed("key", key)
     return applied.withColumnsRenamed({"key": key, "id": id_column})
 
 
@@ -161,6 +163,35 @@ def last_good_stream(readings: DataFrame, key: str, ts: str, id_column: str, val
     return _keyed(readings, key, ts, id_column, value, step, "value double, source string")
 
 
+def _timed(step, last, us, i, x):
+    """A step whose row also has its time."""
+    last, row = step(last, us, i, x)
+    return last, (int(us), *row)
+
+
+def storage_stream(rows: DataFrame, key: str, ts: str, inflow: Column, outflow: float, capacity: Column, dead: Column, hours: float, start_fraction: float) -> DataFrame:
+    """Storage of each key after each step, clamped between dead and full storage; the storage is the state."""
+    def step(last, _us, _id, x):
+        flow, full, least = x
+        new = max(min((full * start_fraction if last is None else last) + (flow - outflow) * hours * 3600.0, full + least), least)
+        return new, (new,)
+
+    return _keyed(rows, key, ts, key, F.array(inflow, capacity, dead), lambda last, us, i, x: _timed(step, last, us, i, x), "us long, storage double")
+
+
+def ratio_filter_stream(rows: DataFrame, key: str, ts: str, ratio: Column, process_noise: float, observation_noise: float, start: float = 1.0) -> DataFrame:
+    """Scalar Kalman filter of a ratio after each step; state and variance are kept. A ratio of 1 is no observation."""
+    def step(last, _us, _id, r):
+        x, p = last or (start, 1.0)
+        p += process_noise
+        if abs(r - 1.0) > 1e-8 + 1e-5:
+            gain = p / (p + observation_noise)
+            x, p = x + gain * (r - x), (1 - gain) * p
+        return (x, p), (x, p)
+
+    return _keyed(rows, key, ts, key, ratio, lambda last, us, i, x: _timed(step, last, us, i, x), "us long, state double, variance double")
+
+
 def split_stream(rows: DataFrame, event_ts: str, limit_s: int, path: str, arrival_ts: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """All of the stream ``rows`` into two tables under ``path``: rows in time, and late ones.
 
