@@ -12,6 +12,7 @@ from raincourse.operators.ranking import quantiles
 from raincourse.operators.rollup import clip, latest_per_key
 from raincourse.operators.spatial import ceiling_index, haversine_km, nearest_index, radius_join
 from raincourse.registry import query
+from raincourse.session import sized
 from raincourse.views import SQL_VIEWS, Views
 
 c = F.col
@@ -77,14 +78,14 @@ SQL_VIEWS["near_pair"] = f"SELECT k.cell_id, k.value, s.station_id, {sql_distanc
 
 @query("j06_radius_join", "SELECT cell_id, station_id, round(d, 5) AS distance_km FROM near_pair")
 def j06(v):
-    return radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0).select("cell_id", c("gauge_id").alias("station_id"), F.round("distance_km", 5).alias("distance_km"))
+    return radius_join(v.cell.select("cell_id", "lat", "lon"), sized(gauges(v), "gauges"), 150.0).select("cell_id", c("gauge_id").alias("station_id"), F.round("distance_km", 5).alias("distance_km"))
 
 
 @query("a20_inverse_distance_mean", "SELECT cell_id, count(*) AS n, round(sum(w * rain) / sum(w), 6) AS idw_mm FROM near_pair JOIN (SELECT station_id, sum(precip_mm) AS rain FROM obs GROUP BY 1) USING (station_id) GROUP BY 1")
 def a20(v):
     """Weighted mean of gauge totals around each cell, after the radius join."""
     total = v.obs.groupBy(c("station_id").alias("gauge_id")).agg(F.sum("precip_mm").alias("rain"))
-    p = radius_join(v.cell.select("cell_id", "lat", "lon"), gauges(v), 150.0).join(total, "gauge_id")
+    p = radius_join(v.cell.select("cell_id", "lat", "lon"), sized(gauges(v), "gauges"), 150.0).join(total, "gauge_id")
     w = F.pow(F.pow(c("lat") - c("g_lat"), 2) + F.pow(c("lon") - c("g_lon"), 2) + 1e-12, -2)
     return p.groupBy("cell_id").agg(F.count("*").alias("n"), F.round(F.sum(w * c("rain")) / F.sum(w), 6).alias("idw_mm"))
 
