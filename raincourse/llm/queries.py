@@ -148,7 +148,7 @@ def op10_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
     hit = F.md5(F.col("page_id").cast("string").cast("binary")).startswith("0")
     n = F.octet_length("record")
     broken = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit("~").cast("binary"), F.expr("substring(record, octet_length(record) - 3, 4)"))
-    return warc.audit_replicas(good, good.withColumn("record", F.when(hit & (n > 5), broken).otherwise(F.col("record"))))
+    return warc.audit_replicas(good, good.withColumn("record", F.when(hit & (n > 5), broken).otherwise(F.col("record")))).drop("kind")
 
 
 OP11_SQL = r"""

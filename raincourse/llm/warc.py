@@ -35,7 +35,7 @@ def response_records(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def place(records: DataFrame, files: int) -> DataFrame:
-    """Leaves (file, at, page_id, start, length, hash) of records dealt to ``files`` by a hash of page_id.
+    """Leaves (file, at, page_id, start, length, body, hash) of records dealt to ``files`` by a hash of page_id.
 
     Only lengths and hashes are sorted, per file. Records with equal ids follow each other by hash.
     """
@@ -43,7 +43,7 @@ def place(records: DataFrame, files: int) -> DataFrame:
     leaves = records.select((mark % files).alias("file"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("body"))
     order = Window.partitionBy("file").orderBy(F.col("page_id").isNull(), "page_id", "body")
     leaves = leaves.select("file", (F.row_number().over(order) - 1).cast("long").alias("at"), "page_id", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("start"), "length", "body")
-    return leaves.select("file", "at", "page_id", "start", "length", F.sha2(F.concat_ws(":", "start", "length", "body"), 256).alias("hash"))
+    return leaves.select("file", "at", "page_id", "start", "length", "body", F.sha2(F.concat_ws(":", "start", "length", "body"), 256).alias("hash"))
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -61,9 +61,13 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """Leaves that differ: file, at, page_id, start, length, expected, found; null where a replica lacks the record.
+    """Records that differ: kind, file, at, page_id, start, length, expected, found.
 
-    Roots are compared first; below them only children of differing nodes are read on. Trees of
+    Roots are compared first; below them only children of differing nodes are read on. A record that is missing or
+    of another length moves all later ones of its file, so their leaves differ as well: suspect leaves are
+    matched by id and content first, and what only moved is not reported. The rest is matched
+    by id: kind is ``changed``, or ``missing`` (found is null) or ``added`` (expected is null) where
+    only one replica has the record; places are those of the first replica if it has it. Trees of
     different height are compared from the lower top. Equal replicas give an empty result.
     """
     if len(first) != len(second):
@@ -72,17 +76,30 @@ def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT)
     suspects = None
     for level in range(len(first) - 1, -1, -1):
         a, b = ((side[level] if suspects is None else side[level].withColumn("up", F.floor(F.col("at") / fanout)).join(suspects, ["file", "up"], "left_semi")) for side in (first, second))
-        leaf = level == 0
-        names = ["file", "at", "hash"] + (["page_id", "start", "length"] if leaf else [])
-        a, b = (side.select(names[0], names[1], F.struct(*names[2:]).alias(tag)) for side, tag in ((a, "x"), (b, "y")))
-        differ = a.join(b, ["file", "at"], "full").where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
-        if leaf:
-            return differ.select("file", "at", F.coalesce("x.page_id", "y.page_id").alias("page_id"), F.coalesce("x.start", "y.start").alias("start"),
-                                 F.coalesce("x.length", "y.length").alias("length"), F.col("x.hash").alias("expected"), F.col("y.hash").alias("found"))
-        suspects = sized(differ.select("file", F.col("at").alias("up")), "suspects")
+        if level == 0:
+            return unmatched(a, b)
+        a, b = (side.select("file", "at", F.col("hash").alias(tag)) for side, tag in ((a, "x"), (b, "y")))
+        suspects = sized(a.join(b, ["file", "at"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("file", F.col("at").alias("up")), "suspects")
     raise ValueError("a tree has at least its leaves")
 
 
+def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Leaves of ``a`` and ``b`` without a partner of equal id and content in the other, paired by id where both have one."""
+    def numbered(side: DataFrame, name: str, *keys: str) -> DataFrame:
+        return side.withColumn(name, F.row_number().over(Window.partitionBy("file", "page_id", *keys).orderBy("at")))
+
+    def paired(*keys: str):
+        return [F.col("x.file") == F.col("y.file"), F.col("x.page_id").eqNullSafe(F.col("y.page_id")), *[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]]
+
+    a, b = (sized(numbered(side.select("file", "at", "page_id", "start", "length", "body", "hash"), "copy", "body"), "suspect-leaves") for side in (a, b))
+    only_a = a.alias("x").join(b.alias("y"), paired("body", "copy"), "left_anti")
+    only_b = b.alias("x").join(a.alias("y"), paired("body", "copy"), "left_anti")
+    both = numbered(only_a, "turn").alias("x").join(numbered(only_b, "turn").alias("y"), paired("turn"), "full")
+    kind = F.when(F.col("y.hash").isNull(), "missing").when(F.col("x.hash").isNull(), "added").otherwise("changed")
+    return both.select(kind.alias("kind"), *[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("file", "at", "page_id", "start", "length")],
+                       F.col("x.hash").alias("expected"), F.col("y.hash").alias("found"))
+
+
 def audit_replicas(first: DataFrame, second: DataFrame, per_file: int = RECORDS) -> DataFrame:
     """Differing records of two replicas given as (page_id, record), files of about ``per_file`` records."""
     files = max(1, -(-first.count() // per_file))
