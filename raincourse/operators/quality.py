@@ -33,11 +33,31 @@ def resolve(alerts: DataFrame, resolutions: DataFrame, key: str) -> DataFrame:
             .withColumn("is_active", F.col("is_active") & F.col("_done").isNull()).drop("_done"))
 
 
-def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
-    """One page with the total count; the total is a scalar subquery, not a window over all rows."""
-    total = df.agg(F.count("*")).scalar()
-    return (df.orderBy(*order).offset((number - 1) * size).limit(size)
-            .withColumns({"total": total, "has_next": F.lit(number * size) < total}))
+def page_index(df: DataFrame, order: list[str], path: str, ranges: int | None = None) -> DataFrame:
+    """``df`` written for ``page``: ranges of ``order``, one folder each, with every row's place in its range.
+
+    Without ``ranges`` the planner sizes them.
+    """
+    ranged = df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    # The lower 33 bits of this id count the rows of a partition from 0.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = ranged.select("*", place.alias("_place"), F.spark_partition_id().alias("_range"))
+    rows.write.partitionBy("_range").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def page(index: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of a page index, in order, with total and has_next.
+
+    The counts of the ranges, one row each, say which ranges hold the page; only those are read, however deep the page.
+    """
+    ranges = sorted(tuple(r) for r in index.groupBy("_range").count().collect())
+    low, high, before, wanted = (number - 1) * size, number * size, 0, F.lit(False)
+    for name, count in ranges:
+        if before < high and before + count > low:
+            wanted = wanted | ((F.col("_range") == name) & F.col("_place").between(low - before, high - before - 1))
+        before += count
+    return index.where(wanted).orderBy(*order).drop("_range", "_place").withColumns({"total": F.lit(before).cast("long"), "has_next": F.lit(high < before)})
 
 
 def without_patterns(df: DataFrame, patterns: tuple[str, ...]) -> DataFrame:

@@ -47,19 +47,19 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, weights: dict
 ACCURACY = 10_000  # of the sketch: it misses a rank by at most one part in so many of all rows
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``, by selection.
 
     A sketch brackets each wanted position between two values. One pass then counts rows: those
     outside all brackets only by the stretch they lie in, a few rows per task and key, those
     inside by their value. So one row in some thousands is shuffled and sorted, not the column. A key of at most
-    ``ACCURACY`` rows is one bracket. Should a position lie outside its bracket, the query fails and says so.
+    ``accuracy`` rows is one bracket. Should a position lie outside its bracket, the query fails and says so.
     """
     df = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    x, slack = F.col(value), 4 / ACCURACY
+    x, slack = F.col(value), 4 / accuracy
     cuts = [min(max(p + side * slack, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(ACCURACY)).alias("_e"), F.count(F.lit(1)).alias("_few"))
-    edges = edges.select(*keys, F.struct("_e", (F.col("_few") <= ACCURACY).alias("_few")).alias("_b"))
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(accuracy)).alias("_e"), F.count(F.lit(1)).alias("_few"))
+    edges = edges.select(*keys, F.struct("_e", (F.col("_few") <= accuracy).alias("_few")).alias("_b"))
     rows = df.join(sized(edges, "edges"), keys) if keys else df.withColumn("_b", edges.scalar())
     rows = rows.select(*keys, value, "_b.*")
     on_edge = F.array_contains("_e", x)

@@ -12,6 +12,7 @@ from raincourse.operators.spatial import boxes_at_points, nearest_index
 from raincourse.plans.climate import forecast_rows
 from raincourse.plans.water import quality, reflect
 from raincourse.registry import query
+from raincourse.session import new_path
 from raincourse.views import SQL_VIEWS, Views
 
 c = F.col
@@ -126,7 +127,9 @@ def f11(v):
 
 @query("f12_pagination", "SELECT station_id, (SELECT count(*) FROM station) AS total, 3 * 20 < (SELECT count(*) FROM station) AS has_next FROM station ORDER BY station_id LIMIT 20 OFFSET 40")
 def f12(v):
-    return Q.page(v.station.select("station_id"), ["station_id"], 3, 20)
+    """The third page of twenty, from an index written for paging."""
+    index = Q.page_index(v.station.select("station_id"), ["station_id"], new_path(v.spark, "pages"))
+    return Q.page(index, ["station_id"], 3, 20)
 
 
 @query("f13_active_cells", "SELECT cell_id FROM (SELECT cell_id, CASE WHEN p_size % 5 = 0 THEN false WHEN p_size % 5 = 1 THEN NULL ELSE true END AS active FROM cell) WHERE coalesce(active, true)")

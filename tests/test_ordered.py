@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from raincourse.operators.ordered import drop_halo, last_known, number_rows, rolling_rows, time_blocks
+from raincourse.operators.quality import page, page_index
 from raincourse.operators.ranking import cumulative_counts, quantiles
+from raincourse.session import new_path
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +60,7 @@ def test_time_blocks(rows):
 
 def test_quantiles_match_numpy(rows):
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
-    got = {r.k: r for r in quantiles(rows, ["k"], "x", probs, buckets=5).collect()}
+    got = {r.k: r for r in quantiles(rows, ["k"], "x", probs, accuracy=100).collect()}
     data = rows.toPandas()
     for k, g in data.groupby("k"):
         for n, p in probs.items():
@@ -74,3 +76,22 @@ def test_cumulative_counts_with_a_hot_value(spark):
     df = spark.createDataFrame([(1, 5.0)] * 400 + [(1, float(i)) for i in range(100)], "k int, x double")
     rows = {r.x: (r.n, r.n_before, r.n_total) for r in cumulative_counts(df, ["k"], "x", buckets=4).collect()}
     assert rows[5.0] == (401, 5, 500) and rows[99.0] == (1, 499, 500)
+
+
+def test_a_deep_page_reads_one_range(spark):
+    frame = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), F.lit("row").alias("y"))
+    index = page_index(frame.repartition(5), ["x"], new_path(spark, "pages"), 8)
+    want = sorted(r.x for r in frame.collect())
+    for number in (1, 7, 40, 50, 51):
+        found = page(index, ["x"], number, 100).collect()
+        assert [r.x for r in found] == want[(number - 1) * 100:number * 100]
+        assert all(r.total == 5000 and r.has_next == (number < 50) for r in found)
+    deep = page(index, ["x"], 40, 100)
+    deep.collect()
+    files = {r.f for r in deep.select(F.input_file_name().alias("f")).collect()}
+    assert len(files) <= 2 < index.select("_range").distinct().count()
+
+
+def test_no_pages(spark):
+    index = page_index(spark.createDataFrame([(1,)], "x int").where("false"), ["x"], new_path(spark, "pages"))
+    assert page(index, ["x"], 1, 10).collect() == []
