@@ -211,7 +211,7 @@ def s18(v):
     return v.spark.read.parquet(path).agg(F.lit("daily").alias("dataset"), F.lit(n).cast("long").alias("records"), status.alias("status"))
 
 
-@query("s19_newest_file", """SELECT CAST(river_id AS INTEGER) AS river_id, max(year(day))::VARCHAR AS stamp, count(*) AS n, strftime(max(day), '%Y-%m-%d') AS last_day, round(sum(discharge_cms), 3) AS total_cms
+@query("s19_newest_file", """SELECT CAST(river_id AS INTEGER) AS river_id, max(year(day))::VARCHAR AS stamp, count(*) AS n, strftime(max(day), '%Y-%m-%d') AS last_day, round(max(discharge_cms), 6) AS peak_cms
     FROM daily_flow WHERE year(day) = (SELECT max(year(d.day)) FROM daily_flow d WHERE d.river_id = daily_flow.river_id) GROUP BY river_id""")
 def s19(v):
     """One JSON file per river and year is written; the newest of each river is found by its name and read back."""
@@ -222,4 +222,4 @@ def s19(v):
     files = scans.newest_files(v.spark, path, r"river=(\d+)/stamp=(\d{4})/[^/]*\.json$")
     schema = T.StructType([T.StructField("river_id", T.IntegerType()), T.StructField("day", T.StringType()), T.StructField("discharge_cms", T.DoubleType())])
     rows = scans.rows_of_files(v.spark, path, files, schema)
-    return rows.groupBy("river_id", "stamp").agg(F.count("*").alias("n"), F.max("day").alias("last_day"), F.round(F.sum("discharge_cms"), 3).alias("total_cms"))
+    return rows.groupBy("river_id", "stamp").agg(F.count("*").alias("n"), F.max("day").alias("last_day"), F.round(F.max("discharge_cms"), 6).alias("peak_cms"))
