@@ -15,7 +15,7 @@ SOME = ["a02_flash_flood_rollup", "m17_streamflow_forecast", "w22_alert_state_ch
         "a31_psi_quantile", "a34_ks_two_sample", "a41_mann_whitney", "a44_promotion_decision", "g11_temperature_scaling", "a72_calibration_report", "t05_storage_series", "m27_water_quality_index",
         "a11_province_index", "f09_alert_subscriptions", "f12_pagination", "a55_quality_suite", "a65_service_measures", "w01_event_lags", "w10_climate_regime", "w12_forward_fill", "j06_radius_join",
         "j08_point_in_time_join", "j11_prefix_match", "g03_idw_bias_field", "t06_ratio_filter", "s01_json_documents", "s09_granule_catalogue", "s14_monthly_upsert", "s17_log_lines",
-        "t01_half_hour_stream", "t03_alert_suppression_batch", "t04_alert_lifecycle_stream", "g10_batch_scoring",
+        "t01_half_hour_stream", "t03_alert_suppression_batch", "t04_alert_lifecycle_stream", "g10_batch_scoring", "g07_rain_linear_folds", "g08_seasonal_forecast", "g09_rolling_origin",
         "s07_message_bus", "s19_newest_file", "f21_station_view", "f22_newest_scenes", "t02_last_good_stream", "t03_alert_suppression_stream", "t05_storage_stream", "t06_ratio_filter_stream",
         "t07_late_rows_stream", "a18_bias_quantiles", "a23_trend_significance", "a40_welch_p_value", "a43_latency_quantiles", "a64_prediction_quantiles"]
 NAMES = sorted(SQL) if os.environ.get("RAINCOURSE_ALL") else SOME
