@@ -228,7 +228,7 @@ def a62(v):
 def g01(v):
     """Needs a matrix inverse, which SQL has not; tested against a direct solution on a small network."""
     g = gauge_day(v).filter("qc < 2").withColumn("innovation", c("rain") - c("sat"))
-    f = fusion.optimal_interpolation(satellite(v), g, "day", 11.0)
+    f = fusion.optimal_interpolation(satellite(v), g, "day")
     return f.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "cell_id", F.round("analysis", 6).alias("analysis"))
 
 

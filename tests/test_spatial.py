@@ -52,7 +52,7 @@ def test_optimal_interpolation(spark, places):
     c, g = frames(spark, places)
     innovation = np.linspace(-6, 9, 80)
     g = g.withColumn("innovation", F.lit(-6.0) + F.col("gauge_id") * (15.0 / 79))
-    got = np.array([r.analysis for r in fusion.optimal_interpolation(c, g, "t", 11.0).orderBy("cell_id").collect()])
+    got = np.array([r.analysis for r in fusion.optimal_interpolation(c, g, "t").orderBy("cell_id").collect()])
     inv = np.linalg.inv(4.0 * np.exp(-0.5 * (haversine(places[1], places[1]) / 50) ** 2) + 2.25 * np.eye(80))
     d = haversine(*places)
     want = []
@@ -65,7 +65,7 @@ def test_optimal_interpolation(spark, places):
 
 def test_zero_innovation_returns_the_background(spark, places):
     c, g = frames(spark, places)
-    out = fusion.optimal_interpolation(c, g.withColumn("innovation", F.lit(0.0)), "t", 11.0)
+    out = fusion.optimal_interpolation(c, g.withColumn("innovation", F.lit(0.0)), "t")
     assert out.filter(F.abs(F.col("analysis") - F.col("background")) > 1e-12).count() == 0
 
 
@@ -141,3 +141,24 @@ def test_boxes_at_points_of_all_sizes(spark):
     found = S.boxes_at_points(spark.createDataFrame(boxes, "b int, west double, south double, east double, north double"), spark.createDataFrame(points, "p int, lat double, lon double"))
     want = sorted((b, p) for b, w, s, e, n in boxes for p, lat, lon in points if w <= lon <= e and s <= lat <= n)
     assert sorted((r.b, r.p) for r in found.collect()) == want and len(want) > 60
+
+
+def test_fusion_across_180_degrees_and_in_crowds(spark, places):
+    """Far north and over the date line the result is that of a direct solution; a crowd of gauges is cut into pieces."""
+    cells, gauges = (np.column_stack([p[:, 0] + 62, (p[:, 1] * 2 + 300) % 360 - 180]) for p in places)
+    c, g = frames(spark, (cells, gauges))
+    out = fusion.optimal_interpolation(c, g.withColumn("innovation", F.col("gauge_id") - 40.0), "t").orderBy("cell_id").collect()
+    inv = np.linalg.inv(4.0 * np.exp(-0.5 * (haversine(gauges, gauges) / 50) ** 2) + 2.25 * np.eye(80))
+    d = haversine(cells, gauges)
+    gain = 4.0 * np.exp(-0.5 * (d / 50) ** 2) * (d <= 150)
+    change = ((gain @ inv) * ((d <= 150) * (np.arange(80) - 40.0))).sum(axis=1)
+    bg = 5.0 + np.arange(300) % 7
+    assert [r.analysis for r in out] == pytest.approx(list(np.where((d <= 150).any(axis=1), np.maximum(bg + change, 0), bg)), abs=1e-9)
+    assert (d <= 150).any(axis=1).sum() > 20
+    frame = g.toPandas()
+    for most in (1, 10, 80):
+        seen = []
+        for rows, near in fusion._pieces(cells[:, 0], cells[:, 1], frame, 150.0, most):
+            seen += rows.tolist()
+            assert set(np.flatnonzero((d[rows] <= 150).any(axis=0))) <= set(near.tolist())
+        assert sorted(seen) == list(range(300))
