@@ -2,7 +2,8 @@
 
 New texts are reduced to one row per digest before they meet the index, so a text that fills a
 third of the input is one row there. The index side of the sort-merge join is read bucket by
-bucket and not shuffled; digests it lacks are appended.
+bucket and not shuffled; digests it lacks are appended under the name of their batch, so a batch
+whose run was lost can be taken in again.
 """
 
 from __future__ import annotations
@@ -28,24 +29,28 @@ def index_exists(spark: SparkSession, index: str) -> bool:
     return spark.catalog.tableExists(index)
 
 
-def ingest(digests: DataFrame, index: str, buckets: int = BUCKETS) -> DataFrame:
+def ingest(digests: DataFrame, index: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
     """Add a batch of (doc_id, digest) to table ``index``; one row per digest of the batch.
 
     Result: digest, keep_id (of the document that stays), group_size (rows of the batch), known
     (an earlier batch had it; then keep_id is the index's). Within a batch the largest doc_id
-    stays, any id before null. An empty batch adds nothing.
+    stays, any id before null. An empty batch adds nothing. ``batch`` names the batch: taken in
+    again, whether its first run ended before, within or after the append, it gives the same
+    answer, and the index is as after one run.
     """
     spark = digests.sparkSession
     groups = sized(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     if not index_exists(spark, index):
-        groups.select("digest", "keep_id").where("false").write.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index)
-    known = spark.table(index).select("digest", F.col("keep_id").alias("old_id"))
+        empty = groups.select("digest", "keep_id", F.lit(batch).alias("batch")).where("false")
+        empty.write.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index)
+    known = spark.table(index).where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old_id"))
+    mine = spark.table(index).where(F.col("batch") == batch).select("digest")
     new = groups.hint("merge").join(known, "digest", "left_anti")
     old = groups.hint("merge").join(known, "digest")
     result = sized(new.select("digest", "keep_id", "group_size", F.lit(False).alias("known"))
                    .union(old.select("digest", "old_id", "group_size", F.lit(True))), "ingested")
-    (result.where("NOT known").select("digest", "keep_id").repartition(buckets, "digest")
-     .write.mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
+    add = result.where("NOT known").hint("merge").join(mine, "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch"))
+    add.repartition(buckets, "digest").write.mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index)
     return result
 
 
@@ -62,7 +67,7 @@ def dedup(digests: DataFrame, index: str, batches: int = 2, buckets: int = BUCKE
     batch = F.coalesce(((F.col("doc_id") - low) / width).cast("int"), F.lit(0))
     groups = None
     for b in range(batches - 1, -1, -1):
-        part = ingest(digests.where(batch == b), index, buckets)
+        part = ingest(digests.where(batch == b), index, f"range {b} of {batches}", buckets)
         groups = part if groups is None else groups.union(part)
     groups = sized(groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "groups")
     return (digests.join(groups, "digest")

@@ -97,7 +97,9 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Equal texts of documents against a fresh index, newest ids first."""
     digests = exact_dedup.digests_of(table(spark, folder, "documents"))
     index = f"digest_index_{spark.range(1).select(F.uuid()).first()[0].replace('-', '')}"
-    return exact_dedup.dedup(digests, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    found = exact_dedup.dedup(digests, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    spark.sql(f"DROP TABLE IF EXISTS {index}")  # this index serves one answer, which is written elsewhere
+    return found
 
 
 @register()

@@ -4,9 +4,10 @@ Equal vectors of a label are one class first. Every tree splits at the median of
 projection, again and again; vectors within ``SPILL`` of a split go to both sides. The upper
 splits are fitted on a bounded sample; a leaf that still holds more than ``LEAF`` classes is split
 further on all its rows, and one that cannot be split is compared block by block. Vectors are
-compared inside leaves, exactly. A pair that shares several leaves counts in the least of their
-codes only, so links are counted without listing pairs; each leaf gives at most one edge per
-vector to its local root.
+compared inside leaves, exactly. A pair that shares several leaves counts in the one with the least
+name only, so links are counted without listing pairs; each leaf gives at most one edge per
+vector to its local root. A vector carries the names of its leaves, not those of their blocks, so a row is
+as wide in a dense cluster as elsewhere; a pair of one block counts where the block meets itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from raincourse.session import sized
 
 TREES = 8
 SPILL = 0.02
+SHARED = 0.5 ** 0.5  # two sides of a larger share each take more comparisons together than the leaf they come from
 SAMPLE = 16_384
 FEWEST = 24
 DEPTH = 12
@@ -45,7 +47,7 @@ def fit(sample: np.ndarray, trees: int = TREES) -> list[list[tuple]]:
             at = sample[rows] @ normal
             middle = float(np.median(at)) if len(rows) else 0.0
             left, right = rows[at < middle + SPILL], rows[at >= middle - SPILL]
-            if len(rows) <= FEWEST or depth == DEPTH or max(len(left), len(right)) > 0.9 * len(rows):
+            if len(rows) <= FEWEST or depth == DEPTH or max(len(left), len(right)) > SHARED * len(rows):
                 leaves += 1
                 return -leaves
             here = len(nodes)
@@ -99,7 +101,8 @@ def compare_leaf(table: pa.Table, threshold: float) -> pa.Table:
     """Links inside one leaf: for each class with links its count of linked vectors that count here, and its local root."""
     table = table.combine_chunks().sort_by("cid")
     cids, label = table["cid"].combine_chunks(), table["label"].to_numpy()
-    weight, code = table["n"].to_numpy(), table["code"][0].as_py()
+    weight, leaf = table["n"].to_numpy(), table["leaf"][0].as_py()
+    block, alone = table["block"].to_numpy(), table["alone"][0].as_py()
     x = unit(table["embedding"].combine_chunks())
     m, step, found = len(x), max(1, (1 << 22) // max(1, len(x))), []
     for low in range(0, m, step):
@@ -110,15 +113,15 @@ def compare_leaf(table: pa.Table, threshold: float) -> pa.Table:
     lists = table["codes"].combine_chunks()
     owner = np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))
     codes = lists.flatten().to_numpy()
-    owner, codes = owner[codes < code], codes[codes < code]
-    mine = np.ones(len(i), bool)
+    owner, codes = owner[codes < leaf], codes[codes < leaf]
+    mine = alone | (block[i] != block[j])
     if len(codes) and len(i):
         names, place = np.unique(codes, return_inverse=True)
         shared = np.zeros((m, len(names)), bool)
         shared[owner, place] = True
         for low in range(0, len(i), 1 << 16):
             part = slice(low, low + (1 << 16))
-            mine[part] = ~(shared[i[part]] & shared[j[part]]).any(axis=1)
+            mine[part] &= ~(shared[i[part]] & shared[j[part]]).any(axis=1)
     linked = np.bincount(i[mine], weight[j[mine]], m) + np.bincount(j[mine], weight[i[mine]], m)
     root = roots(m, i, j)
     some = np.flatnonzero(np.bincount(np.concatenate([i, j]), minlength=m))
@@ -147,17 +150,36 @@ def _leaves(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "embedding", "dims").mapInArrow(run, "cid string, code long")
 
 
-def _split_crowded(leaves: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
-    """Leaves of more than ``leaf`` classes split at exact row counts, level by level; the rest dealt to block pairs."""
+def _whole(leaves: DataFrame) -> DataFrame:
+    """Leaves that one task compares: the group ``code`` is the leaf."""
+    return leaves.select("cid", "code", F.col("code").alias("leaf"), F.lit(0).alias("block"), F.lit(True).alias("alone"))
+
+
+def _block_pairs(leaves: DataFrame, leaf: int) -> DataFrame:
+    """Leaves (cid, code, m classes) dealt to blocks by hash; the group ``code`` is a pair of blocks, ``alone`` a block with itself."""
+    blocks = F.ceil(2 * F.col("m") / leaf).cast("int")
+    rows = leaves.select("cid", "code", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("code", F.lit("block"), F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select("cid", pair.alias("code"), F.col("code").alias("leaf"), "block", (F.col("block") == F.col("other")).alias("alone"))
+
+
+def _split_crowded(leaves: DataFrame, classes: DataFrame, leaf: int, rounds: int = ROUNDS) -> DataFrame:
+    """Leaves of more than ``leaf`` classes split at exact row counts, level by level; the rest dealt to block pairs.
+
+    Rows (cid, code of the group that is compared, leaf, block, alone). A leaf goes to block pairs when a
+    split would leave nearly all of it on one side, or after ``rounds`` splits.
+    """
     kept = None
-    spark = leaves.sparkSession
-    for turn in range(ROUNDS):
+    for turn in range(rounds + 1):
         sizes = leaves.groupBy("code").agg(F.count(F.lit(1)).alias("m"))
         crowded = sized(sizes.where(F.col("m") > leaf), "crowded")
         if crowded.isEmpty():
             break
-        rest = leaves.join(crowded, "code", "left_anti").select("cid", "code")
+        rest = _whole(leaves.join(crowded, "code", "left_anti"))
         kept = sized(rest if kept is None else kept.union(rest), "leaves")
+        if turn == rounds:
+            return kept.union(_block_pairs(leaves.join(crowded, "code"), leaf))
         rows = leaves.join(crowded, "code").join(classes.select("cid", "embedding", "dims"), "cid")
 
         def project(batches, turn=turn):
@@ -177,17 +199,13 @@ def _split_crowded(leaves: DataFrame, classes: DataFrame, leaf: int) -> DataFram
         share = sized(rows.groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.count_if(left), F.count_if(right)).alias("most")), "shares")
         rows = rows.join(share, "code")
         halves = F.array_compact(F.array(F.when(left, F.lit(0)), F.when(right, F.lit(1))))
-        able = F.col("most") <= 0.9 * F.col("m")
-        blocks = F.ceil(2 * F.col("m") / leaf).cast("int")
-        mine = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.least(b, mine) * blocks + F.greatest(b, mine))
-        stuck = rows.where(~able).withColumn("part", F.explode(pairs)).select("cid", F.xxhash64("code", F.lit("block"), "part").alias("code"))
-        kept = sized(kept.union(stuck), "leaves")
+        able = F.col("most") <= SHARED * F.col("m")
+        kept = sized(kept.union(_block_pairs(rows.where(~able), leaf)), "leaves")
         leaves = sized(rows.where(able).withColumn("half", F.explode(halves)).select("cid", F.xxhash64("code", F.lit(turn), "half").alias("code")), "leaves")
-    return leaves if kept is None else kept.union(leaves)
+    return _whole(leaves) if kept is None else kept.union(_whole(leaves))
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, leaf: int = LEAF) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) to vec_id, n_links, component_id, kept; one row per row.
 
     Vectors of one label and length are linked when their cosine is at least ``threshold``. A row
@@ -205,12 +223,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, leaf: int = LEAF)
                .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
                .withColumn("dims", F.size("embedding")).withColumn("h", F.xxhash64("cid")))
     classes = sized(classes, "classes")
-    leaves = _split_crowded(sized(_leaves(classes), "leaves"), classes, leaf)
+    leaves = _split_crowded(sized(_leaves(classes), "leaves"), classes, leaf, rounds)
     leaves = sized(leaves.distinct(), "leaves")
-    codes = leaves.groupBy("cid").agg(F.collect_list("code").alias("codes"))
+    codes = leaves.groupBy("cid").agg(F.collect_set("leaf").alias("codes"))
     names = sized(classes.select("label").distinct().select("label", F.xxhash64("label").alias("name")), "names")
     placed = (leaves.join(codes, "cid").join(classes.join(names, "label").select("cid", "n", F.col("name").alias("label"), "embedding", "dims"), "cid")
-              .select("cid", "code", "codes", "n", "label", "embedding", "dims"))
+              .select("cid", "code", "leaf", "block", "alone", "codes", "n", "label", "embedding", "dims"))
     found = sized(placed.groupBy("code", "dims").applyInArrow(lambda t: compare_leaf(t, threshold), "cid string, linked long, root string"), "found")
     counts = found.groupBy("cid").agg(F.sum("linked").alias("linked"))
     labels = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))

@@ -219,6 +219,43 @@ def test_no_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_a_lost_batch_can_be_taken_in_again(spark, docs):
+    index = "test_retry_" + hashlib.md5(repr(spark.sparkContext.applicationId).encode()).hexdigest()
+    spark.sql(f"DROP TABLE IF EXISTS {index}")
+    digests = exact_dedup.digests_of(docs)
+    first = Counter(rows(exact_dedup.ingest(digests.where("doc_id < 3"), index, "a")))
+    listed = Counter(rows(spark.table(index)))
+    assert Counter(rows(exact_dedup.ingest(digests.where("doc_id < 3"), index, "a"))) == first
+    assert Counter(rows(spark.table(index))) == listed
+    second = Counter(rows(exact_dedup.ingest(digests, index, "b")))
+    listed = Counter(rows(spark.table(index)))
+    part = spark.table(index).where("batch = 'b'").limit(1).collect()  # an append that ended half way
+    half = index + "_half"
+    spark.sql(f"DROP TABLE IF EXISTS {half}")
+    kept = spark.table(index).where("batch = 'a'").union(spark.createDataFrame(part, spark.table(index).schema))
+    kept.write.bucketBy(4, "digest").sortBy("digest").saveAsTable(half)
+    assert Counter(rows(exact_dedup.ingest(digests, half, "b", 4))) == second and Counter(rows(spark.table(half))) == listed
+    for name in (index, half):
+        spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_dense_cluster_is_counted_once_over_its_blocks(spark, rounds):
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal(16) + draw.standard_normal((240, 16)) * 0.09
+    got = vectors.link_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), leaf=32, rounds=rounds)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    assert [r["n_links"] for r in got.orderBy("vec_id").collect()] == want.tolist() and 1000 < want.sum()
+
+
+def test_codes_do_not_grow_with_blocks(spark):
+    leaves = spark.range(400).select(F.col("id").cast("string").alias("cid"), F.lit(7).cast("long").alias("code"), F.lit(400).alias("m"))
+    placed = vectors._block_pairs(leaves, 20)
+    assert placed.select("leaf").distinct().count() == 1 and placed.count() == 400 * 40
+    assert placed.where("alone").count() == 400
+
+
 def test_mix_of_awkward_rows(docs, none):
     found = mix.mixed(docs).select("row.doc_id", "row.text", "row.source", "row.size", "size", "source_size", "target", "copies").collect()
     assert len(found) == len(ROWS) and {r[3] for r in found} == {"extra"}
@@ -315,7 +352,7 @@ def test_exact_copies_over_batches(spark, docs, none):
         ids = [d for (d, _, _), t in zip(ROWS, texts, strict=True) if t == text and d is not None]
         want[doc, max(ids) if ids else None, texts.count(text), doc == (max(ids) if ids else None)] += 1
     assert got == want
-    again = exact_dedup.ingest(exact_dedup.digests_of(docs), index)
+    again = exact_dedup.ingest(exact_dedup.digests_of(docs), index, "later")
     assert again.where("NOT known").count() == 0 and spark.table(index).count() == len(set(texts))
     plan = spark.table(index).groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # the index is read by bucket
