@@ -22,7 +22,7 @@ from raincourse.session import sized
 
 TREES = 8
 SPILL = 0.02
-SHARED = 0.5 ** 0.5  # two sides of a larger share each take more comparisons together than the leaf they come from
+SHARED = 0.9  # a leaf with a side of a larger share is not split
 SAMPLE = 16_384
 FEWEST = 24
 DEPTH = 12
