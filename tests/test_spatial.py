@@ -1,6 +1,7 @@
 """Tile joins and rain fusion against brute force on small networks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,37 @@ def test_fusion_across_180_degrees_and_in_crowds(spark, places):
             seen += rows.tolist()
             assert set(np.flatnonzero((d[rows] <= 150).any(axis=0))) <= set(near.tolist())
         assert sorted(seen) == list(range(300))
+
+
+def test_idw_pairs_are_not_stored(spark, places, monkeypatch):
+    c, g = frames(spark, places)
+    kept, write = [], S.sized
+    monkeypatch.setattr(fusion, "sized", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    fusion.idw_bias(c, g.withColumn("ratio", F.lit(2.0)), "t", 2000.0).count()
+    assert max(t.count() for t in kept) <= 300  # 300 cells and 80 gauges have thousands of pairs
+
+
+def test_idw_ratios_that_are_no_numbers_stay_local(spark):
+    c = spark.createDataFrame([(1, 0, 0.0, 100.0, 1.0), (1, 1, 0.0, 120.0, 1.0), (1, 2, 0.0, 120.0, 1.0), (1, 2, 0.0, 100.1, 1.0), (2, 0, 0.0, 100.0, 1.0)], "t int, cell_id long, lat double, lon double, background double")
+    g = spark.createDataFrame([(1, i, 0.1 * i, x, r) for i, (x, r) in enumerate([(100.0, 2.0), (100.1, float("nan")), (100.2, 3.0), (120.0, 2.0), (120.1, 2.0), (120.2, 2.0), (120.3, None)])], "t int, gauge_id long, g_lat double, g_lon double, ratio double")
+    got = sorted((r.t, r.cell_id, str(round(r.bias, 6))) for r in fusion.idw_bias(c, g, "t").collect())
+    assert got == [(1, 0, "nan"), (1, 1, "2.0"), (1, 2, "nan"), (1, 2, "nan"), (2, 0, "1.0")]
+
+
+def test_radius_join_is_spread_and_crowded_tiles_are_dealt(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = spark.createDataFrame([(i, 0.001 * (i % 30), 0.001 * (i // 30)) for i in range(900)], "i long, lat double, lon double").coalesce(1)
+    pairs = radius_join(one, one.select(F.col("i").alias("j"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")).where("j < 5"), 100.0)
+    assert pairs.rdd.getNumPartitions() == parts and pairs.count() == 4500
+    left, right = S.deal(one.withColumn("k", F.lit(1)), spark.range(3).withColumn("k", F.lit(1)), ["k"], 100)
+    sizes = [r["count"] for r in left.groupBy("_part").count().collect()]
+    assert sum(sizes) == 900 and len(sizes) == 9 and max(sizes) < 200
+    assert left.join(right, ["k", "_part"]).count() == 2700
+
+
+def test_pieces_are_not_cut_to_points_where_gauges_are_dense():
+    rng = np.random.default_rng(3)
+    lat, lon = rng.uniform(0, 2, 400), rng.uniform(100, 102, 400)
+    g = pd.DataFrame({"g_lat": lat, "g_lon": lon})
+    pieces = list(fusion._pieces(lat, lon, g, 500.0, most=50))
+    assert sorted(np.concatenate([r for r, _ in pieces])) == list(range(400)) and len(pieces) < 10
