@@ -11,6 +11,7 @@ from raincourse.operators import learning as L
 from raincourse.operators.rollup import clip, latest_per_key, level_of, rank_of, worst
 from raincourse.operators.spatial import box_join
 from raincourse.registry import query
+from raincourse.session import sized
 from raincourse.streaming.state import fold_storage, series_of
 from raincourse.views import SQL_VIEWS, Views
 
@@ -88,8 +89,9 @@ def j21(v):
     SELECT reservoir_id, max(i)::BIGINT AS steps, round(arg_max(s, i), 0) AS last_m3, round(min(s), 0) AS low_m3, round(max(s), 0) AS high_m3 FROM r GROUP BY 1""")
 def t05(v):
     """Storage carried from day to day with clamps. The series of a river is built once (one
-    value per day) and joined to its reservoirs."""
-    r = v.reservoir.join(series_of(v.daily_flow, ["river_id"], "day", "discharge_cms"), "river_id")
+    value per day) and joined to its reservoirs, which are few rows with much work each: they are spread first."""
+    series = sized(series_of(v.daily_flow, ["river_id"], "day", "discharge_cms"), "series")
+    r = v.reservoir.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")), "reservoir_id").join(series, "river_id")
     f = fold_storage(r, c("capacity_m3"), c("dead_m3"), lambda x: reservoir_inflow(x.discharge_cms), F.lit(240.0), 24.0, 0.65)
     return f.select("reservoir_id", "steps", *[F.round(x, 0).alias(x) for x in ("last_m3", "low_m3", "high_m3")])
 

@@ -143,3 +143,15 @@ def test_a_stream_does_not_depend_on_file_layout(spark, folder, tmp_path):
         assert want
         for name in layouts:
             assert sorted(map(str, QUERIES[query](spark, f"{tmp_path}/{name}").collect())) == want, (query, name)
+
+
+def test_reservoirs_are_spread_over_tasks(spark, tmp_path):
+    from raincourse.plans import load_all
+    from raincourse.registry import QUERIES
+
+    load_all()
+    k = F.col("id")
+    spark.range(20_000).coalesce(1).select(k.alias("s_suppkey"), F.sha2(k.cast("string"), 256).alias("s_name"), (k % 25).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(100).select(k.alias("o_orderkey"), (k % 25).alias("o_custkey"), F.timestamp_seconds(k * 86400).alias("o_orderdate"), (k * 1000.0).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["t05_storage_series"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 20_000
