@@ -14,10 +14,19 @@ from raincourse.operators.ordered import number_rows
 from raincourse.session import sized
 
 
+CHUNK_ROWS = 100_000  # rows of one stretch of time that are sorted together
+
+
 def boosted_folds(df: DataFrame, inputs: list[str], label: str, order: list[str], folds: int, width: float) -> DataFrame:
-    """Boosted trees trained on all folds but one and tested on it; folds are contiguous in time."""
-    rows = df.withColumn("_k", F.lit(0))
-    n = rows.agg(F.count("*")).scalar()
+    """Boosted trees trained on all folds but one and tested on it; folds are contiguous in time.
+
+    Rows are numbered in stretches of at most ``width`` seconds, shorter where more rows than ``CHUNK_ROWS`` are to be
+    expected in one, so a task sorts a bounded number of them however dense the readings are.
+    """
+    rows = sized(df.withColumn("_k", F.lit(0)), "rows")
+    at = F.col(order[0]).cast("double")
+    n, span = rows.agg(F.count("*"), F.max(at) - F.min(at)).first()
+    width = min(width, max((span or 0.0) * CHUNK_ROWS / max(n, 1), 1.0))
     numbered = number_rows(rows, ["_k"], order, width).withColumn("fold", F.floor((F.col("_rn") - 1) * folds / n).cast("int"))
     rows = sized(numbered.select("fold", *inputs, F.col(label).alias("label")), "folds")
     data = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select("fold", "features", "label")

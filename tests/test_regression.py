@@ -59,3 +59,13 @@ def test_no_python_worker_and_no_rows_is_no_crash(seasons):
     assert out.count() == 0
     plan = R.rolling_origin(seasons, ["k"], "month", "t", "y", 36, 6, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_dense_times_are_numbered_in_short_stretches(readings, monkeypatch):
+    widths, number = [], R.number_rows
+    monkeypatch.setattr(R, "number_rows", lambda df, keys, order, width: widths.append(width) or number(df, keys, order, width))
+    monkeypatch.setattr(R, "CHUNK_ROWS", 50)
+    rows = readings.dropna()
+    got = R.boosted_folds(rows, ["a", "b"], "y", ["at", "s"], 5, 7 * 86400.0).orderBy("fold").collect()
+    assert [(r.fold, r.n) for r in got] == [(k, 100) for k in range(5)]
+    assert rows.groupBy(F.floor(F.col("at").cast("double") / widths[0])).count().agg(F.max("count")).first()[0] <= 60
