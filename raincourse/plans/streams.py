@@ -10,7 +10,7 @@ from raincourse.operators import learning as L
 from raincourse.operators import statistics as S
 from raincourse.operators.ordered import last_known
 from raincourse.plans.spatial import gauge_day
-from raincourse.plans.water import reservoir_inflow
+from raincourse.plans.water import cascade_factor, river_supply
 from raincourse.registry import ORACLES, query
 from raincourse.session import new_path
 from raincourse.sources.sinks import merged_rows
@@ -139,10 +139,11 @@ DECADE = "4000 days"  # the daily tables span years, and their files come in any
 
 @query("t05_storage_stream")
 def t05s(v):
-    """Storage carried from day to day on a stream of river flows; reservoirs are a table beside it."""
+    """Storage carried from day to day on a stream of river flows; reservoirs are a table beside it, in blocks by river."""
     flows = as_stream(v, v.daily_flow.select("river_id", c("day").cast("timestamp").alias("ts"), "discharge_cms"), "flows")
-    r = flows.join(v.reservoir.select("river_id", c("reservoir_id").cast("long").alias("reservoir_id"), "capacity_m3", "dead_m3"), "river_id")
-    job = lambda x: P.storage_stream(x, "reservoir_id", "ts", reservoir_inflow(c("discharge_cms")), 240.0, c("capacity_m3"), c("dead_m3"), 24.0, 0.65)
+    reservoirs = v.reservoir.select("river_id", c("reservoir_id").cast("long").alias("reservoir_id"), cascade_factor().alias("factor"), "capacity_m3", "dead_m3")
+    r = P.beside(flows, reservoirs, "river_id", "reservoir_id")
+    job = lambda x: P.storage_stream(x, "river_id", "reservoir_id", "ts", river_supply(c("discharge_cms")), c("factor"), 240.0, c("capacity_m3"), c("dead_m3"), 24.0, 0.65)
     t = P.run_to_end(r, "ts", job, "storage", DECADE)
     return t.groupBy("reservoir_id").agg(F.count("*").alias("steps"), F.round(F.max_by("storage", "us"), 0).alias("last_m3"), F.round(F.min("storage"), 0).alias("low_m3"), F.round(F.max("storage"), 0).alias("high_m3"))
 

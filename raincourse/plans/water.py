@@ -25,11 +25,19 @@ SQL_VIEWS["gate"] = """SELECT *, CASE WHEN frac >= 1.0 THEN 'EMERGENCY' WHEN fra
     least(CASE WHEN frac < 0.6 THEN normal_release_cms * 0.5 WHEN frac < 0.9 THEN normal_release_cms * (1 + (frac - 0.6) / (0.9 - 0.6)) WHEN frac < 1.0 THEN normal_release_cms + capacity_m3 * 0.10 / 21600.0 ELSE max_release_cms END, max_release_cms) AS release FROM res_now"""
 
 
+def cascade_factor() -> F.Column:
+    r = c("reservoir_id") % 3
+    return F.when(r == 0, 0.85).when(r == 1, 0.95).otherwise(1.0)
+
+
+def river_supply(river_cms: F.Column) -> F.Column:
+    """River flow with a rain supplement on some rivers."""
+    return river_cms + F.when(c("river_id") < 10, 4500 * 1.5 * 0.6 / 3600.0).otherwise(0.0)
+
+
 def reservoir_inflow(river_cms: F.Column) -> F.Column:
     """River flow times a cascade factor, with a rain supplement on some rivers."""
-    r = c("reservoir_id") % 3
-    factor = F.when(r == 0, 0.85).when(r == 1, 0.95).otherwise(1.0)
-    return factor * (river_cms + F.when(c("river_id") < 10, 4500 * 1.5 * 0.6 / 3600.0).otherwise(0.0))
+    return cascade_factor() * river_supply(river_cms)
 
 
 def inflow(v: Views) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from raincourse.session import cut_lineage, new_path
+from raincourse.session import cut_lineage, new_path, sized
 
 # A table is replayed with its files in any order; rows may then be this much out of order.
 REPLAY = "366 days"
 CLOSED = "2200-01-01"  # within the range of pandas times
+BLOCK = 256  # keys that are carried together
 
 
 def read_bus(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -169,14 +171,81 @@ def _timed(step, last, us, i, x):
     return last, (int(us), *row)
 
 
-def storage_stream(rows: DataFrame, key: str, ts: str, inflow: Column, outflow: float, capacity: Column, dead: Column, hours: float, start_fraction: float) -> DataFrame:
-    """Storage of each key after each step, clamped between dead and full storage; the storage is the state."""
-    def step(last, _us, _id, x):
-        flow, full, least = x
-        new = max(min((full * start_fraction if last is None else last) + (flow - outflow) * hours * 3600.0, full + least), least)
-        return new, (new,)
+def beside(events: DataFrame, table: DataFrame, link: str, key: str, most: int = BLOCK) -> DataFrame:
+    """The stream ``events`` (link, ...) dealt to the blocks of keys it acts on, and ``table`` (link, key, ...) itself.
 
-    return _keyed(rows, key, ts, key, F.array(inflow, capacity, dead), lambda last, us, i, x: _timed(step, last, us, i, x), "us long, storage double")
+    The keys of a link are dealt to blocks (``_part``) of about ``most``, and an event goes once to each block of its
+    link: events are not multiplied by keys. The rows of ``table`` come whole in the first micro-batch; they
+    have no time, and events have no key. Rows of ``table`` without link or key, and events of no key, go.
+    """
+    spark = events.sparkSession
+    known = table.dropna(subset=[link, key])
+    parts = sized(known.groupBy(link).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")), "parts")
+    path = new_path(spark, "keys")
+    known.join(parts, link).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts").write.parquet(path)
+    keys = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    blocks = parts.select(link, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return events.join(blocks, link).unionByName(keys, allowMissingColumns=True)
+
+
+def storage_stream(rows: DataFrame, link: str, key: str, ts: str, supply: Column, share: Column, outflow: float, capacity: Column, dead: Column, hours: float, start_fraction: float) -> DataFrame:
+    """Storage of each key after each step, clamped between dead and full storage: (key, us, storage).
+
+    ``rows`` are those of ``beside``, with a watermark on ``ts``: events have a ``supply``, keys a ``share`` of
+    it (the inflow is their product), a ``capacity`` and ``dead`` storage. The state of a block is its keys and their storage
+    as arrays, and the events that the watermark has not passed, once for all of its keys. An event is one step of all keys
+    of the block; a key that is given twice steps twice. Events without a time go.
+    """
+    floats, out = ["share", "full", "least"], f"{key} long, us long, storage double"
+
+    def moved(ids, level, given, times, flows):
+        """Steps all keys through the events, a bounded number of rows at a time; ``level`` is changed, NaN in ``given`` stays."""
+        at = np.searchsorted(ids, given[0])
+        order = np.argsort(at, kind="stable")
+        copy = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        passes = [order[copy == n] for n in range(copy.max(initial=-1) + 1)]
+        who = np.concatenate([given[0][p] for p in passes]) if passes else given[0]
+        sets = [(at[p], *(x[p] for x in given[1:])) for p in passes]
+        stretch = max(1, 100_000 // max(1, len(who)))
+        for low in range(0, len(times) if len(who) else 0, stretch):
+            found = []
+            for flow in flows[low:low + stretch]:
+                for to, part, full, least in sets:
+                    new = level[to] + (part * flow - outflow) * hours * 3600.0
+                    new = np.where(full + least < new, full + least, new)
+                    level[to] = new = np.where(least > new, least, new)
+                    found.append(new)
+            some = times[low:low + stretch]
+            yield pd.DataFrame({key: np.tile(who, len(some)), "us": np.repeat(some, len(who)), "storage": np.concatenate(found)})
+
+    def run(k, batches, held: GroupState):
+        given, ids, level, times, flows = pickle.loads(held.get[0]) if held.exists else (
+            [np.zeros(0, np.int64), *(np.zeros(0) for _ in floats)], np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+        if not held.hasTimedOut:
+            for b in batches:
+                if pd.isna(k[0]):
+                    continue
+                own, event = b[b["given"]], b[~b["given"]]
+                given = [np.concatenate([old, own[name].to_numpy()]) for old, name in zip(given, ["key", *floats], strict=True)]
+                times, flows = np.concatenate([times, event["us"].to_numpy()]), np.concatenate([flows, event["flow"].to_numpy()])
+        first, at = np.unique(given[0], return_index=True)
+        new = given[2][at] * start_fraction  # where no step was made yet
+        new[np.searchsorted(first, ids)] = level
+        ids, level = first, new
+        mark = held.getCurrentWatermarkMs()
+        ready = times < mark * 1000
+        order = np.argsort(times[ready], kind="stable")
+        yield from moved(ids, level, given, times[ready][order], flows[ready][order])
+        times, flows = times[~ready], flows[~ready]
+        if len(given[0]) or len(times):
+            held.update((pickle.dumps((given, ids, level, times, flows)),))
+            if len(times):
+                held.setTimeoutTimestamp(max(mark, int(times.min() // 1000)) + 1)
+
+    shaped = rows.select(
+        link, "_part", F.col(ts).alias("at"), F.col(key).isNotNull().alias("given"), F.coalesce(F.col(key), F.lit(0)).cast("long").alias("key"), F.coalesce(F.unix_micros(ts), F.lit(0)).alias("us"),
+        *[x.cast("double").alias(name) for x, name in ((supply, "flow"), (share, "share"), (capacity, "full"), (dead, "least"))]).where("given OR at IS NOT NULL")
+    return shaped.groupBy(link, "_part").applyInPandasWithState(run, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ratio_filter_stream(rows: DataFrame, key: str, ts: str, ratio: Column, process_noise: float, observation_noise: float, start: float = 1.0) -> DataFrame:

@@ -155,3 +155,28 @@ def test_reservoirs_are_spread_over_tasks(spark, tmp_path):
     spark.range(100).select(k.alias("o_orderkey"), (k % 25).alias("o_custkey"), F.timestamp_seconds(k * 86400).alias("o_orderdate"), (k * 1000.0).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
     found = QUERIES["t05_storage_series"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 20_000
+
+
+@pytest.mark.parametrize("late", ["2 hours", "366 days"])
+def test_storage_of_a_block_of_reservoirs_equals_a_loop(spark, late):
+    """Events reach a block once, however many reservoirs it holds; a reservoir given twice steps twice, null times and keys go."""
+    flows = [(r, T0 + dt.timedelta(hours=h), float((h * 37 + r * 11) % 700)) for h in range(60) for r in (1, 2)] + [(1, None, 5.0), (None, T0, 5.0), (3, T0, 5.0)]
+    reservoirs = [(k % 2 + 1, k, 0.5 + k % 3, 1e6 * (k + 1), 5e4) for k in range(40)] + [(1, 2, 2.5, 3e6, 5e4), (None, 90, 1.0, 1e6, 5e4), (1, None, 1.0, 1e6, 5e4), (1, 92, 1.0, None, 5e4)]
+    path = new_path(spark, "flows")
+    for part in range(3):
+        spark.createDataFrame(flows[part * 41:part * 41 + 41], "river int, ts timestamp, q double").coalesce(1).write.parquet(f"{path}/part={part}")
+    stream = spark.readStream.schema("river int, ts timestamp, q double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    table = spark.createDataFrame(reservoirs, "river int, k long, factor double, cap double, dead double")
+    both = P.beside(stream, table, "river", "k", most=8)
+    assert P.run_to_table(both, "both").where("k IS NULL").count() == 61 * 3 + 60 * 3  # 22 and 20 reservoirs in blocks of 8
+    job = lambda x: P.storage_stream(x, "river", "k", "ts", F.col("q") + 1.0, F.col("factor"), 240.0, F.col("cap"), F.col("dead"), 1.0, 0.65)
+    found = rows(P.run_to_end(both, "ts", job, "storage", late).fillna(-1.0), "k", "us", "storage")
+    want, last = [], {}
+    for river, ts, q in sorted((f for f in flows if None not in f), key=lambda f: f[1]):
+        for r, k, factor, cap, dead in reservoirs:
+            if r == river and k is not None:
+                new = None
+                if cap is not None:
+                    new = last[k] = max(min(last.get(k, cap * 0.65) + (factor * (q + 1.0) - 240.0) * 1.0 * 3600.0, cap + dead), dead)
+                want.append((k, int((ts - dt.datetime(1970, 1, 1)).total_seconds() * 1e6), -1.0 if new is None else new))
+    assert found == sorted(want)
