@@ -176,7 +176,7 @@ def beside(events: DataFrame, table: DataFrame, link: str, key: str, most: int =
 
     The keys of a link are dealt to blocks (``_part``) of about ``most``, and an event goes once to each block of its
     link: events are not multiplied by keys. The rows of ``table`` come whole in the first micro-batch; they
-    have no time, and events have no key. Rows of ``table`` without link or key, and events of no key, go.
+    have no time, and events have no key. A key has one link. Rows of ``table`` without link or key, and events of no key, go.
     """
     spark = events.sparkSession
     known = table.dropna(subset=[link, key])
