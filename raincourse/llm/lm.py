@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raincourse.llm.blocks import Numbers, packed, steps, unpacked
-from raincourse.llm.bytes_hash import lowered, runs, slices, word_kinds
+from raincourse.llm.blocks import Numbers, packed, unpacked
+from raincourse.llm.bytes_hash import lowered, slices, word_kinds
 from raincourse.llm.learn import drawn, remainder
 from raincourse.llm.recurrent import END, Shape, Trainer, document_scores, start_weights
 from raincourse.session import sized
@@ -37,11 +37,16 @@ PIECE = 2048
 def words_of(data: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Of a slice: its words in lower case, document after document, as a dictionary array, and how many each row has."""
     text = lowered(data)
-    kinds = word_kinds(text)
-    starts, ends, row = runs(kinds, rows)
+    inside, first = word_kinds(text).view(bool), rows[:-1][rows[:-1] < len(data)]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[first] = inside[first]
+    end[:-1] &= ~inside[1:]
+    end[first[first > 0] - 1] = inside[first[first > 0] - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(text[kinds == 1]))])
-    return words.dictionary_encode(), np.bincount(row, minlength=len(rows) - 1)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(text[inside])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, rows))
 
 
 def with_ends(values: np.ndarray, counts: np.ndarray, end) -> np.ndarray:
@@ -199,27 +204,31 @@ def score(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
             held, times = np.unique(owner * max(1, len(tail)) + mine[mine >= 0], return_counts=True)
             owner, held = np.divmod(held, max(1, len(tail)))
             bounds = np.searchsorted(owner, np.arange(m + 1))
+            step = np.diff(held, prepend=0)  # places of each document as differences, which are small
+            begin = bounds[:-1][np.diff(bounds) > 0]
+            step[begin] = held[begin]
             spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-            words = dictionary.take(pa.array(tail)).to_pylist()
+            words = pa.ListArray.from_arrays(np.array([0] + [len(tail)] * m, np.int32), dictionary.take(pa.array(tail)).cast(pa.string()), mask=pa.array(np.arange(m) > 0))
             yield pa.RecordBatch.from_arrays([
                 batch.column(1).slice(low, m), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(net), pa.array(np.full(m, number())),
-                pa.array([packed(steps(held[x:y])) for x, y in spans], pa.binary()), pa.array([packed(times[x:y]) for x, y in spans], pa.binary()),
-                pa.array([words] + [None] * (m - 1), pa.list_(pa.string()))],
-                ["doc_id", "n_tokens", "known", "base", "net", "block", "places", "times", "words"])
+                pa.array([packed(step[x:y]) for x, y in spans], pa.binary()), pa.array([packed(times[x:y]) for x, y in spans], pa.binary()),
+                words, pa.array([packed(of_word[tail] - shape.listed)] + [None] * (m - 1), pa.binary())],
+                ["doc_id", "n_tokens", "known", "base", "net", "block", "places", "times", "words", "tails"])
 
     rows = sized(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        run, "doc_id long, n_tokens long, known long, base double, net double, block long, places binary, times binary, words array<string>"), "scored")
+        run, "doc_id long, n_tokens long, known long, base double, net double, block long, places binary, times binary, words array<string>, tails binary"), "scored")
     lists = rows.where("words IS NOT NULL").select(F.col("block").alias("home"), F.posexplode("words").alias("place", "word"))
-    answers = (lists.join(model.counts.where("word IS NOT NULL"), "word", "left")
-               .select("home", "place", (tail_class() % shape.tails).alias("tail"), F.coalesce("c", F.lit(0)).alias("c")))
+    # A word that no training document has gets no answer: its count is 0.
+    answers = lists.join(model.counts.where("word IS NOT NULL").hint("shuffle_hash"), "word").select("home", "place", "c")
     tokens, types, tail_tokens, tail_types = model.tokens, model.types, model.tail_tokens, model.tail_types
     small = Model(shape, None, [], None, tokens, types, tail_tokens, tail_types, None)
 
     def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
-        places, tails, c = (found[name].to_numpy() for name in ("place", "tail", "c"))
-        table = np.zeros((3, len(places)))
-        table[:, places] = small.base(c), small.within(c, tails), c > 0
-        sums = [table[:, np.cumsum(unpacked(p.as_py()))] @ unpacked(t.as_py()) for p, t in zip(docs["places"], docs["times"], strict=True)]
+        tails = np.concatenate([unpacked(t) for t in docs["tails"].to_pylist() if t is not None])
+        c = np.zeros(len(tails), np.int64)
+        c[found["place"].to_numpy()] = found["c"].to_numpy()
+        table = np.stack([small.base(c), small.within(c, tails), c > 0], axis=1)
+        sums = [unpacked(t) @ table[np.cumsum(unpacked(p))] for p, t in zip(docs["places"].to_pylist(), docs["times"].to_pylist(), strict=True)]
         base, net, known = np.array(sums).reshape(-1, 3).T
         return pa.table({"doc_id": docs["doc_id"], "n_tokens": docs["n_tokens"], "n_known": pa.array(docs["known"].to_numpy() + known.astype(np.int64)),
                          "train_tokens": pa.array(np.full(len(base), tokens)), "base_score": pa.array(docs["base"].to_numpy() + base), "score": pa.array(docs["net"].to_numpy() + net)})

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 
 PART = 512
+ROWS = 2048  # of a softmax over classes at a time
+FEW = 128  # of a long product at a time
 END = 0  # symbol of a document's end, also read before its first word
 
 
@@ -32,15 +34,16 @@ class Shape:
     @property
     def sizes(self) -> dict[str, tuple[int, ...]]:
         h, classes = self.hidden, self.groups + self.tails
-        return {"read": (self.listed + self.tails, 3 * h), "turn": (h, 3 * h), "classes": (h, classes), "class_bias": (classes,),
-                "words": (self.groups, h, self.each), "word_bias": (self.groups, self.each)}
+        return {"read": (self.listed + self.tails, 3 * h), "turn": (h, 3 * h), "to_class": (h + 1, classes), "to_word": (self.groups, h + 1, self.each)}
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Parts of ``flat``; a softmax has its weights and, as a last row, its bias."""
         out, at = {}, 0
         for name, size in self.sizes.items():
             n = int(np.prod(size))
             out[name], at = flat[at:at + n].reshape(size), at + n
-        return out
+        h, by_class, by_word = self.hidden, out["to_class"], out["to_word"]
+        return out | {"classes": by_class[:h], "class_bias": by_class[h], "words": by_word[:, :h], "word_bias": by_word[:, h]}
 
     @property
     def total(self) -> int:
@@ -67,7 +70,7 @@ class Lanes:
 
         ``begins`` is false for parts that go on with the document of the part before.
         """
-        lanes = max(1, min(lanes, len(counts)))
+        lanes, symbols = max(1, min(lanes, len(counts))), symbols.astype(np.int32)  # half the memory to gather from
         loads, held = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
         for doc in np.argsort(-counts, kind="stable").tolist():
             load, k = heapq.heappop(loads)
@@ -95,87 +98,112 @@ class Lanes:
             yield self.start[None, :live] + np.minimum(step, self.length[None, :live] - 1), valid
 
 
-def run_window(w, shape: Shape, read, keep, state, record):
-    """States (steps, lanes, hidden) after reading ``read`` (steps, lanes, 3 hidden); ``record`` gets what the way back needs."""
-    h, h2, turn, half = shape.hidden, 2 * shape.hidden, w["turn"], np.float32(0.5)
-    out = np.empty((*read.shape[:2], h), np.float32)
-    kept = record is not None
-    before, a, gates, new = (np.empty((len(read) if kept else 1, read.shape[1], n), np.float32) for n in (h, 3 * h, h2, h))
-    for t in range(len(read)):
-        k = t if kept else 0
-        np.multiply(state, keep[t], out=before[k])
-        np.matmul(before[k], turn, out=a[k])
-        # The logistic function as a hyperbolic tangent.
-        np.add(read[t, :, :h2], a[k, :, :h2], out=gates[k])
-        gates[k] *= half
-        np.tanh(gates[k], out=gates[k])
-        gates[k] *= half
-        gates[k] += half
-        np.multiply(gates[k, :, h:], a[k, :, h2:], out=new[k])
-        new[k] += read[t, :, h2:]
-        np.tanh(new[k], out=new[k])
-        state = out[t]
-        np.subtract(before[k], new[k], out=state)
-        state *= gates[k, :, :h]
-        state += new[k]
-    if kept:
-        record.extend((before, gates[:, :, :h], gates[:, :, h:], a[:, :, h2:], new))
-    return out, state
-
-
-def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares before division, and what to divide each row by with its logarithm; ``logits`` is overwritten."""
+class Cell:
+    """One step of the network for all lanes, gate by gate: arrays are (gate, lanes, hidden), so each gate lies in one piece and a step stays in the cache.
+
+    The logistic function of x is half of 1 + tanh(x / 2), so weights are halved beforehand: those of both gates, and
+    those from the state into the new state, which 1 + tanh multiplies.
+    """
+
+    def __init__(self, w, shape: Shape):
+        h, half = shape.hidden, np.float32(0.5)
+        self.read = np.empty((3, len(w["read"]), h), np.float32)
+        for k, times in enumerate((half, half, np.float32(1))):
+            np.multiply(w["read"][:, k * h:(k + 1) * h], times, out=self.read[k])
+        self.turn = w["turn"].reshape(h, 3, h).transpose(1, 0, 2) * half
+        self.buffers = None
+
+    def step(self, symbols: np.ndarray, before: np.ndarray, out: np.ndarray, kept=None) -> None:
+        """State ``out`` after reading ``symbols`` in state ``before``; ``kept`` gets what the way back needs."""
+        if self.buffers is None or self.buffers.shape[2:] != before.shape:
+            self.buffers = np.empty((3, 3, *before.shape), np.float32)
+        x, a, rest = self.buffers
+        gates, fed, new, far = kept or (x[:2], *rest)
+        self.read.take(symbols, 1, x, "clip")
+        np.matmul(before, self.turn, out=a)
+        np.add(x[:2], a[:2], out=gates)
+        np.tanh(gates, out=gates)
+        np.multiply(gates[1], a[2], out=fed)
+        fed += a[2]
+        np.add(fed, x[2], out=new)
+        np.tanh(new, out=new)
+        np.subtract(before, new, out=far)
+        np.multiply(gates[0], far, out=out)
+        far += out
+        far *= np.float32(0.5)
+        np.add(far, new, out=out)
+
+
+def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What to divide each row by, and its logarithm; ``logits`` becomes the shares before division."""
     top = np.float32(0)
     if not logits.max(initial=0) < 60:  # else exp stays within range as it is
         top = logits.max(axis=1, keepdims=True)
         logits -= top
     np.exp(logits, out=logits)
     total = logits @ np.ones((logits.shape[1], 1), np.float32)
-    return logits, total, (np.log(total) + top)[:, 0]
+    return total, (np.log(total) + top)[:, 0]
+
+
+def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of ``a`` turned over and ``b``, both with many rows and few columns, as a sum of products of a few rows each, which are faster."""
+    n = len(a) - len(a) % FEW
+    many = np.matmul(a[:n].reshape(-1, FEW, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, FEW, b.shape[1])).sum(axis=0)
+    return many + a[n:].T @ b[n:]
 
 
 def log_scores(w, shape: Shape, states: np.ndarray, target: np.ndarray, grads=None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithm of each target's probability; with ``grads`` also adds their gradients of the loss and returns that of the states."""
-    groups, each = shape.groups, shape.each
+    groups, each, h, by_class, by_word = shape.groups, shape.each, shape.hidden, w["to_class"], w["to_word"]
     listed = target < shape.listed
     cls = np.where(listed, target // each, target - shape.listed + groups)
-    every = np.arange(len(target))
-    logits = states @ w["classes"] + w["class_bias"]
-    score = logits[every, cls]
-    share, total, log_total = softmax(logits)
-    score = score - log_total
-    back = None
-    if grads is not None:
-        share /= total
-        share[every, cls] -= 1
-        grads["classes"] += states.T @ share
-        grads["class_bias"] += share.sum(axis=0)
-        back = share @ w["classes"].T
-    rows = np.flatnonzero(listed)
-    rows = rows[np.argsort(cls[rows], kind="stable")]
-    bounds = np.searchsorted(cls[rows], np.arange(groups + 1))
-    for g in np.flatnonzero(np.diff(bounds)):
-        mine = rows[bounds[g]:bounds[g + 1]]
-        own, place, n = states[mine], target[mine] % each, np.arange(len(mine))
-        logits = own @ w["words"][g] + w["word_bias"][g]
-        named = logits[n, place]
-        share, total, log_total = softmax(logits)
-        score[mine] += named - log_total
+    score, back = np.empty(len(target), np.float32), None if grads is None else np.empty((len(target), h), np.float32)
+    for at in range(0, len(target), ROWS):
+        some = states[at:at + ROWS]
+        logits = some @ by_class[:h]
+        logits += by_class[h]
+        flat, place = logits.reshape(-1), np.arange(len(some)) * logits.shape[1] + cls[at:at + ROWS]
+        part = flat[place]
+        total, log_total = softmax(logits)
+        np.subtract(part, log_total, out=score[at:at + ROWS])
         if grads is not None:
-            share /= total
-            share[n, place] -= 1
-            grads["words"][g] += own.T @ share
-            grads["word_bias"][g] += share.sum(axis=0)
-            back[mine] += share @ w["words"][g].T
+            logits *= 1 / total
+            flat[place] -= 1
+            grads["to_class"][:h] += across(some, logits)
+            grads["to_class"][h] += np.ones(len(some), np.float32) @ logits
+            np.matmul(logits, by_class[:h].T, out=back[at:at + ROWS])
+    # Listed words in order of their group, so that each group is one product.
+    rows = np.flatnonzero(listed)
+    rows = rows[np.argsort(cls[rows].astype(np.uint16), kind="stable")]
+    bounds = np.searchsorted(cls[rows], np.arange(groups + 1)).tolist()
+    spans = [(g, x, y) for g, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if x < y]
+    own, logits = np.empty((len(rows), h + 1), np.float32), np.empty((len(rows), each), np.float32)
+    own[:, :h], own[:, h] = states[rows], 1
+    for g, x, y in spans:
+        np.matmul(own[x:y], by_word[g], out=logits[x:y])
+    flat, place = logits.reshape(-1), np.arange(len(rows)) * each + target[rows] % each
+    named = flat[place]
+    total, log_total = softmax(logits)
+    score[rows] += named - log_total
+    if grads is not None:
+        logits *= 1 / total
+        flat[place] -= 1
+        more, words = np.empty((len(rows), h), np.float32), grads["to_word"]
+        for g, x, y in spans:
+            words[g] += own[x:y].T @ logits[x:y]
+            np.matmul(logits[x:y], by_word[g, :h].T, out=more[x:y])
+        back[rows] += more
     return score, back
 
 
 def add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
+    """Add each row of ``values``, which are pairs of 32-bit numbers, to the row ``at`` of ``out``."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.diff(at, prepend=-1))
     if len(first):
-        out[at[first]] += np.add.reduceat(values[order], first)
+        pairs = np.add.reduceat(values[order].view(np.complex64), first)  # added two at a time
+        out[at[first]] += pairs.view(np.float32)
 
 
 class Trainer:
@@ -184,6 +212,7 @@ class Trainer:
         self.w, self.grad = shape.views(self.flat), np.zeros_like(flat)
         self.g = shape.views(self.grad)
         self.first, self.second, self.turn, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+        self.room = None
 
     def learn(self, symbols: np.ndarray, counts: np.ndarray) -> None:
         """One pass over documents, a step of Adam a window.
@@ -204,55 +233,97 @@ class Trainer:
             self.seen += int(valid.sum())
 
     def _window(self, read, fresh, target, valid, state):
-        w, g, shape, record = self.w, self.g, self.shape, []
-        keep = (~fresh)[:, :, None].astype(np.float32)
-        states, state = run_window(w, shape, w["read"][read], keep, state, record)
+        w, g, shape, h = self.w, self.g, self.shape, self.shape.hidden
+        cell, size = Cell(w, shape), (*valid.shape, h)
+        if self.room is None or self.room[0].shape != size:  # kept from window to window, so that no new pages are touched
+            self.room = *(np.empty(size, np.float32) for _ in range(5)), np.empty((len(valid), 2, *size[1:]), np.float32), np.empty((*valid.shape, 4 * h), np.float32)
+        states, before, fed, new, far, gates, flow = self.room
+        starts = [np.flatnonzero(f) for f in fresh]
+        for t, start in enumerate(starts):
+            before[t] = state
+            before[t, start] = 0
+            state = states[t]
+            cell.step(read[t], before[t], state, (gates[t], fed[t], new[t], far[t]))
         self.grad[:] = 0
-        flat = np.flatnonzero(valid)
-        _, back = log_scores(w, shape, states.reshape(-1, shape.hidden)[flat], target.ravel()[flat], g)
-        into = np.zeros((valid.size, shape.hidden), np.float32)
-        into[flat] = back
-        into = into.reshape(states.shape)
-        before, z, r, fed, new = record
-        for_z, for_new, for_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), fed * r * (1 - r)
-        flow, d_turn, h = np.empty((*valid.shape, 3 * shape.hidden), np.float32), np.zeros_like(state), shape.hidden
-        inner, turned = np.empty_like(flow), w["turn"].T
+        if valid.all():
+            _, into = log_scores(w, shape, states.reshape(-1, h), target.ravel(), g)
+        else:
+            flat = np.flatnonzero(valid)
+            into = np.zeros((valid.size, h), np.float32)
+            into[flat] = log_scores(w, shape, states.reshape(-1, h)[flat], target.ravel()[flat], g)[1]
+        into = into.reshape(size)
+        # Of each row: the loss by the state's part in the new state, by both gates and by the new state, before their functions.
+        d_turn = np.zeros_like(state)
+        turned, half = np.concatenate([w["turn"].T[2 * h:], w["turn"].T[:2 * h]]), np.float32(0.5)
+        e, u, v = (np.empty_like(state) for _ in range(3))
         for t in range(len(valid) - 1, -1, -1):
-            d = into[t] + d_turn
-            np.multiply(d, for_z[t], out=flow[t, :, :h])
-            np.multiply(d, for_new[t], out=flow[t, :, 2 * h:])
-            np.multiply(flow[t, :, 2 * h:], for_r[t], out=flow[t, :, h:2 * h])
-            inner[t, :, :2 * h] = flow[t, :, :2 * h]
-            np.multiply(flow[t, :, 2 * h:], r[t], out=inner[t, :, 2 * h:])
-            d_turn = (d * z[t] + inner[t] @ turned) * keep[t]
-        g["turn"] += before.reshape(-1, h).T @ inner.reshape(-1, 3 * h)
-        add_rows(g["read"], read.ravel(), flow.reshape(-1, 3 * h))
+            d, (z, r) = into[t], gates[t]
+            d += d_turn
+            np.multiply(d, z, out=e)
+            np.subtract(d, e, out=e)
+            e *= half
+            np.multiply(e, far[t], out=flow[t, :, h:2 * h])
+            np.multiply(new[t], new[t], out=u)
+            np.subtract(1, u, out=u)
+            u *= e
+            flow[t, :, 3 * h:] = u
+            u *= half
+            np.multiply(u, r, out=v)
+            np.add(u, v, out=flow[t, :, :h])
+            u -= v
+            np.multiply(u, fed[t], out=flow[t, :, 2 * h:3 * h])
+            np.matmul(flow[t, :, :3 * h], turned, out=d_turn)
+            d_turn += d
+            d_turn -= e
+            d_turn[starts[t]] = 0
+        flow = flow.reshape(-1, 4 * h)
+        by_state = across(before.reshape(-1, h), flow[:, :3 * h])
+        g["turn"][:, :2 * h] += by_state[:, h:]
+        g["turn"][:, 2 * h:] += by_state[:, :h]
+        add_rows(g["read"], read.ravel(), flow[:, h:])
         self._adam(1 / (self.steps * self.lanes))
-        return state
+        return state.copy()
 
     def _adam(self, scale: float) -> None:
-        g, self.turn = self.grad, self.turn + 1
-        g *= np.float32(scale)
-        norm = float(np.sqrt(g @ g))
-        if norm > self.clip:
-            g *= np.float32(self.clip / norm)
-        self.first += np.float32(0.1) * (g - self.first)
-        np.multiply(g, g, out=g)
-        self.second += np.float32(0.01) * (g - self.second)
-        root = np.sqrt(self.second / np.float32(1 - 0.99 ** self.turn))
-        self.flat -= np.float32(self.rate / (1 - 0.9 ** self.turn)) * self.first / (root + np.float32(1e-6))
+        self.turn += 1
+        norm = float(np.sqrt(self.grad @ self.grad)) * scale
+        scale = np.float32(scale * min(1.0, self.clip / norm) if norm > 0 else scale)
+        # ``first`` and ``second`` are ten and a hundred times the running means of the gradient and its square.
+        rate, root = np.float32(0.1 * self.rate / (1 - 0.9 ** self.turn)), np.float32(0.1 * (1 - 0.99 ** self.turn) ** -0.5)
+        g = self.grad
+        g *= scale
+        self.first *= np.float32(0.9)
+        self.first += g
+        g *= g
+        self.second *= np.float32(0.99)
+        self.second += g
+        np.sqrt(self.second, out=g)
+        g *= root
+        g += np.float32(1e-6)
+        np.divide(self.first, g, out=g)
+        g *= rate
+        self.flat -= g
 
 
 def document_scores(shape: Shape, flat: np.ndarray, symbols: np.ndarray, counts: np.ndarray, steps: int = 64, lanes: int = 96) -> np.ndarray:
     """Natural logarithm of the probability of each document's symbols, states carried from window to window."""
     w, out = shape.views(flat), np.zeros(len(counts))
-    dealt = Lanes(symbols, counts, lanes)
+    cell, dealt = Cell(w, shape), Lanes(symbols, counts, lanes)
     doc = np.repeat(np.arange(len(counts)), counts)[dealt.source]
     state = np.zeros((len(dealt.length), shape.hidden), np.float32)
     for at, valid in dealt.windows(steps):
-        keep = (~dealt.fresh[at])[:, :, None].astype(np.float32)
-        states, state = run_window(w, shape, w["read"][dealt.input[at]], keep, state[:at.shape[1]], None)
-        places = at[valid]
-        score, _ = log_scores(w, shape, states[valid], dealt.target[places])
+        read, fresh = dealt.input[at], dealt.fresh[at]
+        state, states = state[:at.shape[1]], np.empty((*at.shape, shape.hidden), np.float32)
+        for t, starts in enumerate(fresh.any(axis=1).tolist()):
+            if starts:
+                state = state.copy()
+                state[fresh[t]] = 0
+            cell.step(read[t], state, states[t])
+            state = states[t]
+        if valid.all():
+            places, states = at.ravel(), states.reshape(-1, shape.hidden)
+        else:
+            places, states = at[valid], states[valid]
+        score, _ = log_scores(w, shape, states, dealt.target[places])
         out += np.bincount(doc[places], score, len(counts))
     return out

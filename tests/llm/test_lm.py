@@ -1,14 +1,18 @@
 """Language-model scores against plain counting and a word-by-word network."""
 
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from raincourse.llm import lm, recurrent
+from raincourse.llm.bytes_hash import slices
 from raincourse.llm.queries import QUERIES
 from raincourse.llm.recurrent import Shape
 from tests.llm.test_operators import docs, none, rows, words_of  # noqa: F401
@@ -79,6 +83,67 @@ def test_gradients_are_slopes():
         assert abs(slope - gradient[k]) < 1e-3 + 1e-2 * abs(slope)
 
 
+def test_long_products_and_sums_of_rows():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, recurrent.FEW, 3 * recurrent.FEW + 5):
+        a, b, at = rng.normal(size=(n, 5)).astype(np.float32), rng.normal(size=(n, 12)).astype(np.float32), rng.integers(0, 7, n)
+        assert np.allclose(recurrent.across(a, b[:, 2:8]), a.T.astype(float) @ b[:, 2:8], atol=1e-3)
+        out, want = np.ones((7, 6), np.float32), np.ones((7, 6))
+        recurrent.add_rows(out, at, b[:, 4:10])
+        np.add.at(want, at, b[:, 4:10])
+        assert np.allclose(out, want, atol=1e-4)
+
+
+@pytest.mark.parametrize("clip", [1e9, 0.5])
+def test_steps_of_adam_are_the_textbook_ones(clip):
+    rng, shape = np.random.default_rng(6), Shape(hidden=8)
+    flat, slopes = random_net(shape), [rng.normal(0, 1, shape.total) * 10.0 ** rng.integers(-6, 2, shape.total) for _ in range(4)]
+    trainer, want, first, second = recurrent.Trainer(shape, flat, 0.01, clip=clip), flat.astype(float), 0, 0
+    for turn, slope in enumerate(slopes, 1):
+        trainer.grad[:] = slope
+        trainer._adam(0.25)
+        g = slope / 4 * min(1, clip / np.linalg.norm(slope / 4))
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        want = want - 0.01 * (first / (1 - 0.9 ** turn)) / (np.sqrt(second / (1 - 0.99 ** turn)) + 1e-6)
+    assert np.allclose(trainer.flat, want, atol=1e-5)
+
+
+def test_windows_work_in_memory_they_keep():
+    """A window touches each array a step at a time and takes little new memory: 9.3 MB with whole-window arrays."""
+    rng, shape = np.random.default_rng(7), Shape()
+    counts = rng.integers(1, 100, 1500)
+    symbols = rng.integers(1, shape.listed + shape.tails, counts.sum())
+    symbols[np.cumsum(counts) - 1] = recurrent.END
+    trainer, taken = recurrent.Trainer(shape, random_net(shape), 0.003), []
+    window = trainer._window
+
+    def measured(*args):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        state = window(*args)
+        taken.append(tracemalloc.get_traced_memory()[1] - before)
+        return state
+
+    trainer._window = measured
+    tracemalloc.start()
+    try:
+        trainer.learn(symbols, counts)
+    finally:
+        tracemalloc.stop()
+    assert trainer.seen == counts.sum() and len(taken) > 5
+    assert max(taken[1:4]) < 4e6
+
+
+def test_words_of_any_slice():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choice("aBz \t\n\r\x0b\u00e9\u3000") for _ in range(rng.choice([0, 0, 1, 2, 5, 9]))) for _ in range(rng.randint(1, 6))]
+        for low, high, data, starts in slices(pa.array(texts), rng.choice([3, 20, 1000])):
+            words, counts = lm.words_of(data, starts)
+            want = [words_of(text) for text in texts[low:high]]
+            assert counts.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+
+
 def by_counting(data, learned):
     counts = Counter(t for _, text in learned for t in [*words_of(text), None])
     n, v = sum(counts.values()), len(counts)
