@@ -197,3 +197,47 @@ def test_pieces_are_not_cut_to_points_where_gauges_are_dense():
     g = pd.DataFrame({"g_lat": lat, "g_lon": lon})
     pieces = list(fusion._pieces(lat, lon, g, 500.0, most=50))
     assert sorted(np.concatenate([r for r, _ in pieces])) == list(range(400)) and len(pieces) < 10
+
+
+def test_kriging_of_many_gauges_stores_no_matrix_of_them(spark, places, monkeypatch):
+    """More gauges than one matrix takes: the field is that of the whole network, and no large array is made."""
+    monkeypatch.setattr(fusion, "DIRECT", 20)
+    cells, gauges = places
+    c, g = frames(spark, places)
+    ratio = 0.5 + (np.arange(80) % 9) / 4
+    out = fusion.kriging_bias(c, g.withColumn("ratio", 0.5 + (F.col("gauge_id") % 9) / 4), "t").orderBy("cell_id").collect()
+    m = np.ones((81, 81))
+    m[:80, :80] = 1.5 * np.exp(-haversine(gauges, gauges) / 45)
+    m[80, 80] = 0
+    w = np.linalg.pinv(m) @ np.vstack([1.5 * np.exp(-haversine(cells, gauges) / 45).T, np.ones(300)])
+    assert [r.bias for r in out] == pytest.approx(list(np.clip(ratio @ w[:80], 0.1, 5)), abs=1e-8)
+
+
+def test_conjugate_gradients_over_times_with_other_gauges():
+    rng = np.random.default_rng(6)
+    p = fusion._unit(rng.uniform(0, 4, 700), rng.uniform(100, 104, 700))
+    seen = rng.random((700, 4)) < [1.0, 0.9, 0.8, 0.3]
+    z = rng.uniform(0.1, 5, (700, 4)) * seen
+    largest, made = [], fusion._covariance
+    whole = made(p, p)
+    fusion._covariance = lambda a, b: largest.append(made(a, b)) or largest[-1]
+    try:
+        got = fusion._conjugate(p, seen, z, 1000.0)
+    finally:
+        fusion._covariance = made
+    for s in range(4):
+        k = np.flatnonzero(seen[:, s])
+        want = np.linalg.solve(whole[np.ix_(k, k)], np.column_stack([np.ones(len(k)), z[k, s]]))
+        assert np.abs(got[k][:, [s, s + 4]] - want).max() < 1e-8
+    assert max(max(x.shape[-2:]) for x in largest) < 700 and not got[~seen[:, 3], 3].any()
+
+
+def test_kriging_of_gauges_on_one_spot(spark, places, monkeypatch):
+    """Gauges on one spot count as their mean, in one matrix and by conjugate gradients."""
+    c, g = frames(spark, places)
+    twice = g.unionByName(g.withColumn("gauge_id", F.col("gauge_id") + 80)).withColumn("ratio", 0.5 + (F.col("gauge_id") % 7) / 4)
+    mean = twice.groupBy("t", "g_lat", "g_lon").agg(F.min("gauge_id").alias("gauge_id"), F.avg("ratio").alias("ratio"))
+    want = [r.bias for r in fusion.kriging_bias(c, mean, "t").orderBy("cell_id").collect()]
+    for most in (1500, 20):
+        monkeypatch.setattr(fusion, "DIRECT", most)
+        assert [r.bias for r in fusion.kriging_bias(c, twice, "t").orderBy("cell_id").collect()] == pytest.approx(want, abs=1e-8)
