@@ -241,3 +241,44 @@ def test_kriging_of_gauges_on_one_spot(spark, places, monkeypatch):
     for most in (1500, 20):
         monkeypatch.setattr(fusion, "DIRECT", most)
         assert [r.bias for r in fusion.kriging_bias(c, twice, "t").orderBy("cell_id").collect()] == pytest.approx(want, abs=1e-8)
+
+
+def test_interpolation_inverts_once_for_times_that_lack_some_gauges(monkeypatch):
+    """Every time is that of its own gauges, solved directly, a gauge that comes twice included; one inverse serves them."""
+    rng = np.random.default_rng(9)
+    cells, sites = (np.column_stack([rng.uniform(0, 4, n), rng.uniform(100, 104, n)]) for n in (200, 600))
+    seen = rng.random((600, 3)) < [1.0, 0.9, 0.8]
+    v = np.round(rng.normal(0, 5, (600, 3)), 3)
+    slots = [np.flatnonzero(x).tolist() for x in seen]
+    values = [v[i, s].tolist() for i, s in enumerate(slots)]
+    slots[0], values[0] = slots[0] + [0], values[0] + [1.5]
+    g = pd.DataFrame({"g_lat": sites[:, 0], "g_lon": sites[:, 1], "_slot": slots, "_v": values})
+    made, inverse = [], fusion._inverse
+    monkeypatch.setattr(fusion, "_inverse", lambda p: made.append(len(p)) or inverse(p))
+    got = fusion._corrections(pd.DataFrame({"lat": cells[:, 0], "lon": cells[:, 1]}), g, 5000.0)
+    assert made == [601] and np.isnan(got[:, 3:]).all()
+    for s in range(3):
+        own, x = np.flatnonzero(seen[:, s]), v[seen[:, s], s]
+        if s == 0:
+            own, x = np.append(own, 0), np.append(x, 1.5)
+        inv = np.linalg.inv(4.0 * np.exp(-0.5 * (haversine(sites[own], sites[own]) / 50) ** 2) + 2.25 * np.eye(len(own)))
+        d = haversine(cells, sites[own])
+        want = ((4.0 * np.exp(-0.5 * (d / 50) ** 2) * (d <= 150)) @ inv * ((d <= 150) * x)).sum(axis=1)
+        assert got[:, s] == pytest.approx(want, abs=1e-9)
+
+
+def test_interpolation_of_times_with_other_gauges(spark, places):
+    """Times of quite different gauges, a time without any, and rows without background."""
+    c, g = frames(spark, places)
+    c = c.unionByName(c.withColumn("t", F.lit(2))).unionByName(c.withColumn("t", F.lit(3))).withColumn("background", F.when(F.col("cell_id") != 5, F.col("background")))
+    g = g.withColumn("innovation", F.col("gauge_id") - 40.0)
+    both = g.where("gauge_id < 60").unionByName(g.where("gauge_id > 50").withColumn("t", F.lit(2)))
+    got = {(r.t, r.cell_id): r.analysis for r in fusion.optimal_interpolation(c, both, "t").collect()}
+    assert len(got) == 900 and got[1, 5] is None and got[3, 5] is None
+    for t, own in ((1, np.arange(60)), (2, np.arange(51, 80)), (3, np.arange(0))):
+        inv = np.linalg.inv(4.0 * np.exp(-0.5 * (haversine(places[1][own], places[1][own]) / 50) ** 2) + 2.25 * np.eye(len(own)))
+        d = haversine(places[0], places[1][own])
+        change = ((4.0 * np.exp(-0.5 * (d / 50) ** 2) * (d <= 150)) @ inv * ((d <= 150) * (own - 40.0))).sum(axis=1)
+        for i in set(range(300)) - {5}:
+            bg = 5.0 + i % 7
+            assert got[t, i] == pytest.approx(max(bg + change[i], 0) if (d[i] <= 150).any() else bg, abs=1e-9)
